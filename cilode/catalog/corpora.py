@@ -98,9 +98,14 @@ def workflows(spark: SparkSession, folder: str) -> DataFrame:
     return parts.select(F.expr(WORKFLOW_PATH).alias("path"), F.expr(WORKFLOW_TEXT).alias("text"))
 
 
+def documents(spark: SparkSession, folder: str) -> DataFrame:
+    """(doc_id, text, lang, source)."""
+    return spread(table(spark, folder, "documents").select("doc_id", "text", "lang", "source"), "doc_id")
+
+
 def notes(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, project, text): every document, lines that open with a vowel commented out."""
-    return table(spark, folder, "documents").select(
+    return documents(spark, folder).select(
         "doc_id",
         F.col("source").alias("project"),
         F.regexp_replace("text", r"(?m)^([AEIOU])", "  # $1").alias("text"),
@@ -116,7 +121,7 @@ def encoded(spark: SparkSession, folder: str) -> DataFrame:
         F.replace(F.col("text"), F.lit(". "), F.lit(".\t\r\n")), F.lit(", "), F.lit(",\r")
     )
     prefix = F.when(F.col("lang") == "fr", F.unhex(F.lit("FF"))).otherwise(F.unhex(F.lit("")))
-    return table(spark, folder, "documents").select(
+    return documents(spark, folder).select(
         "doc_id", F.concat(prefix, text.cast("binary")).alias("content")
     )
 

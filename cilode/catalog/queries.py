@@ -89,12 +89,12 @@ def strip_comment_lines(spark, folder):
 
 def classify_rules_join(spark, folder):
     rules = corpora.table(spark, folder, "benchmark").selectExpr("item_id AS label", "text AS keyword")
-    return match_rules(corpora.table(spark, folder, "documents"), rules, "doc_id").withColumnRenamed("label", "item_id")
+    return match_rules(corpora.documents(spark, folder), rules, "doc_id").withColumnRenamed("label", "item_id")
 
 
 def classify_rules_equi_join(spark, folder):
     rules = corpora.table(spark, folder, "benchmark").selectExpr("item_id AS label", "text AS keyword")
-    docs = corpora.table(spark, folder, "documents")
+    docs = corpora.documents(spark, folder)
     return match_rules_joined(docs, rules, "doc_id").withColumnRenamed("label", "item_id")
 
 
@@ -192,19 +192,24 @@ def summary_options(spark, folder):
 
 
 def levels_long(spark, folder):
-    return R.project_api_levels(_facts(R.FIXED_PATH)(spark, folder))
+    files = corpora.workflows(spark, folder)
+    return R.project_api_levels(R.file_facts(files, R.FIXED_PATH, only=R.FIXED_PATH.level_words))
 
 
 def levels_tagged(spark, folder):
-    return project_levels(_facts(R.PROVENANCE)(spark, folder))
+    files = corpora.workflows(spark, folder)
+    return project_levels(R.file_facts(files, R.PROVENANCE, only=R.PROVENANCE.level_words))
 
 
 def levels_detailed(spark, folder):
-    return R.project_api_levels_detailed(_facts(R.PROVENANCE)(spark, folder))
+    files = corpora.workflows(spark, folder)
+    facts = R.file_facts(files, R.PROVENANCE, only=R.PROVENANCE.level_words)
+    return R.project_api_levels_detailed(facts, R.config_projects(files, R.PROVENANCE))
 
 
 def options_long(spark, folder):
-    return R.project_emulator_options(_facts(R.FIXED_PATH)(spark, folder))
+    files = corpora.workflows(spark, folder)
+    return R.project_emulator_options(R.file_facts(files, R.FIXED_PATH, only=R.FIXED_PATH.option_words))
 
 
 def project_test_summary(spark, folder):

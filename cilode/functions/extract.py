@@ -17,8 +17,10 @@ def _values(nodes: Column, keep) -> Column:
 
 
 def scalar_at(nodes: Column, pattern: int) -> Column:
-    """Text of the (first) scalar at a fixed path; NULL where there is none."""
-    return F.get(_values(nodes, lambda n: (n["pattern"] == pattern) & ~n["is_child"]), F.lit(0))
+    """Text of the scalar at a fixed path; NULL where there is none, or a null."""
+    return F.get(
+        _values(nodes, lambda n: (n["pattern"] == pattern) & ~n["is_child"] & (n["kind"] != "null")), F.lit(0)
+    )
 
 
 def matrix_levels(nodes: Column, pattern: int) -> Column:

@@ -14,7 +14,11 @@ from cilode.functions.text import without_comment_lines
 # Rule tables up to these sizes are put into the query as a constant, others are joined.
 MAX_CONSTANT_RULES = 1_000
 MAX_CONSTANT_BYTES = 1 << 20
-ANCHOR = 8
+
+# Length of the windows that keywords and texts are joined on.
+ANCHOR = 12
+INNER = -1
+INNER_WORD = rf"(?s)(?<=[^\p{{L}}\p{{N}}])(?=([\p{{L}}\p{{N}}].{{{ANCHOR - 1}}}))"
 
 
 def with_labels(
@@ -85,37 +89,54 @@ def match_rules_constant(docs: DataFrame, rules: list, key: str, text: str = "te
     return docs.select(key, F.explode(F.transform(held, lambda r: r["label"])).alias("label"))
 
 
-def _windows(text: str, lengths: list[int]) -> Column:
-    """Distinct substrings of a text that have one of these lengths."""
-    cuts = [F.regexp_extract_all(F.col(text), F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in lengths if n]
-    empty = F.array(F.lit("")) if 0 in lengths else F.array().cast("array<string>")
+def _windows(text: str, kinds: list[int]) -> Column:
+    """Distinct substrings of ANCHOR characters that open an inner word (kind INNER), and
+    all substrings of the other kinds, which are lengths."""
+    cuts = [
+        F.regexp_extract_all(
+            F.col(text), F.lit(INNER_WORD if n == INNER else f"(?s)(?=(.{{{n}}}))"), F.lit(1)
+        )
+        for n in kinds
+        if n
+    ]
+    empty = F.array(F.lit("")) if 0 in kinds else F.array().cast("array<string>")
     return F.array_distinct(F.concat(empty, *cuts))
 
 
 def match_rules_joined(docs: DataFrame, rules: DataFrame, key: str, text: str = "text") -> DataFrame:
     """`match_rules` for a rule table of any size: an equi-join on keyword anchors.
 
-    A text that contains a keyword also contains every window of ANCHOR characters of it
-    (a shorter keyword is its own window). Each keyword is anchored at that of its windows
-    which the fewest documents hold, so common openings cost nothing; documents and
-    anchors are joined on the window, and the pairs left are checked on the whole text.
+    A text that contains a keyword also contains every window of the keyword. Windows
+    start at the words inside it: they have a character before them in the keyword, so
+    they start at a word in the text as well. A keyword without such a word is cut at
+    every character, and one shorter than a window is its own window. Each keyword is
+    anchored at that of its windows which the fewest documents hold, so common wording
+    costs nothing; documents and anchors are joined on the window, and the pairs left are
+    checked on the whole text.
     """
     rules = rules.select("label", "keyword").where("label is not null and keyword is not null").distinct()
-    sized = rules.select("keyword").distinct().withColumn("n", F.least(F.length("keyword"), F.lit(ANCHOR)))
-    lengths = sorted(row["n"] for row in sized.select("n").distinct().collect())  # ANCHOR + 1 at most
-    by_length = {n: sized.where(F.col("n") == n) for n in lengths}
-    keyword_windows = None
-    for n, words in by_length.items():
-        part = words.select("keyword", F.explode(_windows("keyword", [n])).alias("window"))
-        keyword_windows = part if keyword_windows is None else keyword_windows.unionByName(part)
-    if keyword_windows is None:
+    inner = F.size(_windows("keyword", [INNER])) > 0
+    sized = (
+        rules.select("keyword")
+        .distinct()
+        .withColumn("kind", F.when(inner, INNER).otherwise(F.least(F.length("keyword"), F.lit(ANCHOR))))
+    )
+    kinds = sorted(row["kind"] for row in sized.select("kind").distinct().collect())  # ANCHOR + 2 at most
+    if not kinds:
         return docs.select(key, F.lit(None).cast(rules.schema["label"].dataType).alias("label")).where("false")
-    held = docs.select(key, F.explode(_windows(text, lengths)).alias("window"))
-    spread = (
-        held.join(keyword_windows.select("window").distinct(), "window", "left_semi")
-        .groupBy("window")
-        .agg(F.count("*").alias("documents"))
+    keyword_windows = reduce(
+        DataFrame.unionByName,
+        [
+            sized.where(F.col("kind") == kind).select("keyword", F.explode(_windows("keyword", [kind])).alias("window"))
+            for kind in kinds
+        ],
+    )
+    # All windows of full length include those at inner words.
+    needed = [kind for kind in kinds if kind != INNER or ANCHOR not in kinds]
+    held = docs.select(key, F.explode(_windows(text, needed)).alias("window")).join(
+        keyword_windows.select("window").distinct(), "window", "left_semi"
     )
+    spread = held.groupBy("window").agg(F.count("*").alias("documents"))
     anchors = (
         keyword_windows.join(spread, "window")
         .groupBy("keyword")

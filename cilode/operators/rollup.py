@@ -34,14 +34,13 @@ def project_levels(facts: DataFrame) -> DataFrame:
     )
 
 
-def project_levels_counted(facts: DataFrame) -> DataFrame:
-    """The distinct levels, each with the file count of its project.
+def project_levels_counted(facts: DataFrame, files: DataFrame) -> DataFrame:
+    """The distinct levels of `facts`, each with the count of its project's rows in `files`.
 
-    The count side reads no file content (only paths are needed for it) and the level side
-    is already distinct, so both are small next to the input; Spark chooses the join from
-    their measured sizes.
+    Counting reads no file content, only paths, and the levels are already distinct, so
+    both sides are small next to the input; Spark chooses the join from measured sizes.
     """
-    counts = facts.groupBy("project").agg(F.count("*").alias("yml_count"))
+    counts = files.groupBy("project").agg(F.count("*").alias("yml_count"))
     return project_levels(facts).join(counts, "project").select("project", "api_level", "source", "yml_count")
 
 

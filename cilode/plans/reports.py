@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,6 +46,8 @@ class Report:
     options: Callable[[Column], Column] | None = None  # nodes -> array of texts
     sources: tuple = ()
     reference: str | None = None  # raw text whose presence is reported
+    level_words: tuple = ()  # lower-cased words without which a file has no level
+    option_words: tuple = ()  # the same for options
 
 
 # Test types by the first rule table; a comment counts, an empty file has no label.
@@ -61,6 +65,8 @@ FIXED_PATH = Report(
     options=lambda nodes: step_options(nodes, 1),
     sources=("matrix",),
     reference=MATRIX_REFERENCE,
+    level_words=("instrumented-test", "api_level"),
+    option_words=("instrumented-test", "emulator-options"),
 )
 # Levels anywhere below `jobs` with their source. Keywords are compared as written with a
 # lower-cased text, so those with capitals never match.
@@ -70,6 +76,7 @@ PROVENANCE = Report(
     patterns=(ANY_LEVEL,),
     levels=lambda nodes: tagged_levels(nodes, 0),
     sources=("matrix", "hardcoded"),
+    level_words=("api-level",),
 )
 
 
@@ -86,14 +93,31 @@ def config_texts(files: DataFrame, on_bad_encoding: str = "error_row") -> DataFr
     return files.where(T.is_config_file(F.col("path"))).select("path", T.normalised(raw).alias("text"))
 
 
-def file_facts(files: DataFrame, report: Report, on_bad_encoding: str = "error_row") -> DataFrame:
+def mentions(text: Column, words: tuple) -> Column:
+    """Whether a YAML text can have all these words in its keys.
+
+    A key shows in the text as it is, in any case, unless it is written with escapes.
+    """
+    lowered = F.lower(text)
+    held = [F.contains(lowered, F.lit(word)) for word in words]
+    return reduce(and_, held) | F.contains(text, F.lit("\\"))
+
+
+def file_facts(
+    files: DataFrame, report: Report, on_bad_encoding: str = "error_row", only: tuple = ()
+) -> DataFrame:
     """One row per file: path, project, labels, error_kind, message and what was extracted.
 
     error_kind is NULL, `encoding`, `yaml`, `empty`, `root` or `cycle`. A file is loaded
-    once, and its text does not leave this step.
+    once, and its text does not leave this step. With `only`, files that cannot have these
+    words in their keys are left out before they are loaded; that is enough where just
+    levels or options are wanted.
     """
     text = F.col("text")
-    loaded = config_texts(files, on_bad_encoding).withColumn("doc", documents(text, report.patterns))
+    texts = config_texts(files, on_bad_encoding)
+    if only:
+        texts = texts.where(mentions(text, only))
+    loaded = texts.withColumn("doc", documents(text, report.patterns))
     labelled = with_labels(
         loaded, report.rules, strip_comments=report.strip_comments, fold_keywords=report.fold_keywords
     )
@@ -188,5 +212,12 @@ def project_test_types(facts: DataFrame, report: Report = PROVENANCE) -> DataFra
     )
 
 
-def project_api_levels_detailed(facts: DataFrame) -> DataFrame:
-    return project_levels_counted(facts)
+def project_api_levels_detailed(facts: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """`files` has all rows to count where `facts` holds only those with levels."""
+    return project_levels_counted(facts, facts if files is None else files)
+
+
+def config_projects(files: DataFrame, report: Report) -> DataFrame:
+    """(path, project) of the accepted files; reads no content."""
+    path = F.col("path")
+    return files.where(T.is_config_file(path)).select(path, report.project(path).alias("project"))

@@ -60,7 +60,8 @@ def write_report(
     report, tables = TABLES[name]
     stored = f"{out}/{name}_files"
     facts = R.file_facts(files, report, on_bad_encoding)
-    facts.write.mode("overwrite").parquet(stored)
+    # The rows are small, those of many input splits go into one file.
+    facts.hint("rebalance").write.mode("overwrite").parquet(stored)
     facts = spark.read.parquet(stored)
     frames = {
         "instrumentation_test_summary": lambda: R.instrumentation_test_summary(facts, report),

@@ -43,22 +43,22 @@ def compact(files: DataFrame, out: str) -> DataFrame:
     return files.sparkSession.read.parquet(out)
 
 
-class _Folder(InputPartition):
-    def __init__(self, path: str, recursive: bool):
-        super().__init__(path)
-        self.path = path
+class _Folders(InputPartition):
+    def __init__(self, paths: list[str], recursive: bool):
+        super().__init__(paths)
+        self.paths = paths
         self.recursive = recursive
 
 
 class _TreeReader(DataSourceReader):
-    def __init__(self, root: str, min_folders: int):
+    def __init__(self, root: str, tasks: int):
         self.root = root
-        self.min_folders = min_folders
+        self.tasks = tasks
 
     def partitions(self):
         """Open folders level by level until there are enough of them to list in parallel."""
         opened, frontier = [], [self.root]
-        while frontier and len(frontier) < self.min_folders:
+        while frontier and len(frontier) < self.tasks:
             below = []
             for folder in frontier:
                 opened.append(folder)
@@ -68,21 +68,26 @@ class _TreeReader(DataSourceReader):
                 except OSError:
                     pass
             frontier = below
-        return [_Folder(f, False) for f in opened] + [_Folder(f, True) for f in frontier]
+        parts = [_Folders(opened, False)]
+        return parts + [_Folders(frontier[i :: self.tasks], True) for i in range(min(self.tasks, len(frontier)))]
 
     def read(self, partition):
-        for folder, below, names in os.walk(partition.path):
-            if not partition.recursive:
-                below.clear()
-            for name in names:
-                if name.endswith((".yml", ".yaml")):
-                    path = os.path.join(folder, name)
-                    try:
-                        stat = os.stat(path)
-                        when = datetime.datetime.fromtimestamp(stat.st_mtime, datetime.timezone.utc)
-                        yield (path, when, stat.st_size)
-                    except OSError:
-                        yield (path, None, None)
+        for root in partition.paths:
+            for folder, below, names in os.walk(root):
+                if not partition.recursive:
+                    below.clear()
+                for name in names:
+                    if name.endswith((".yml", ".yaml")):
+                        yield self._entry(os.path.join(folder, name))
+
+    @staticmethod
+    def _entry(path):
+        try:
+            stat = os.stat(path)
+        except OSError:
+            return (path, None, None)
+        when = datetime.datetime.fromtimestamp(stat.st_mtime, datetime.timezone.utc)
+        return (path, when, stat.st_size)
 
 
 class FileTree(DataSource):
@@ -96,7 +101,7 @@ class FileTree(DataSource):
         return LISTING
 
     def reader(self, schema):
-        return _TreeReader(self.options["path"], int(self.options.get("minFolders", 64)))
+        return _TreeReader(self.options["path"], int(self.options.get("tasks", 64)))
 
 
 def _read_contents(batches):

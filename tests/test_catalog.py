@@ -1,0 +1,62 @@
+"""Every registered query against its SQL, and the shape of the plans."""
+
+import re
+
+import pytest
+from check_oracle import compare, connect
+
+import __spark_entry__ as entry
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def db():
+    return connect(FOLDER)
+
+
+def test_every_query_has_its_sql():
+    assert set(entry.queries()) == set(entry.oracle_sql())
+
+
+@pytest.mark.parametrize("name", entry.queries())
+def test_same_rows_as_sql(spark, db, name):
+    assert compare(spark, db, FOLDER, name) is None
+
+
+def test_entry(spark):
+    df = entry.entry(spark)
+    assert df.columns[0] == "project" and df.count() > 0
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", entry.queries())
+def test_plans(spark, name):
+    text = plan(entry.queries()[name](spark, FOLDER))
+    assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+    # A file is loaded once, however much is taken from it.
+    assert text.count("ArrowEvalPython") <= 1
+    # No state that grows with the group.
+    assert "collect_" not in text and "ObjectHashAggregate" not in text
+    for keys in re.findall(r"ReadSchema: struct<([^>]*)>", text):
+        assert "o_totalprice" not in keys and "n_chars" not in keys
+
+
+def test_count_side_reads_no_content(spark):
+    """The file counts that are joined to the levels need neither the loader nor a text."""
+    text = plan(entry.queries()["levels_detailed"](spark, FOLDER))
+    assert text.count("ArrowEvalPython") == 1
+    count_side = text[text.rindex("partial_count(1)") :]
+    assert "replace(" not in count_side and "jobs:" not in count_side
+
+
+def test_labels_need_no_loader(spark):
+    for name in ("classify_basic", "classify_uncommented", "summary_labels", "project_key_positional", "scan_inventory"):
+        assert "ArrowEvalPython" not in plan(entry.queries()[name](spark, FOLDER))
+
+
+def test_levels_need_no_labels(spark):
+    assert "android-emulator-runner)" not in plan(entry.queries()["levels_tagged"](spark, FOLDER))

@@ -1,0 +1,218 @@
+"""The YAML reader: its two loaders agree, and its nodes are the ones asked for."""
+
+import random
+import subprocess
+import sys
+
+import pytest
+import yaml
+from pyspark.sql import functions as F
+
+from cilode.functions import documents as D
+from cilode.functions import extract as E
+
+WORKFLOW = """name: CI
+on: push
+env:
+  A: "x: y"  # c
+  B: 'it''s'
+jobs:
+  build: &b
+    runs-on: ${{ matrix.os }}
+    strategy:
+      matrix:
+        api-level: [21, "29", 30.0, x]
+        include: {a: 1, b: [2, 3]}
+    steps:
+      - run: |
+          echo hi
+            there
+      - run: >-
+          folded
+          text
+      - with: {api-level: 29, emulator-options: -no-window}
+      - <<: *b
+        when: 2021-04-05
+  v: "q\\n"
+"""
+PIECES = list(" \n:#-?,[]{}&*!|>'\"%@`ab1.~=<\\\t\r") + [
+    ": ", "- ", "\n  ", "\n- ", "# ", "[]", "{}", "---", "\n---\n", "\n...\n", "%YAML 1.2\n", "\ufeff", "\x85",
+    "é", chr(0x1F600), "!!", "!a", "!<x>", "&a ", "*a ", "<<: ", "? ", "\\x41", "\\/", "0x1F", "1:30", "1_000",
+    "021", "029", "null", "yes", "2021-13-45", "=", "!!set", "!!omap", "!!binary ", "!!float ", "|2", "|+", "|-",
+    ">1", "\x0c", "\x1c", "\xa0", chr(0x2028), "a?b",
+]
+
+
+def verdict(load, text):
+    try:
+        return repr(load(text))
+    except Exception as failure:
+        return type(failure)
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_loader_agrees_with_safe_load(seed):
+    rng = random.Random(seed)
+    for _ in range(400):
+        text = WORKFLOW if rng.random() < 0.6 else ""
+        for _ in range(rng.randint(1, 3) if text else rng.randint(1, 14)):
+            at, piece, cut = rng.randint(0, len(text)), rng.choice(PIECES), rng.choice([0, 0, 1, 3])
+            text = text[:at] + piece + text[at + cut :]
+        assert verdict(D.load, text) == verdict(yaml.safe_load, text), text
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["a: &x 1\nb: &x 2\nc: *x", "{a: b, a: c}", "? [1]\n: 2", "? {a: 1}\n: 2", "x" * 1200 + ": 1", "x" * 1023 + ": 1",
+     "a:\t1", "|-#\n a", "!", "[a?b]", "- - - a", "a: !!python/object:os.x {}", "é: \x07", "\x00", "a: '\ud7ff'",
+     "'" + "y" * 1025 + "': 1", "x" * 1024 + ": 1", "x" * 1025 + ": 1"],
+)
+def test_loader_agrees_on_odd_texts(text):
+    assert verdict(D.load, text) == verdict(yaml.safe_load, text)
+
+
+@pytest.mark.parametrize("text", ["[" * 100_000, "- " * 100_000 + "x", "{a: " * 50_000, "? " * 100_000 + "x"])
+def test_deep_nesting_is_an_error_not_a_crash(text):
+    code = "import sys; sys.path.insert(0, '.'); from cilode.functions.documents import read_document\n"
+    code += "print(read_document(sys.stdin.read())[0][0])"
+    run = subprocess.run([sys.executable, "-c", code], input=text, capture_output=True, text=True, timeout=300)
+    assert run.stdout.strip() == "False", run.stderr[-500:]
+
+
+def read(text, *patterns):
+    head, rows = D.read_document(text, patterns)
+    return dict(zip([n for n, _ in D._DOCUMENT_FIELDS], head)), rows
+
+
+@pytest.mark.parametrize(
+    "text, root, empty",
+    [("", "null", True), ("# c", "null", True), ("{}", "map", True), ("[]", "list", True), ("''", "str", True),
+     ("0", "int", True), ("false", "bool", True), ("a: 1", "map", False), ("- a", "list", False),
+     ("---\na: 1", "map", False), ("x", "str", False), ("2021-04-05", "date", False),
+     ("2021-04-05 12:23:22", "datetime", False), ("1.5", "float", False), ("!!binary YQ==", "bytes", False),
+     ("!!set {a}", "set", False)],
+)
+def test_root(text, root, empty):
+    head, _ = read(text)
+    assert (head["ok"], head["root_kind"], head["is_empty"]) == (True, root, empty)
+
+
+@pytest.mark.parametrize("text", ["jobs: [1, 2", "a: 1\n---\nb: 2", "a:\n\tb: 1", "!unknown x", "a: *nowhere", "d: 2021-13-45"])
+def test_invalid(text):
+    head, rows = read(text, E.ANY_LEVEL)
+    assert not head["ok"] and head["message"] and rows == []
+
+
+def test_cycles_are_told_from_sharing():
+    assert read("jobs: &a [*a]", E.ANY_LEVEL)[0]["has_cycle"]
+    assert read("jobs: &a {x: {y: *a}}", E.ANY_LEVEL)[0]["has_cycle"]
+    assert not read("jobs: [&a [1], *a, [*a]]", E.ANY_LEVEL)[0]["has_cycle"]
+    assert not read("x: &a [*a]\njobs: {}", E.ANY_LEVEL)[0]["has_cycle"]
+    assert not read("jobs: {api-level: &a [*a]}", E.ANY_LEVEL)[0]["has_cycle"]
+
+
+def test_alias_bomb_is_read_in_linear_time():
+    lines = ["l0: &l0 {api-level: 7}"] + [f"l{i}: &l{i} [{', '.join([f'*l{i - 1}'] * 9)}]" for i in range(1, 40)]
+    head, rows = read("\n".join(lines + ["jobs: *l39"]), E.ANY_LEVEL)
+    assert head["ok"] and [row[7] for row in rows] == ["7"]
+    text = "\n".join(lines + ["jobs: {instrumented-test: {strategy: {matrix: {api_level: [*l39]}}}}"])
+    assert not read(text, E.FIXED_LEVELS)[0]["ok"]
+
+
+def test_half_a_surrogate_pair(spark):
+    df = spark.createDataFrame([('a: "\\uD800x"',)], "text string")
+    [row] = df.select(E.scalar_at(D.documents(F.col("text"), [("a",)])["nodes"], 0).alias("v")).collect()
+    assert row.v == "?x"
+
+
+def extracted(spark, texts, patterns, expression):
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    doc = df.select("i", D.documents(F.col("text"), patterns).alias("doc"))
+    return [r.y for r in doc.select("i", expression(F.col("doc.nodes")).alias("y")).orderBy("i").collect()]
+
+
+LEVEL_FIXTURES = [
+    ('jobs: {t: {strategy: {matrix: {api-level: [21, "29", 30.0, x]}}}}', ["21", "29"], []),
+    ("jobs: {t: {steps: [{with: {API-Level: 28}}]}}", [], ["28"]),
+    ("jobs: {t: {strategy: {matrix: {api-level: [27, 33], exclude: [{api-level: 33}]}}}}", ["27", "33"], []),
+    ('jobs: {t: {steps: [{with: {api-level: "${{ matrix.api-level }}"}}]}}', [], []),
+    ("jobs: {t: {api-level: {api-level: 25}}}", [], []),
+    ("jobs: {t: {api-level: [[26], {a: 1}, 24]}}", ["24"], []),
+    ("api-level: 25\njobs: {t: 1}", [], []),
+    ("x: &l [29]\njobs: {t: {api-level: *l}}", ["29"], []),
+    ("jobs: {b: &b {api-level: 23}, t: {<<: *b}}", [], ["23"]),
+    ("jobs: {t: {api-level: 021}, u: {api-level: 029}}", [], ["029", "17"]),
+    ("on: push\njobs: {29: {api-level: 29}}", [], ["29"]),
+    ("jobs: {t: {api-level: true}, u: {api-level: -1}, v: {api-level: null}, w: {api-level: 2.0}}", [], []),
+    ("jobs:", [], []),
+    ("jobs: {t: {api-level: '\u00b2'}, u: {api-level: ['\u0663']}}", ["\u0663"], ["\u00b2"]),
+    ("jobs: {api-level: 5}", [], ["5"]),
+    ("- api-level: 5", [], []),
+]
+
+
+def test_levels_at_any_depth(spark):
+    texts = [text for text, _, _ in LEVEL_FIXTURES]
+    got = extracted(spark, texts, [E.ANY_LEVEL], lambda n: E.tagged_levels(n, 0))
+    for (text, matrix, hardcoded), levels in zip(LEVEL_FIXTURES, got):
+        found = {s: sorted(x.api_level for x in levels if x.source == s) for s in ("matrix", "hardcoded")}
+        assert found == {"matrix": matrix, "hardcoded": hardcoded}, text
+
+
+def fixed(value):
+    return f"jobs: {{instrumented-test: {{strategy: {{matrix: {{api_level: {value}}}}}}}}}"
+
+
+def test_levels_at_the_fixed_path(spark):
+    fixtures = [
+        (fixed("[30, 21, 21, null]"), ["21", "30", "None"]),
+        (fixed('"29"'), ["2", "9"]),
+        (fixed('""'), []),
+        (fixed("29"), []),
+        (fixed("null"), []),
+        (fixed("{29: a, b: c, null: d}"), ["29", "None", "b"]),
+        (fixed("[29.0, true, {a: 1}, [x], 2021-04-05]"), ["2021-04-05", "29.0", "True", "['x']", "{'a': 1}"]),
+        (fixed("!!set {a, 7}"), ["7", "a"]),
+        (fixed("!!binary YWI="), ["97", "98"]),
+        (fixed('"a\U0001f600"'), ["a", "\U0001f600"]),
+        ("jobs: {instrumented-test: {strategy: {matrix: [api_level]}}}", []),
+        ("jobs: {other: {strategy: {matrix: {api_level: [1]}}}}", []),
+        ("- jobs", []),
+    ]
+    got = extracted(spark, [t for t, _ in fixtures], [E.FIXED_LEVELS], lambda n: E.iterated_levels(n, 0))
+    assert got == [levels for _, levels in fixtures]
+
+
+def steps(*items):
+    return f"jobs: {{instrumented-test: {{steps: [{', '.join(items)}]}}}}"
+
+
+def test_step_options(spark):
+    one = "{with: {emulator-options: -no-window}}"
+    fixtures = [
+        (steps(one, one), ["-no-window", "-no-window"]),
+        (steps(one, "{with: null}", one), ["-no-window"]),
+        (steps(one, "{with: []}", one), ["-no-window"]),
+        (steps("{with: {Extra-Emulator-Options-2: 5, x: y, emulator-options: null}}"), ["5", "None"]),
+        (steps("{with: {emulator-options: a, 7: b, emulator-options2: c}}", one), ["a"]),
+        (steps("{run: x}", "plain", "[1]", "{with: {emulator-options: [a, {b: 1}]}}"), ["['a', {'b': 1}]"]),
+        ("jobs: {instrumented-test: {steps: {with: {emulator-options: a}}}}", []),
+        ("jobs: {instrumented-test: null}", []),
+    ]
+    got = extracted(spark, [t for t, _ in fixtures], [E.FIXED_STEPS], lambda n: E.step_options(n, 0))
+    assert got == [options for _, options in fixtures]
+
+
+def test_batches_and_nulls(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        df = spark.range(100, numPartitions=3).selectExpr(
+            "id", "if(id % 5 = 0, null, concat('jobs: {t: {api-level: ', id, '}}')) AS text"
+        )
+        doc = df.select("id", D.documents(F.col("text"), [E.ANY_LEVEL]).alias("doc"))
+        rows = doc.select("id", F.col("doc").isNull().alias("none"), E.hardcoded_levels(F.col("doc.nodes"), 0).alias("l"))
+        for row in rows.collect():
+            assert row.none == (row.id % 5 == 0)
+            assert row.l == (None if row.none else [str(row.id)])
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
