@@ -188,6 +188,12 @@ ORACLE: dict[str, str] = {
                CASE p_type WHEN 'SMALL' THEN 'single' WHEN 'ECONOMY' THEN 'multi' ELSE p_brand END AS mode,
                CASE p_type WHEN 'SMALL' THEN 'draw' WHEN 'ECONOMY' THEN 'ask' ELSE 'invalid' END AS branch
         FROM part""",
+    "config_document": """
+        SELECT p_partkey, 'range' AS key, 'map' AS kind,
+               '{''min'': ' || p_size || ', ''max'': ' || (p_size + 100) || '}' AS value FROM part
+        UNION ALL SELECT p_partkey, 'guesses', 'int', CAST(p_size AS VARCHAR) FROM part
+        UNION ALL SELECT p_partkey, 'mode', 'str',
+               CASE p_type WHEN 'SMALL' THEN 'single' WHEN 'ECONOMY' THEN 'multi' ELSE p_brand END FROM part""",
     "config_event_fields": "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events",
     "levels_fixed_path": f"""{_FILES}{_FIXED_LEVELS.format(source='files')},
         per_file AS (SELECT DISTINCT path, api_level FROM fixed_levels)

@@ -23,7 +23,7 @@ from cilode.functions.rules import RULES_V1, RULES_V2, Rules, labels_text
 from cilode.operators.labelling import match_rules, match_rules_joined, with_labels
 from cilode.operators.rollup import project_flags, project_levels, project_rollup
 from cilode.plans import reports as R
-from cilode.sources.config import config_fields, settings
+from cilode.sources.config import config_entries, config_fields, settings
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -117,6 +117,10 @@ def config_settings(spark, folder):
     return settings(corpora.settings_files(spark, folder))
 
 
+def config_document(spark, folder):
+    return config_entries(corpora.settings_files(spark, folder))
+
+
 def config_event_fields(spark, folder):
     """JSON is YAML: the same reader takes the properties of events."""
     events = corpora.spread(corpora.table(spark, folder, "events").select("event_id", "props"), "event_id")
@@ -243,6 +247,7 @@ QUERIES: dict[str, Query] = {
     "flag_substring": flag_substring,
     "validate_documents": validate_documents,
     "config_settings": config_settings,
+    "config_document": config_document,
     "config_event_fields": config_event_fields,
     "levels_fixed_path": levels_fixed_path,
     "levels_recursive": levels_recursive,

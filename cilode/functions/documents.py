@@ -64,8 +64,11 @@ _DOCUMENT_FIELDS = [
 # is the one to match. They differ on the texts below only (checked by random documents,
 # see tests/test_documents.py), which go to the pure loader, as do all texts the compiled
 # one rejects and all that may nest so deeply that it has no limit where Python has one.
-_LOADERS_DIFFER = re.compile("[\t\r\ufeff]|[|>][0-9+-]*#|(?:^|[\\s,\\[\\]{}])!|^%|\n%")
-_FLOW_START = re.compile("(?:^|[\\s,:\"'\\[{])[\\[{]")
+_ODD_CHARACTERS = ("\t", "\r", "\ufeff")
+_DIRECTIVE = re.compile("(?:^|[\n\x85\u2028\u2029])%")
+_BARE_TAG = re.compile("(?:^|[\\s,\\[\\]{}])!(?:[\\s,<\\[\\]{}]|$)")
+_MARKED_BLOCK = re.compile("[|>][0-9+-]*#")
+_FLOW_START = re.compile("(?:^|[-?:\n\x85\u2028\u2029]) *[\\[{]|(?:^|\\s)[&!]\\S* +[\\[{]")
 _DEEP_INDENT = re.compile("^[ ?:-]{100}", re.MULTILINE)
 _MANY = 100
 
@@ -77,7 +80,10 @@ _MAX_ENTRIES = 10_000_000
 def _needs_pure_loader(text: str) -> bool:
     return (
         not yaml.__with_libyaml__
-        or _LOADERS_DIFFER.search(text) is not None
+        or any(c in text for c in _ODD_CHARACTERS)
+        or ("%" in text and _DIRECTIVE.search(text) is not None)
+        or ("!" in text and _BARE_TAG.search(text) is not None)
+        or ("#" in text and _MARKED_BLOCK.search(text) is not None)
         or ("?" in text and _FLOW_START.search(text) is not None)
         or text.count("[") + text.count("{") - 2 * text.count("${{") > _MANY
         or _DEEP_INDENT.search(text) is not None
@@ -132,28 +138,37 @@ def _outermost(start, wanted):
     tells whether some visited container holds itself.
     """
     found, cyclic = [], False
-    active, done, todo = set(), set(), [(start, False)]
+    active, done, todo = set(), set(), [start]
     while todo:
-        value, leaving = todo.pop()
-        if leaving:
-            active.discard(id(value))
-            done.add(id(value))
-        elif id(value) in active:
+        value = todo.pop()
+        if type(value) is _Leaving:
+            active.discard(value.mark)
+            done.add(value.mark)
+            continue
+        mark = id(value)
+        if mark in active:
             cyclic = True
-        elif isinstance(value, (dict, list)) and id(value) not in done:
-            active.add(id(value))
-            todo.append((value, True))
+        elif mark not in done and isinstance(value, (dict, list)):
+            active.add(mark)
+            todo.append(_Leaving(mark))
             if isinstance(value, list):
-                todo.extend((item, False) for item in value)
+                todo += [item for item in value if isinstance(item, (dict, list))]
             else:
                 for key, entry in value.items():
                     if isinstance(key, str) and key.lower() == wanted:
                         found.append(entry)
-                    else:
-                        todo.append((entry, False))
+                    elif isinstance(entry, (dict, list)):
+                        todo.append(entry)
     return found, cyclic
 
 
+class _Leaving:
+    """On the list of things to do: all below the container with this id is done."""
+
+    def __init__(self, mark):
+        self.mark = mark
+
+
 def _entries(value, seen) -> int:
     """Number of entries in the text of a value, aliases written out."""
     if not isinstance(value, (dict, list, set, tuple)):

@@ -33,6 +33,13 @@ def config_fields(df: DataFrame, fields: dict = SETTINGS, text: str = "text") ->
     )
 
 
+def config_entries(df: DataFrame, text: str = "text") -> DataFrame:
+    """The whole document, one row per entry at its top: key, kind and Python text."""
+    kept = [c for c in df.columns if c != text]
+    nodes = df.select(*kept, F.explode(documents(F.col(text), [()])["nodes"]).alias("node"))
+    return nodes.where("node.is_child").select(*kept, "node.key", "node.kind", "node.value")
+
+
 def settings(df: DataFrame, text: str = "text") -> DataFrame:
     """The settings document, with the branch its mode selects.
 

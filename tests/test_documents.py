@@ -3,6 +3,7 @@
 import random
 import subprocess
 import sys
+import time
 
 import pytest
 import yaml
@@ -39,7 +40,8 @@ PIECES = list(" \n:#-?,[]{}&*!|>'\"%@`ab1.~=<\\\t\r") + [
     ": ", "- ", "\n  ", "\n- ", "# ", "[]", "{}", "---", "\n---\n", "\n...\n", "%YAML 1.2\n", "\ufeff", "\x85",
     "é", chr(0x1F600), "!!", "!a", "!<x>", "&a ", "*a ", "<<: ", "? ", "\\x41", "\\/", "0x1F", "1:30", "1_000",
     "021", "029", "null", "yes", "2021-13-45", "=", "!!set", "!!omap", "!!binary ", "!!float ", "|2", "|+", "|-",
-    ">1", "\x0c", "\x1c", "\xa0", chr(0x2028), "a?b",
+    ">1", "\x0c", "\x1c", "\xa0", chr(0x2028), "a?b", "!=", " !x", "!contains(", "!'", "! ", "!<", "!seq [", "&x {",
+    "? ", "x?", "[a?", "{a: b?",
 ]
 
 
@@ -65,7 +67,7 @@ def test_loader_agrees_with_safe_load(seed):
     "text",
     ["a: &x 1\nb: &x 2\nc: *x", "{a: b, a: c}", "? [1]\n: 2", "? {a: 1}\n: 2", "x" * 1200 + ": 1", "x" * 1023 + ": 1",
      "a:\t1", "|-#\n a", "!", "[a?b]", "- - - a", "a: !!python/object:os.x {}", "é: \x07", "\x00", "a: '\ud7ff'",
-     "'" + "y" * 1025 + "': 1", "x" * 1024 + ": 1", "x" * 1025 + ": 1"],
+     "'" + "y" * 1025 + "': 1", "x" * 1024 + ": 1", "x" * 1025 + ": 1", "!<!>", "a: [b,\n c?d]", "- ! a", "a: !seq [b?]", "[a, !]"],
 )
 def test_loader_agrees_on_odd_texts(text):
     assert verdict(D.load, text) == verdict(yaml.safe_load, text)
@@ -79,6 +81,16 @@ def test_deep_nesting_is_an_error_not_a_crash(text):
     assert run.stdout.strip() == "False", run.stderr[-500:]
 
 
+@pytest.mark.parametrize(
+    "text",
+    ["?" + "\n" * 10**6, "?" + " &a" * 10**6, "!" * 10**6, "? " + "&" * 10**6, "|" + "1" * 10**6 + "#", "- " * 10**6],
+)
+def test_choice_of_loader_takes_linear_time(text):
+    start = time.process_time()
+    D._needs_pure_loader(text)
+    assert time.process_time() - start < 2
+
+
 def read(text, *patterns):
     head, rows = D.read_document(text, patterns)
     return dict(zip([n for n, _ in D._DOCUMENT_FIELDS], head)), rows

@@ -156,3 +156,24 @@ def test_results_do_not_depend_on_partitions(spark):
     want = {r.project: r.t for r in union.where("t <> 'none'").groupBy("project").agg(F.array_join(F.array_sort(F.collect_set("t")), ", ").alias("t")).collect()}
     for row in R.project_test_types(facts).collect():
         assert row.test_types == want.get(row.project, "none")
+
+
+def test_files_without_the_words_need_no_load(spark):
+    contents = {
+        **LEVEL_FILES, **OPTION_FILES, **FILES,
+        "escaped": b'jobs: {t: {"api\\x2dlevel": 44}, "instrumented-\\u0074est": {strategy: {matrix: {"api\\x5flevel": [5]}},'
+        b' steps: [{with: {"emulator\\x2doptions": z}}]}}',
+        "capitals": b"jobs: {t: {API-Level: 45}}",
+    }
+    data = files(spark, contents)
+    for report, table in ((R.PROVENANCE, R.project_levels), (R.FIXED_PATH, R.project_api_levels)):
+        want = sorted(map(tuple, table(R.file_facts(data, report)).collect()))
+        got = sorted(map(tuple, table(R.file_facts(data, report, only=report.level_words)).collect()))
+        assert got == want and ("44" in str(got) or "'5'" in str(got))
+    facts = R.file_facts(data, R.FIXED_PATH, only=R.FIXED_PATH.option_words)
+    assert sorted(r.emulator_option for r in R.project_emulator_options(facts).collect()) == ["x", "x", "y", "z"]
+    narrow = R.file_facts(data, R.PROVENANCE, only=R.PROVENANCE.level_words)
+    counted = R.project_api_levels_detailed(narrow, R.config_projects(data, R.PROVENANCE))
+    assert sorted(map(tuple, counted.collect())) == sorted(
+        map(tuple, R.project_api_levels_detailed(R.file_facts(data, R.PROVENANCE)).collect()))
+    assert narrow.count() < data.count()
