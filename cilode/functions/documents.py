@@ -16,8 +16,10 @@ Each match gives one node, and one more per direct child if it is a container.
 from __future__ import annotations
 
 import datetime
+import functools
 import re
 import sys
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -72,6 +74,11 @@ _FLOW_START = re.compile("(?:^|[-?:\n\x85\u2028\u2029]) *[\\[{]|(?:^|\\s)[&!]\\S
 _DEEP_INDENT = re.compile("^[ ?:-]{100}", re.MULTILINE)
 _MANY = 100
 
+# Copies of one file are frequent. Each task keeps its latest results for texts up to this
+# length, some tens of MB at most.
+_COPIES = 1024
+_COPY_LENGTH = 16_384
+
 # Text of a container is asked for only below a fixed path. Aliases can make it
 # exponentially longer than its file; past this many entries the document is an error.
 _MAX_ENTRIES = 10_000_000
@@ -250,12 +257,11 @@ def _column(values, type_):
     return pa.array(values, type_)
 
 
-def _struct(fields, rows, mask=None):
+def _struct(fields, rows):
     columns = list(zip(*rows)) or [[] for _ in fields]
     return pa.StructArray.from_arrays(
         [_column(values, type_) for values, (_, type_) in zip(columns, fields)],
         names=[name for name, _ in fields],
-        mask=mask,
     )
 
 
@@ -269,21 +275,27 @@ def documents(text: Column, patterns=()) -> Column:
     patterns = tuple(tuple(p) for p in patterns)
 
     @F.arrow_udf(DOCUMENT_TYPE)
-    def read(texts: pa.Array) -> pa.Array:
-        heads, offsets, nodes, absent = [], [0], [], []
-        for text in texts.to_pylist():
-            head, rows = ((None,) * 5, []) if text is None else read_document(text, patterns)
-            absent.append(text is None)
-            heads.append(head)
-            nodes += rows
-            offsets.append(len(nodes))
-        head = _struct(_DOCUMENT_FIELDS, heads)
-        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), _struct(_NODE_FIELDS, nodes))
-        return pa.StructArray.from_arrays(
-            [*head.flatten(), lists],
-            names=[name for name, _ in _DOCUMENT_FIELDS] + ["nodes"],
-            mask=pa.array(absent, pa.bool_()),
-        )
+    def read(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        read_again = functools.lru_cache(_COPIES)(read_document)
+        for texts in batches:
+            heads, offsets, nodes, absent = [], [0], [], []
+            for text in texts.to_pylist():
+                if text is None:
+                    head, rows = (None,) * len(_DOCUMENT_FIELDS), []
+                elif len(text) <= _COPY_LENGTH:
+                    head, rows = read_again(text, patterns)
+                else:
+                    head, rows = read_document(text, patterns)
+                absent.append(text is None)
+                heads.append(head)
+                nodes += rows
+                offsets.append(len(nodes))
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), _struct(_NODE_FIELDS, nodes))
+            yield pa.StructArray.from_arrays(
+                [*_struct(_DOCUMENT_FIELDS, heads).flatten(), lists],
+                names=[name for name, _ in _DOCUMENT_FIELDS] + ["nodes"],
+                mask=pa.array(absent, pa.bool_()),
+            )
 
     return read.asNondeterministic()(text)
 

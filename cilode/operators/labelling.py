@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cilode.functions.rules import Rules, label_hits
-from cilode.functions.text import without_comment_lines
+from cilode.functions.rules import Rules, effective_keywords, label_hits
+from cilode.functions.text import outside_comment_lines
 
 # Rule tables up to these sizes are put into the query as a constant, others are joined.
-MAX_CONSTANT_RULES = 1_000
+MAX_CONSTANT_RULES = 256
 MAX_CONSTANT_BYTES = 1 << 20
 
 # Length of the windows that keywords and texts are joined on.
@@ -31,28 +30,21 @@ def with_labels(
 ) -> DataFrame:
     """Add a struct of one flag per label; a NULL text has no label.
 
-    A fixed-width struct keeps the later union over files a plain hash aggregate. Comment
-    lines are only cut out of texts that hold a keyword at all: cutting lines out never
-    makes a keyword (none spans a line) appear.
+    A fixed-width struct keeps the later union over files a plain hash aggregate. No
+    keyword spans a line, so leaving comment lines out means that some line which is no
+    comment holds a keyword; only labels whose keywords occur at all are looked at again.
     """
     if any("\n" in word or "\r" in word for words in rules.values() for word in words):
         raise ValueError("a keyword must not span lines")
     lowered = "__lowered"
+    flags = {}
+    for label, hit in label_hits(F.col(lowered), rules, fold_keywords).items():
+        words = effective_keywords(rules[label], fold_keywords)
+        if strip_comments and words:
+            commented = F.contains(F.col(lowered), F.lit("#"))
+            hit = hit & (~commented | outside_comment_lines(F.col(lowered), words))
+        flags[label] = F.coalesce(hit, F.lit(False))
     out = df.withColumn(lowered, F.lower(F.col(text)))
-    hits = label_hits(F.col(lowered), rules, fold_keywords)
-    names = {label: f"__label{i}" for i, label in enumerate(rules)}
-    if strip_comments:
-        out = out.withColumns({names[label]: F.coalesce(hit, F.lit(False)) for label, hit in hits.items()})
-        any_hit = reduce(or_, (F.col(n) for n in names.values()))
-        bare = "__bare"
-        out = out.withColumn(
-            bare,
-            F.when(any_hit & F.contains(F.col(lowered), F.lit("#")), without_comment_lines(F.col(lowered))),
-        )
-        bare_hits = label_hits(F.col(bare), rules, fold_keywords)
-        flags = {label: F.col(names[label]) & F.coalesce(bare_hits[label], F.lit(True)) for label in rules}
-    else:
-        flags = {label: F.coalesce(hit, F.lit(False)) for label, hit in hits.items()}
     keep = [F.col(f"`{c}`") for c in df.columns]
     return out.select(*keep, F.struct(*[flag.alias(label) for label, flag in flags.items()]).alias(into))
 

@@ -29,6 +29,18 @@ def test_variants(spark):
         "emulator_ci", "appcenter_test"]
 
 
+def test_labels_outside_comments_are_those_of_the_stripped_text(spark):
+    rng = random.Random(11)
+    pieces = ["\n", "\r", "\x0b", "\x85", chr(0x2028), " ", "\xa0", "\t", "#", "# ", "a+b", "(x", "A+B", "y", "", "\\E", "é"]
+    rules = {"plus": ["a+b", "zz"], "open": ["(x", "\\E"], "space": [" y"], "hash": ["#y", "# "], "none": []}
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 14))) for _ in range(3000)]
+    bare = ["\n".join(x for x in t.splitlines() if not x.strip().startswith("#")) for t in texts]
+    for fold in (True, False):
+        got = types(spark, texts, rules, fold_keywords=fold)
+        assert got == types(spark, bare, rules, fold_keywords=fold, strip_comments=False)
+        assert len(set(got)) > 8
+
+
 def test_other_columns_survive(spark):
     df = spark.createDataFrame([(1, "create avd", "x")], "i int, text string, `odd.name` string")
     [row] = O.with_labels(df, L.RULES_V2).collect()
