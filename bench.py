@@ -19,7 +19,7 @@ from cilode.session import session  # noqa: E402
 
 HEADLINE = (
     "scan_inventory decode_normalise strip_comment_lines classify_basic classify_uncommented "
-    "classify_rules_join classify_rules_equi_join validate_documents config_settings config_event_fields "
+    "classify_rules_join classify_rules_equi_join validate_documents config_fields config_event_fields "
     "options_long levels_long levels_detailed summary_labels instrumentation_summary_v1 "
     "instrumentation_summary_v2 project_test_summary project_test_types file_audit_provenance"
 ).split()

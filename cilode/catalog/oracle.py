@@ -183,7 +183,7 @@ ORACLE: dict[str, str] = {
                CASE WHEN invalid THEN NULL WHEN empty THEN 'null' WHEN s = 'P' AND p = 3 THEN 'list'
                     ELSE 'map' END AS root_kind
         FROM files""",
-    "config_settings": """
+    "config_fields": """
         SELECT p_partkey, p_size AS range_min, CAST(p_size + 100 AS INT) AS range_max, p_size AS guesses,
                CASE p_type WHEN 'SMALL' THEN 'single' WHEN 'ECONOMY' THEN 'multi' ELSE p_brand END AS mode,
                CASE p_type WHEN 'SMALL' THEN 'draw' WHEN 'ECONOMY' THEN 'ask' ELSE 'invalid' END AS branch

@@ -113,7 +113,7 @@ def validate_documents(spark, folder):
     )
 
 
-def config_settings(spark, folder):
+def config_fields_typed(spark, folder):
     return settings(corpora.settings_files(spark, folder))
 
 
@@ -246,7 +246,7 @@ QUERIES: dict[str, Query] = {
     "classify_rules_equi_join": classify_rules_equi_join,
     "flag_substring": flag_substring,
     "validate_documents": validate_documents,
-    "config_settings": config_settings,
+    "config_fields": config_fields_typed,
     "config_document": config_document,
     "config_event_fields": config_event_fields,
     "levels_fixed_path": levels_fixed_path,

@@ -79,8 +79,11 @@ _MANY = 100
 _COPIES = 1024
 _COPY_LENGTH = 16_384
 
-# Text of a container is asked for only below a fixed path. Aliases can make it
-# exponentially longer than its file; past this many entries the document is an error.
+_MERGE = re.compile("<<\\s*:|[?]\\s+<<|(?:^|\\s)!\\S*merge")
+
+# Aliases can write out to exponentially more than their file: in merged maps, and in the
+# text of a container, which is asked for only below a fixed path. Past this many entries
+# the document is an error.
 _MAX_ENTRIES = 10_000_000
 
 
@@ -97,14 +100,58 @@ def _needs_pure_loader(text: str) -> bool:
     )
 
 
+class TooLarge(ValueError):
+    """A document that no memory would hold once its aliases are written out."""
+
+
 def load(text: str):
     """What `yaml.safe_load` gives or raises, by the fastest loader that agrees with it."""
+    merges = "*" in text and _MERGE.search(text) is not None
     if not _needs_pure_loader(text):
         try:
-            return yaml.load(text, Loader=yaml.CSafeLoader)
+            return _load(text, yaml.CSafeLoader, merges)
+        except TooLarge:
+            raise
         except Exception:
             pass
-    return yaml.safe_load(text)
+    return _load(text, yaml.SafeLoader, merges)
+
+
+def _load(text: str, loader, merges: bool):
+    if merges:
+        _refuse_endless_merges(yaml.compose(text, Loader=loader))
+    return yaml.load(text, Loader=loader)
+
+
+def _refuse_endless_merges(root) -> None:
+    """Merge keys copy entries. A chain of them can double its size at every step, and the
+    loader would fill the memory; tell the size from the unexpanded nodes first."""
+    sizes, seen, todo, total = {}, set(), [root], 0
+    while todo:
+        node = todo.pop()
+        if isinstance(node, yaml.CollectionNode) and id(node) not in seen:
+            seen.add(id(node))
+            if isinstance(node, yaml.MappingNode):
+                total += _merged_size(node, sizes)
+                todo += [n for pair in node.value for n in pair]
+            else:
+                todo += node.value
+    if total > _MAX_ENTRIES:
+        raise TooLarge("merge keys write out to too many entries")
+
+
+def _merged_size(node, sizes) -> int:
+    if isinstance(node, yaml.SequenceNode):
+        return sum(_merged_size(item, sizes) for item in node.value)
+    if not isinstance(node, yaml.MappingNode):
+        return 0
+    if id(node) not in sizes:
+        sizes[id(node)] = 0
+        sizes[id(node)] = sum(
+            _merged_size(value, sizes) if key.tag == "tag:yaml.org,2002:merge" else 1
+            for key, value in node.value
+        )
+    return sizes[id(node)]
 
 
 _KINDS = {
@@ -192,7 +239,7 @@ def _text(value, containers: bool):
         if not containers:
             return None
         if _entries(value, {}) > _MAX_ENTRIES:
-            raise ValueError("a value grows too large when its aliases are written out")
+            raise TooLarge("a value has too many entries when its aliases are written out")
     return str(value)
 
 

@@ -11,12 +11,15 @@ from cilode.functions.rules import Rules, effective_keywords, label_hits
 from cilode.functions.text import outside_comment_lines
 
 # Rule tables up to these sizes are put into the query as a constant, others are joined.
-MAX_CONSTANT_RULES = 256
+MAX_CONSTANT_RULES = 64
 MAX_CONSTANT_BYTES = 1 << 20
 
 # Length of the windows that keywords and texts are joined on.
 ANCHOR = 12
 INNER = -1
+# Keywords up to these sizes (some 100 MB as hash tables) are sent to all executors.
+MAX_BROADCAST_WINDOWS = 1_000_000
+MAX_BROADCAST_BYTES = 16 << 20
 INNER_WORD = rf"(?s)(?<=[^\p{{L}}\p{{N}}])(?=([\p{{L}}\p{{N}}].{{{ANCHOR - 1}}}))"
 
 
@@ -125,22 +128,28 @@ def match_rules_joined(docs: DataFrame, rules: DataFrame, key: str, text: str =
     )
     # All windows of full length include those at inner words.
     needed = [kind for kind in kinds if kind != INNER or ANCHOR not in kinds]
-    held = docs.select(key, F.explode(_windows(text, needed)).alias("window")).join(
-        keyword_windows.select("window").distinct(), "window", "left_semi"
+    held = docs.select(key, text, F.explode(_windows(text, needed)).alias("window"))
+    letters = sized.agg(F.sum(F.octet_length("keyword"))).first()[0]
+    few = letters <= MAX_BROADCAST_BYTES and keyword_windows.count() <= MAX_BROADCAST_WINDOWS
+    bounded = F.broadcast if few else lambda df: df
+
+    spread = (
+        held.select("window")
+        .join(bounded(keyword_windows.select("window").distinct()), "window", "left_semi")
+        .groupBy("window")
+        .agg(F.count("*").alias("documents"))
     )
-    spread = held.groupBy("window").agg(F.count("*").alias("documents"))
     anchors = (
         keyword_windows.join(spread, "window")
         .groupBy("keyword")
         .agg(F.min_by("window", F.struct("documents", "window")).alias("window"))
     )
-    pairs = held.join(anchors, "window").select(key, "keyword")
-    return (
-        docs.select(key, text)
-        .join(pairs, key)
-        .where(F.contains(F.col(text), F.col("keyword")))
-        .select(key, "keyword")
-        .join(rules, "keyword")
-        .select(key, "label")
-        .distinct()
-    )
+    holds = F.contains(F.col(text), F.col("keyword"))
+    if few:
+        # At most one anchor per keyword window: nothing of the size of the texts moves.
+        found = held.join(F.broadcast(anchors), "window").where(holds)
+    else:
+        # Texts would move once per window; only their keys do, and the texts once.
+        pairs = held.select(key, "window").join(anchors, "window").select(key, "keyword")
+        found = docs.select(key, text).join(pairs, key).where(holds)
+    return found.select(key, "keyword").join(rules, "keyword").select(key, "label").distinct()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cilode.functions.rules import labels_text
 from cilode.plans import reports as R
 
 # Table names, and which report writes them.
@@ -53,13 +54,16 @@ def write_report(
 ) -> dict[str, DataFrame]:
     """Run one report of TABLES: read every file once, write its tables below `out`.
 
-    The per-file rows go to `<out>/<name>_files` first: they are the audit of the run, and
-    the tables are aggregated from there, so that neither a further table nor a lost
-    executor makes files be loaded again.
+    The per-file rows go to `<out>/file_audit_<name>` first. They say what happened to each
+    file, and the tables are aggregated from there, so that neither a further table nor a
+    lost executor makes files be loaded again.
     """
     report, tables = TABLES[name]
-    stored = f"{out}/{name}_files"
+    stored = f"{out}/file_audit_{name}"
     facts = R.file_facts(files, report, on_bad_encoding)
+    facts = facts.withColumns(
+        {"test_types": labels_text(F.col("labels"), report.rules), "error": F.col("error_kind").isNotNull()}
+    )
     # The rows are small, those of many input splits go into one file.
     facts.hint("rebalance").write.mode("overwrite").parquet(stored)
     facts = spark.read.parquet(stored)

@@ -131,6 +131,18 @@ def test_alias_bomb_is_read_in_linear_time():
     assert not read(text, E.FIXED_LEVELS)[0]["ok"]
 
 
+def test_merge_bomb_is_an_error():
+    for key in ("<<", "? <<\n    ", "!!merge x"):
+        lines = ["l0: &l0 {a: 1}"] + [f"l{i}: &l{i}\n    {key}: [*l{i - 1}, *l{i - 1}]" for i in range(1, 60)]
+        head, _ = read("\n".join(lines))
+        assert not head["ok"] and "too many" in head["message"], head
+    fine = ["l0: &l0 {a: 1}"] + [f"l{i}: &l{i} {{<<: *l{i - 1}, k{i}: 1}}" for i in range(1, 60)]
+    assert read("\n".join(fine))[0]["ok"]
+    assert verdict(D.load, "\n".join(fine)) == verdict(yaml.safe_load, "\n".join(fine))
+    assert verdict(D.load, "a: &a {<<: *a}") == verdict(yaml.safe_load, "a: &a {<<: *a}")
+    assert verdict(D.load, "a: &a 1\nb: {<<: *a}") == verdict(yaml.safe_load, "a: &a 1\nb: {<<: *a}")
+
+
 def test_half_a_surrogate_pair(spark):
     df = spark.createDataFrame([('a: "\\uD800x"',)], "text string")
     [row] = df.select(E.scalar_at(D.documents(F.col("text"), [("a",)])["nodes"], 0).alias("v")).collect()

@@ -86,6 +86,18 @@ def test_rule_join(spark):
     assert sorted(map(tuple, O.match_rules_joined(docs, rules, "id").collect())) == want
 
 
+def test_rule_join_without_broadcast(spark, monkeypatch):
+    docs, rules, want = rule_join_fixture(spark)
+    monkeypatch.setattr(O, "MAX_BROADCAST_WINDOWS", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = O.match_rules_joined(docs, rules, "id")
+        assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, joined.collect())) == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_large_rule_table_is_joined(spark, monkeypatch):
     docs, rules, want = rule_join_fixture(spark)
     monkeypatch.setattr(O, "MAX_CONSTANT_RULES", 5)

@@ -107,7 +107,8 @@ def test_reports_are_written(spark, tree, tmp_path, name):
     assert audit.count() == 10
     # Running again replaces the tables.
     write_report(spark, config_files(spark, tree), out, name, parts=1)
-    assert spark.read.parquet(f"{out}/{name}_files").count() == 5
+    stored = spark.read.parquet(f"{out}/file_audit_{name}")
+    assert stored.count() == 5 and set(audit.columns) <= set(stored.columns)
 
 
 def test_settings(spark):
