@@ -11,6 +11,8 @@ DEFAULTS = {
     # Parsing costs far more per byte than reading, so scan tasks are kept smaller than the
     # default, and batches are bounded in rows and bytes whatever the size of the files.
     "spark.sql.files.maxPartitionBytes": "64m",
+    # Configuration files are small: let a scan task open some hundreds of them.
+    "spark.sql.files.openCostInBytes": "128k",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     "spark.sql.execution.arrow.maxBytesPerBatch": "64m",
     "spark.ui.enabled": "false",
