@@ -65,14 +65,14 @@ _DOCUMENT_FIELDS = [
 # The compiled loader is some seven times faster than the pure Python one, whose verdict
 # is the one to match. They differ on the texts below only (checked by random documents,
 # see tests/test_documents.py), which go to the pure loader, as do all texts the compiled
-# one rejects and all that may nest so deeply that it has no limit where Python has one.
+# one rejects and all that nest deeply, where it has no limit and Python has one.
 _ODD_CHARACTERS = ("\t", "\r", "\ufeff")
 _DIRECTIVE = re.compile("(?:^|[\n\x85\u2028\u2029])%")
 _BARE_TAG = re.compile("(?:^|[\\s,\\[\\]{}])!(?:[\\s,<\\[\\]{}]|$)")
 _MARKED_BLOCK = re.compile("[|>][0-9+-]*#")
 _FLOW_START = re.compile("(?:^|[-?:\n\x85\u2028\u2029]) *[\\[{]|(?:^|\\s)[&!]\\S* +[\\[{]")
 _DEEP_INDENT = re.compile("^[ ?:-]{100}", re.MULTILINE)
-_MANY = 100
+_DEEP = 100
 
 # Copies of one file are frequent. Each task keeps its latest results for texts up to this
 # length, some tens of MB at most.
@@ -95,11 +95,31 @@ def _needs_pure_loader(text: str) -> bool:
         or ("!" in text and _BARE_TAG.search(text) is not None)
         or ("#" in text and _MARKED_BLOCK.search(text) is not None)
         or ("?" in text and _FLOW_START.search(text) is not None)
-        or text.count("[") + text.count("{") - 2 * text.count("${{") > _MANY
-        or _DEEP_INDENT.search(text) is not None
+        or (_may_be_deep(text) and _is_deep(text))
     )
 
 
+def _may_be_deep(text: str) -> bool:
+    brackets = text.count("[") + text.count("{") - 2 * text.count("${{")
+    return brackets > _DEEP or _DEEP_INDENT.search(text) is not None
+
+
+def _is_deep(text: str) -> bool:
+    """Whether collections nest deeply; reads the events, which takes no recursion."""
+    depth = 0
+    try:
+        for event in yaml.parse(text, Loader=yaml.CSafeLoader):
+            if isinstance(event, yaml.CollectionStartEvent):
+                depth += 1
+                if depth > _DEEP:
+                    return True
+            elif isinstance(event, yaml.CollectionEndEvent):
+                depth -= 1
+    except yaml.YAMLError:
+        return True
+    return False
+
+
 class TooLarge(ValueError):
     """A document that no memory would hold once its aliases are written out."""
 
@@ -131,11 +151,11 @@ def _refuse_endless_merges(root) -> None:
         node = todo.pop()
         if isinstance(node, yaml.CollectionNode) and id(node) not in seen:
             seen.add(id(node))
+            below = node.value
             if isinstance(node, yaml.MappingNode):
                 total += _merged_size(node, sizes)
-                todo += [n for pair in node.value for n in pair]
-            else:
-                todo += node.value
+                below = [n for pair in node.value for n in pair]
+            todo += reversed(below)  # in the order of the text, as a chain of merges is
     if total > _MAX_ENTRIES:
         raise TooLarge("merge keys write out to too many entries")
 

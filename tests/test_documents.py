@@ -91,6 +91,14 @@ def test_choice_of_loader_takes_linear_time(text):
     assert time.process_time() - start < 2
 
 
+def test_brackets_that_do_not_nest_are_read_fast():
+    assert not D._needs_pure_loader("a: [" + "[], " * 1000 + "]")
+    assert D._needs_pure_loader("a: " + "[" * 150 + "]" * 150)
+    for depth in (90, 100, 101, 150, 200):
+        for text in ("[" * depth + "]" * depth, "\n".join(" " * i + "a:" for i in range(depth)), "- " * depth + "x"):
+            assert verdict(D.load, text) == verdict(yaml.safe_load, text)
+
+
 def read(text, *patterns):
     head, rows = D.read_document(text, patterns)
     return dict(zip([n for n, _ in D._DOCUMENT_FIELDS], head)), rows
@@ -139,6 +147,8 @@ def test_merge_bomb_is_an_error():
     fine = ["l0: &l0 {a: 1}"] + [f"l{i}: &l{i} {{<<: *l{i - 1}, k{i}: 1}}" for i in range(1, 60)]
     assert read("\n".join(fine))[0]["ok"]
     assert verdict(D.load, "\n".join(fine)) == verdict(yaml.safe_load, "\n".join(fine))
+    chain = "\n".join(["l0: &l0 {a: 1}"] + [f"l{i}: &l{i} {{<<: *l{i - 1}}}" for i in range(1, 1500)])
+    assert verdict(D.load, chain) == verdict(yaml.safe_load, chain)
     assert verdict(D.load, "a: &a {<<: *a}") == verdict(yaml.safe_load, "a: &a {<<: *a}")
     assert verdict(D.load, "a: &a 1\nb: {<<: *a}") == verdict(yaml.safe_load, "a: &a 1\nb: {<<: *a}")
 
