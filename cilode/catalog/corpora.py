@@ -15,13 +15,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """At least one partition per core.
+    """Spread a small table over all cores before its rows are made into texts.
 
-    A table of one row group is one task, however much work its rows are. Tables with
-    enough splits are left as they are.
+    Spark cuts a small table into about one split per core, but a split without the start
+    of a row group is empty, so one task may get all rows. Tables of many splits stay as
+    they are.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+    tasks = 2 * df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= tasks else df.repartition(tasks, key)
 
 
 def _lines(*parts: str) -> str:
