@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cilode.functions.rules import Rules, effective_keywords, label_hits
-from cilode.functions.text import outside_comment_lines
+from cilode.functions.text import OTHER_ENDS, outside_comment_lines
 
 # Rule tables up to these sizes are put into the query as a constant, others are joined.
 MAX_CONSTANT_RULES = 64
@@ -37,13 +37,13 @@ def with_labels(
     keyword spans a line, so leaving comment lines out means that some line which is no
     comment holds a keyword; only labels whose keywords occur at all are looked at again.
     """
-    if any("\n" in word or "\r" in word for words in rules.values() for word in words):
+    if any(end in word for words in rules.values() for word in words for end in "\n" + OTHER_ENDS):
         raise ValueError("a keyword must not span lines")
     lowered = "__lowered"
     flags = {}
     for label, hit in label_hits(F.col(lowered), rules, fold_keywords).items():
         words = effective_keywords(rules[label], fold_keywords)
-        if strip_comments and words:
+        if strip_comments and words not in ([], [""]):
             commented = F.contains(F.col(lowered), F.lit("#"))
             hit = hit & (~commented | outside_comment_lines(F.col(lowered), words))
         flags[label] = F.coalesce(hit, F.lit(False))

@@ -60,8 +60,13 @@ def test_effective_keywords():
 
 
 def test_keywords_over_lines_are_refused(spark):
-    with pytest.raises(ValueError):
-        O.with_labels(spark.createDataFrame([("a",)], "text string"), {"l": ["a\nb"]})
+    for word in ("a\nb", "a\rb", "a\x85b", "\x0c"):
+        with pytest.raises(ValueError):
+            O.with_labels(spark.createDataFrame([("a",)], "text string"), {"l": [word]})
+
+
+def test_empty_keyword_is_in_every_text(spark):
+    assert types(spark, ["# a", "", "b"], {"l": ["", "b"], "n": []}) == ["l", "l", "l"]
 
 
 def rule_join_fixture(spark):
