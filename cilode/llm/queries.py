@@ -2,16 +2,48 @@
 
 from __future__ import annotations
 
-from cilode.llm import quality
+import corpus_pipeline
+from cilode.llm import decontaminate, jaccard, packing, quality, secrets, sharding, warc
 from cilode.llm.common import table
 
 
+def op1_secret_scans(spark, folder):
+    return secrets.report(table(spark, folder, "documents"))
+
+
 def op2_quality_rules(spark, folder):
     return quality.report(table(spark, folder, "documents"))
 
 
+def op3_ngram_jaccard_join(spark, folder):
+    return jaccard.classes(table(spark, folder, "documents"))
+
+
+def op5_warc(spark, folder):
+    return warc.report(table(spark, folder, "pages"))
+
+
+def op6_packing(spark, folder):
+    return packing.packed(table(spark, folder, "documents"))
+
+
+def op8_benchmark_decontamination(spark, folder):
+    return decontaminate.report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op10_sharding(spark, folder):
+    return sharding.sharded(table(spark, folder, "documents"))
+
+
 QUERIES = {
+    "op1_secret_scans": op1_secret_scans,
     "op2_quality_rules": op2_quality_rules,
+    "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+    "op5_warc": op5_warc,
+    "op6_packing": op6_packing,
+    "op8_benchmark_decontamination": op8_benchmark_decontamination,
+    "op10_sharding": op10_sharding,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE: dict[str, str] = {}
