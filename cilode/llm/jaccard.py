@@ -32,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 from pyspark.sql.window import Window
 
 from cilode.llm.common import stored
@@ -200,7 +201,7 @@ def _fragments(width: int, percent: int):
     return run
 
 
-@F.arrow_udf("long")
+@F.arrow_udf(LongType())
 def _overlap(left: pa.Array, right: pa.Array) -> pa.Array:
     """Number of members that two segments share."""
     return pa.array(
