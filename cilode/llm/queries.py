@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from cilode.llm import decontaminate, jaccard, packing, quality, secrets, sharding, warc
+from cilode.llm import chat, decontaminate, jaccard, licenses, lm, packing, quality, secrets, sharding, warc
 from cilode.llm.common import table
 
 
@@ -19,6 +19,10 @@ def op3_ngram_jaccard_join(spark, folder):
     return jaccard.classes(table(spark, folder, "documents"))
 
 
+def op4_chat_formatting(spark, folder):
+    return chat.report(chat.with_probe(table(spark, folder, "conversations")))
+
+
 def op5_warc(spark, folder):
     return warc.report(table(spark, folder, "pages"))
 
@@ -27,10 +31,18 @@ def op6_packing(spark, folder):
     return packing.packed(table(spark, folder, "documents"))
 
 
+def op7_license_scans(spark, folder):
+    return licenses.report(table(spark, folder, "documents"))
+
+
 def op8_benchmark_decontamination(spark, folder):
     return decontaminate.report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op9_lm_scoring(spark, folder):
+    return lm.scored(table(spark, folder, "documents"))
+
+
 def op10_sharding(spark, folder):
     return sharding.sharded(table(spark, folder, "documents"))
 
@@ -39,9 +51,12 @@ QUERIES = {
     "op1_secret_scans": op1_secret_scans,
     "op2_quality_rules": op2_quality_rules,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+    "op4_chat_formatting": op4_chat_formatting,
     "op5_warc": op5_warc,
     "op6_packing": op6_packing,
+    "op7_license_scans": op7_license_scans,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
+    "op9_lm_scoring": op9_lm_scoring,
     "op10_sharding": op10_sharding,
     "pipeline": corpus_pipeline.run,
 }

@@ -1,0 +1,99 @@
+"""Secret scans against plain Python patterns and a plain search for near parts."""
+
+import hashlib
+import random
+import re
+
+from cilode.llm import secrets as S
+
+SCHEMA = "doc_id long, text string, key string, spans int"
+PASSWORD = r"[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]"
+ASSIGN = re.compile(rf"""({PASSWORD})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+
+
+def base(text):
+    text = text or ""
+    spans = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+    spans += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    spans += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    return sorted(spans)
+
+
+def weak(text):
+    """All weak candidates with their roles, and those whose complements are near."""
+    text = text or ""
+    found = [(m.start(), 3, m.end()) for m in re.finditer(S.IDENT.replace("(?i:", "(?i:"), text)]
+    found += [
+        (m.start(), 4, m.end())
+        for m in re.finditer(S.TOKEN, text)
+        if re.search("[a-z]", m[0]) and re.search("[A-Z]", m[0]) and re.search("[0-9]", m[0])
+    ]
+    found += [(m.start(), 5, m.end()) for m in re.finditer(S.ENDPOINT, text)]
+    every = base(text) + found
+    gap = lambda a, b: max(b[0] - a[2], a[0] - b[2], 0)
+
+    def near(part, ranks):
+        return any(o[1] in ranks and o != part and gap(part, o) <= S.SCOPE for o in every)
+
+    out = []
+    for part in found:
+        by_id, by_secret = near(part, (1, 3)), near(part, (0, 2, 4))
+        if (part[1] == 3 and by_secret) or (part[1] == 4 and by_id) or (part[1] == 5 and by_id and by_secret):
+            out.append(part)
+    return out
+
+
+def written(spans):
+    return ",".join(f"{S.KINDS[rank]}:{start}:{end}" for start, rank, end in sorted(spans))
+
+
+def fixture():
+    rng = random.Random(9)
+    pieces = [
+        "password=hunter2x", "token : 'abc", "token:abcdef", "Secret=token:abcdefgh", "API_KEY=\"q+/=._-q", "AKIA" + "A" * 15,
+        "AKIA" + "B7" * 8, "AKIAAKIA" + "C" * 14, "0123456789abcdef01234567", "0" * 23, "user_name: root", "client_id=abc.def",
+        "https://db.example.org/x?y", "postgres://h:5432/d", "aB3" * 12, "Zz9+" * 9 + "==", "\U0001f600é", "word " * 10, "x" * 150 + " ",
+        "x " * 190, "\n", "passwordpassword=1234567", "password='", "ab" * 3,
+    ]
+    texts = ["".join(rng.choice(pieces) + rng.choice([" ", "", "\n", ", "]) for _ in range(rng.randint(0, 14))) for _ in range(250)]
+    texts += [None, "", "token=" + "a" * 100_000, "password=abcdef " * 3000, "user_id=abc https://x.y/z " * 400 + "secret=abcdefg"]
+    rows = [(i, t, "k", 0) for i, t in enumerate(texts)]
+    return rows + [rows[4], (None, "client_id=abc token=abcdefg", None, None), (7, "password=abcdefgh", "k", 1)]
+
+
+def test_report(spark):
+    rows = fixture()
+    got = S.report(spark.createDataFrame(rows, SCHEMA)).collect()
+    want = []
+    for doc_id, text, *_ in rows:
+        spans = base(text)
+        counts = [sum(rank == k for _, rank, _ in spans) for k in range(3)]
+        want.append((doc_id, *counts, hashlib.sha256(written(spans).encode()).hexdigest(), written(spans + weak(text))))
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+    assert sum("token:" in w[-1].replace("assign", "") for w in want) > 5 and sum("endpoint" in w[-1] for w in want) > 5
+
+
+def test_masked_texts(spark):
+    rows = fixture()
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = S.redacted(docs)
+    assert got.columns == docs.columns
+    want = []
+    for doc_id, text, *rest in rows:
+        spans, out, to = sorted(base(text) + weak(text)), [], 0
+        for start, _, end in spans:
+            out += [text[to:start] if start > to else "", S.MASK if start >= to else ""]
+            to = max(to, end)
+        want.append((doc_id, "".join(out) + text[to:] if spans else text, *rest))
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_empty_table(spark):
+    docs = spark.createDataFrame([], SCHEMA)
+    assert S.report(docs).collect() == [] and S.redacted(docs).collect() == []
+
+
+def test_native(spark):
+    docs = spark.createDataFrame(fixture()[:3], SCHEMA)
+    for df in (S.report(docs), S.redacted(docs)):
+        assert "Python" not in df._jdf.queryExecution().executedPlan().toString()

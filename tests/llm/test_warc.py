@@ -1,0 +1,83 @@
+"""Web archives: round trips through files."""
+
+import base64
+import glob
+import gzip
+import hashlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from cilode.llm import warc as W
+
+SCHEMA = "page_id long, url string, html string, type string, digest int"
+PAYLOADS = [
+    "<html>a</html>", "", None, "ends\r\n", "ends\r\n\r\n", "\r\n\r\nstarts", "in\r\n\r\nthe\r\n\r\n\r\n\r\nmiddle", "WARC/1.1\r\nContent-Length: 5\r\n\r\nhello",
+    "é\U0001f600" * 10, "x" * 200_000, "\x00\x01", "\n", "\r", "<html>a</html>",
+]
+
+
+def sha(text):
+    return base64.b32encode(hashlib.sha1((text or "").encode()).digest()).decode()
+
+
+def fixture():
+    rows = [(i, f"https://h{i}.org/p q?x=1#f", p, "t", 1) for i, p in enumerate(PAYLOADS)]
+    rows += [(50 + i, "http://copy.org", "<p>copy</p>", "t", 1) for i in range(40)]
+    rows += [(70, "http://copy.org", "<p>copy</p>", "t", 1), (None, None, "alone", None, None), (None, "x\r\ny", "<p>copy</p>", None, None)]
+    return rows
+
+
+def plain(rows):
+    best = {}
+    for page, _, html, *_ in rows:
+        best[sha(html)] = max(best.get(sha(html), -1), -1 if page is None else page)
+    out = []
+    for page, _, html, *_ in rows:
+        original = best[sha(html)] if best[sha(html)] >= 0 else None
+        kind = "response" if page == original else "revisit"
+        out.append((page, len((html or "").encode()), sha(html), kind, None if kind == "response" else original))
+    return sorted(out, key=repr)
+
+
+def test_report(spark):
+    rows = fixture()
+    pages = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    assert sorted(map(tuple, W.report(pages).collect()), key=repr) == plain(rows)
+    assert W.report(pages.where("false")).collect() == []
+
+
+def test_digest(spark):
+    df = spark.createDataFrame([(p or "",) for p in PAYLOADS], "t string")
+    assert [r.d for r in df.select(W.base32_sha1(F.col("t")).alias("d")).collect()] == [sha(p) for p in PAYLOADS]
+
+
+def test_archives_hold_what_was_given(spark, tmp_path):
+    rows = fixture()
+    W.write(spark.createDataFrame(rows, SCHEMA).repartition(3), str(tmp_path / "a"))
+    data = b"".join(gzip.open(f).read() for f in glob.glob(f"{tmp_path}/a/*.gz"))
+    assert data.startswith(b"WARC/1.1\r\nWARC-Type: request\r\n") and data.endswith(b"\r\n\r\n")
+    nested = W.captures(W.read(spark, str(tmp_path / "a"))).collect()
+    assert len(nested) == len(rows)
+    responses = {c.metadata.page_id: c.response for c in nested if c.response.type == "response"}
+    for page, _, html, *_ in rows:
+        if page is not None and page in responses:
+            assert bytes(responses[page].payload).decode() == (html or "")
+            assert responses[page].intact
+    for c in nested:
+        assert c.request.concurrent_to == c.metadata.concurrent_to == c.response.record_id == c.capture
+        assert c.response.type == "response" or c.response.payload is None
+
+
+@pytest.mark.parametrize("size", [1, 3, 1000])
+def test_batches_may_end_anywhere(size):
+    import pyarrow as pa
+
+    block = b"HTTP/1.1 200 OK\r\nContent-Length: 8\r\n\r\nab\r\n\r\ncd"
+    head = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <r>\r\nContent-Length: " + str(len(block)).encode()
+    pieces = (head + b"\r\n\r\n" + block + b"\r\n\r\n").split(b"\r\n\r\n") * 3
+    batches = [pa.RecordBatch.from_arrays([pa.array(pieces[i : i + size])], names=["value"]) for i in range(0, len(pieces), size)]
+    found = [r for b in W._parser(True)(batches) for r in b.to_pylist()]
+    assert [r["payload"] for r in found] == [b"ab\r\n\r\ncd"] * 3 and not found[0]["intact"]
+    with pytest.raises(ValueError):
+        list(W._parser(True)([pa.RecordBatch.from_arrays([pa.array([head, b"HTTP"])], names=["value"])]))
