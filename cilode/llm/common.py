@@ -26,6 +26,13 @@ def per_worker(key: tuple, make: Callable):
     return kept[key]
 
 
+def slices(batches, rows: int = 512):
+    """Arrow batches in smaller ones, so that little of a batch is turned into objects at a time."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

@@ -25,7 +25,8 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component) for every node of the edges (a, b): the least node it is linked with.
+    """Edges (a, b) from every node of the given edges to the least node it is linked with;
+    the least nodes themselves have none.
 
     Alternates large-star and small-star steps until the edges stay the same. Each step is
     an aggregate and a join of the edges; nothing is collected but their number and checksum.
@@ -35,12 +36,9 @@ def components(edges: DataFrame) -> DataFrame:
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
     ordered = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    now = stored(ordered.distinct(), "edges")
-    seen = checksum(now)
-    while seen[0]:
+    now, seen = ordered.distinct(), None
+    while True:
         now = stored(_small_star(_large_star(now)), "edges")
         before, seen = seen, checksum(now)
-        if seen == before:
-            break
-    roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
+        if seen == before or not seen[0]:
+            return now

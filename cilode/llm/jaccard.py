@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 from pyspark.sql.window import Window
 
-from cilode.llm.common import stored
+from cilode.llm.common import slices, stored
 from cilode.llm.components import components
 from cilode.llm.hashing import mix, set_hash, shingles
 
@@ -44,7 +44,7 @@ PERCENT = 85
 # Fragments in which overlaps are counted.
 COUNTED = 8
 # Turns in which nodes are compared with leaders only.
-ROUNDS = 3
+ROUNDS = 2
 # The number of segments that may be left out is kept in so many bits; fewer are right too.
 _FIELD = 13
 
@@ -128,7 +128,7 @@ def _segments(width: int, percent: int):
 
     def run(batches):
         seen = set()
-        for batch in batches:
+        for batch in slices(batches):
             ids = batch.column(0).to_pylist()
             keys, nodes, infos = [], [], []
             heads = []
@@ -173,7 +173,7 @@ def _fragments(width: int, percent: int):
     """(node, size, fragment, members, parity of the members) of each text."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for data in _text_bytes(batch.column(0)):
                 members = shingles(data, width)
@@ -297,7 +297,8 @@ def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Data
 
     # One text per node that shares a segment.
     nodes = shared.select("node").distinct()
-    first = labels.join(nodes, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    # Copies are counted down to one row per task before anything is dealt out by node.
+    first = labels.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(nodes, "node")
     texts = docs.join(first.select("doc_id").distinct(), "doc_id")
     fragments = stored(
         texts.select("text")
@@ -308,23 +309,29 @@ def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Data
     )
 
     placed = stored(shared.join(_sketches(fragments), "node").withColumn("part", F.col("node")), "placed")
-    links = None
+    # Every component is a star of edges to its least node, which is all that is kept of its links.
+    stars = None
     for turn in range(ROUNDS + 1):
         pairs = _led(placed, turn, percent) if turn < ROUNDS else _crossing(placed, percent)
         found = stored(_linked(pairs, fragments, percent), "links")
-        links = found if links is None else links.unionByName(found)
-        part = components(links)
+        if stars is None or not found.isEmpty():
+            stars = components(found if stars is None else stars.unionByName(found))
+        part = stars.select(F.col("a").alias("node"), F.col("b").alias("part"))
         if turn < ROUNDS:
-            met = placed.drop("part").join(part.withColumnRenamed("component", "part"), "node", "left")
-            met = met.withColumn("part", F.coalesce("part", "node"))
+            # A least node is a part of its own already.
+            met = placed.drop("part").join(part, "node", "left").withColumn("part", F.coalesce("part", "node"))
             mixed = met.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high")
             placed = stored(met.join(mixed.select("key"), "key"), "placed")
 
-    named = labels.where("node is not null").join(part, "node", "left").select(
-        "node", "doc_id", F.coalesce("component", "node").alias("component")
+    named = (
+        labels.where("node is not null")
+        .groupBy("node")
+        .agg(F.min("doc_id").alias("doc_id"))
+        .join(part, "node", "left")
+        .select("node", "doc_id", F.coalesce("part", "node").alias("component"))
     )
     smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    node_class = named.select("node", "component").distinct().join(smallest, "component").select("node", "component_id")
+    node_class = named.join(smallest, "component").select("node", "component_id")
     return labels.join(node_class, "node", "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
     )
