@@ -5,6 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from cilode.llm import chat, decontaminate, jaccard, licenses, lm, packing, quality, secrets, sharding, warc
 from cilode.llm.common import table
+from cilode.llm.oracle import ORACLE
 
 
 def op1_secret_scans(spark, folder):
@@ -61,4 +62,4 @@ QUERIES = {
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLE: dict[str, str] = {}
+__all__ = ["ORACLE", "QUERIES"]
