@@ -1,4 +1,4 @@
-"""Time the headline queries; prints one JSON line.
+"""Time the queries of the library; prints one JSON line.
 
 BENCH_SF_DIR names the folder of tables, BENCH_CPUS the number of local cores. Each query
 runs once to warm up and is then timed over BENCH_RUNS runs (best of); the result is
@@ -17,14 +17,6 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from cilode.catalog.queries import QUERIES  # noqa: E402
 from cilode.session import session  # noqa: E402
 
-HEADLINE = (
-    "scan_inventory decode_normalise strip_comment_lines classify_basic classify_uncommented "
-    "classify_rules_join classify_rules_equi_join validate_documents config_fields config_event_fields "
-    "options_long levels_long levels_detailed summary_labels instrumentation_summary_v1 "
-    "instrumentation_summary_v2 project_test_summary project_test_types file_audit_provenance"
-).split()
-
-
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -34,11 +26,12 @@ def main() -> None:
         spark__master=f"local[{cpus}]",
         spark__driver__memory=os.environ.get("BENCH_MEMORY", "4g"),
         spark__sql__shuffle__partitions=cpus if cpus.isdigit() else "8",
+        spark__ui__enabled="false",
         spark__ui__showConsoleProgress="false",
     )
     spark.sparkContext.setLogLevel("ERROR")
     times = {}
-    for name in sys.argv[1:] or HEADLINE:
+    for name in sys.argv[1:] or QUERIES:
         best = None
         for run in range(runs + 1):
             start = time.perf_counter()

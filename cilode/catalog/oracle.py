@@ -53,6 +53,7 @@ _V1 = _types(
     ("firebase_test_lab", "p = 4"),
 )
 _V2_FOLDED = _types(
+    ("GitHub_emulator_compact", "workflow AND p = 2 AND s = 'O'"),
     ("GitHub_emulator_full", "workflow AND p = 1"),
     ("GitHub_emulator_manual", "CASE WHEN workflow THEN p = 3 ELSE p IN (2, 3, 5) END"),
     ("GitHub_gradle", "CASE WHEN workflow THEN p = 2 ELSE p = 1 END"),
@@ -61,6 +62,7 @@ _V2_FOLDED = _types(
     ("firebase_test_lab", "p = 4"),
 )
 _V2 = _types(
+    ("GitHub_emulator_compact", "workflow AND p = 2 AND s = 'O'"),
     ("GitHub_emulator_full", "workflow AND p = 1"),
     ("GitHub_emulator_manual", "NOT workflow AND p IN (3, 5)"),
     ("GitHub_gradle", "CASE WHEN workflow THEN p = 2 ELSE p = 1 END"),
@@ -69,6 +71,7 @@ _V2 = _types(
     ("firebase_test_lab", "p = 4"),
 )
 _V2_UNFOLDED = _types(
+    ("GitHub_emulator_compact", "workflow AND p = 2 AND s = 'O'"),
     ("GitHub_emulator_full", "workflow AND p = 1"),
     ("GitHub_emulator_manual", "NOT workflow AND p IN (3, 5)"),
     ("GitHub_gradle", "NOT workflow AND p = 1"),
@@ -190,7 +193,7 @@ ORACLE: dict[str, str] = {
         FROM part""",
     "config_document": """
         SELECT p_partkey, 'range' AS key, 'map' AS kind,
-               '{''min'': ' || p_size || ', ''max'': ' || (p_size + 100) || '}' AS value FROM part
+               '{''max'': ' || (p_size + 100) || ', ''min'': ' || p_size || '}' AS value FROM part
         UNION ALL SELECT p_partkey, 'guesses', 'int', CAST(p_size AS VARCHAR) FROM part
         UNION ALL SELECT p_partkey, 'mode', 'str',
                CASE p_type WHEN 'SMALL' THEN 'single' WHEN 'ECONOMY' THEN 'multi' ELSE p_brand END FROM part""",
@@ -212,6 +215,10 @@ ORACLE: dict[str, str] = {
         FROM files f LEFT JOIN options o ON f.path = o.path GROUP BY 1""",
     "options_long": f"""{_FACTS_FIXED}{_OPTIONS.format(source='facts')}
         SELECT project, emulator_option FROM options""",
+    "options_in_order": f"""{_FACTS_FIXED}{_OPTIONS.format(source='facts')}
+        SELECT project, path, emulator_option,
+               CASE WHEN emulator_option = 'tail' THEN 2 WHEN starts_with(emulator_option, '-port') THEN 0 ELSE 1 END
+                 AS position FROM options""",
     "levels_long": f"""{_FACTS_FIXED}{_FIXED_LEVELS.format(source='facts')}
         SELECT DISTINCT project, api_level FROM fixed_levels""",
     "levels_tagged": f"{_FACTS_ROOT}{_TAGGED} SELECT project, source, api_level FROM tagged",

@@ -20,10 +20,10 @@ from cilode.functions.extract import (
     step_options,
 )
 from cilode.functions.rules import RULES_V1, RULES_V2, Rules, labels_text
-from cilode.operators.labelling import match_rules, match_rules_joined, with_labels
+from cilode.operators.labelling import match_rules, match_rules_constant, rule_list, with_labels
 from cilode.operators.rollup import project_flags, project_levels, project_rollup
 from cilode.plans import reports as R
-from cilode.sources.config import config_entries, config_fields, settings
+from cilode.sources.config import config_entries, json_fields, settings
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -87,15 +87,23 @@ def strip_comment_lines(spark, folder):
     return corpora.notes(spark, folder).select("doc_id", T.without_comment_lines(F.col("text")).alias("text"))
 
 
+def _benchmark_rules(spark, folder):
+    return corpora.table(spark, folder, "benchmark").selectExpr("item_id AS label", "text AS keyword")
+
+
 def classify_rules_join(spark, folder):
-    rules = corpora.table(spark, folder, "benchmark").selectExpr("item_id AS label", "text AS keyword")
-    return match_rules(corpora.documents(spark, folder), rules, "doc_id").withColumnRenamed("label", "item_id")
+    """Rules that are few, as the driver's list of them is: a constant of the query."""
+    rules = _benchmark_rules(spark, folder)
+    docs = corpora.documents(spark, folder)
+    return match_rules_constant(docs, rule_list(rules), "doc_id", label_type=rules.schema["label"].dataType).withColumnRenamed(
+        "label", "item_id"
+    )
 
 
 def classify_rules_equi_join(spark, folder):
-    rules = corpora.table(spark, folder, "benchmark").selectExpr("item_id AS label", "text AS keyword")
+    """Rules of any number."""
     docs = corpora.documents(spark, folder)
-    return match_rules_joined(docs, rules, "doc_id").withColumnRenamed("label", "item_id")
+    return match_rules(docs, _benchmark_rules(spark, folder), "doc_id").withColumnRenamed("label", "item_id")
 
 
 def flag_substring(spark, folder):
@@ -122,9 +130,9 @@ def config_document(spark, folder):
 
 
 def config_event_fields(spark, folder):
-    """JSON is YAML: the same reader takes the properties of events."""
-    events = corpora.spread(corpora.table(spark, folder, "events").select("event_id", "props"), "event_id")
-    return config_fields(events, {("k",): "int"}, text="props")
+    """The properties of events are JSON, which needs no reader of its own."""
+    events = corpora.table(spark, folder, "events").select("event_id", "props")
+    return json_fields(events, {("k",): "int"}, text="props")
 
 
 def levels_fixed_path(spark, folder):
@@ -195,6 +203,11 @@ def summary_options(spark, folder):
     )
 
 
+def options_in_order(spark, folder):
+    files = corpora.workflows(spark, folder)
+    return R.options_in_order(R.file_facts(files, R.FIXED_PATH, only=R.FIXED_PATH.option_words))
+
+
 def levels_long(spark, folder):
     files = corpora.workflows(spark, folder)
     return R.project_api_levels(R.file_facts(files, R.FIXED_PATH, only=R.FIXED_PATH.level_words))
@@ -253,6 +266,7 @@ QUERIES: dict[str, Query] = {
     "levels_recursive": levels_recursive,
     "options_extract": options_extract,
     "options_long": options_long,
+    "options_in_order": options_in_order,
     "levels_long": levels_long,
     "levels_tagged": levels_tagged,
     "levels_detailed": levels_detailed,

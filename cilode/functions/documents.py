@@ -9,8 +9,11 @@ A pattern is a tuple that leads from the root to the wanted entries:
     ("jobs", "t", "steps", EACH, "with")   keys of maps, EACH = every item of a list
     ("jobs", DEEP, "api-level")            outermost maps' entries below `jobs`, at any
                                            depth, whose lower-cased key is `api-level`
+    ("jobs", "t", "~options")              the map at `t`, and of its entries only those
+                                           whose lower-cased key contains `options`
 
-Each match gives one node, and one more per direct child if it is a container.
+Each match gives one node, and one more per direct child if it is a container. A search that
+fails keeps what it has found: `extract_failed` says so, `ok` speaks of the load alone.
 """
 
 from __future__ import annotations
@@ -33,6 +36,7 @@ except ImportError:  # the text operators work without it
 
 EACH = "[]"
 DEEP = "**"
+LIKE = "~"
 
 NODE_TYPE = (
     "struct<pattern:int,seq:int,is_child:boolean,parent_kind:string,key:string,"
@@ -40,7 +44,7 @@ NODE_TYPE = (
 )
 DOCUMENT_TYPE = (
     "struct<ok:boolean,message:string,is_empty:boolean,root_kind:string,"
-    f"has_cycle:boolean,nodes:array<{NODE_TYPE}>>"
+    f"has_cycle:boolean,extract_failed:boolean,nodes:array<{NODE_TYPE}>>"
 )
 
 _NODE_FIELDS = [
@@ -60,6 +64,7 @@ _DOCUMENT_FIELDS = [
     ("is_empty", pa.bool_()),
     ("root_kind", pa.string()),
     ("has_cycle", pa.bool_()),
+    ("extract_failed", pa.bool_()),
 ]
 
 # The compiled loader is some seven times faster than the pure Python one, whose verdict
@@ -79,14 +84,6 @@ _DEEP = 100
 _COPIES = 1024
 _COPY_LENGTH = 16_384
 
-_MERGE = re.compile("<<\\s*:|[?]\\s+<<|(?:^|\\s)!\\S*merge")
-
-# Aliases can write out to exponentially more than their file: in merged maps, and in the
-# text of a container, which is asked for only below a fixed path. Past this many entries
-# the document is an error.
-_MAX_ENTRIES = 10_000_000
-
-
 def _needs_pure_loader(text: str) -> bool:
     return (
         not yaml.__with_libyaml__
@@ -120,58 +117,37 @@ def _is_deep(text: str) -> bool:
     return False
 
 
-class TooLarge(ValueError):
-    """A document that no memory would hold once its aliases are written out."""
+class _Merging:
+    """Merge keys copy entries, and a chain of them can double its entries at every step. Of
+    entries that are the same pair of nodes, the first one decides the place and the last one
+    the value; those between them are left out, so that a map keeps a size in proportion to
+    the text."""
+
+    def flatten_mapping(self, node):
+        super().flatten_mapping(node)
+        marks = [(id(key), id(value)) for key, value in node.value]
+        if len(set(marks)) < len(marks):
+            first = {mark: i for i, mark in reversed(list(enumerate(marks)))}
+            last = {mark: i for i, mark in enumerate(marks)}
+            node.value = [node.value[i] for i in sorted({*first.values(), *last.values()})]
+
+
+@functools.cache
+def _loaders():
+    """The compiled loader, if there is one, and the pure one."""
+    pure = type("PureLoader", (_Merging, yaml.SafeLoader), {})
+    return (type("CompiledLoader", (_Merging, yaml.CSafeLoader), {}) if yaml.__with_libyaml__ else pure), pure
 
 
 def load(text: str):
     """What `yaml.safe_load` gives or raises, by the fastest loader that agrees with it."""
-    merges = "*" in text and _MERGE.search(text) is not None
+    compiled, pure = _loaders()
     if not _needs_pure_loader(text):
         try:
-            return _load(text, yaml.CSafeLoader, merges)
-        except TooLarge:
-            raise
+            return yaml.load(text, Loader=compiled)
         except Exception:
             pass
-    return _load(text, yaml.SafeLoader, merges)
-
-
-def _load(text: str, loader, merges: bool):
-    if merges:
-        _refuse_endless_merges(yaml.compose(text, Loader=loader))
-    return yaml.load(text, Loader=loader)
-
-
-def _refuse_endless_merges(root) -> None:
-    """Merge keys copy entries. A chain of them can double its size at every step, and the
-    loader would fill the memory; tell the size from the unexpanded nodes first."""
-    sizes, seen, todo, total = {}, set(), [root], 0
-    while todo:
-        node = todo.pop()
-        if isinstance(node, yaml.CollectionNode) and id(node) not in seen:
-            seen.add(id(node))
-            below = node.value
-            if isinstance(node, yaml.MappingNode):
-                total += _merged_size(node, sizes)
-                below = [n for pair in node.value for n in pair]
-            todo += reversed(below)  # in the order of the text, as a chain of merges is
-    if total > _MAX_ENTRIES:
-        raise TooLarge("merge keys write out to too many entries")
-
-
-def _merged_size(node, sizes) -> int:
-    if isinstance(node, yaml.SequenceNode):
-        return sum(_merged_size(item, sizes) for item in node.value)
-    if not isinstance(node, yaml.MappingNode):
-        return 0
-    if id(node) not in sizes:
-        sizes[id(node)] = 0
-        sizes[id(node)] = sum(
-            _merged_size(value, sizes) if key.tag == "tag:yaml.org,2002:merge" else 1
-            for key, value in node.value
-        )
-    return sizes[id(node)]
+    return yaml.load(text, Loader=pure)
 
 
 _KINDS = {
@@ -243,57 +219,69 @@ class _Leaving:
         self.mark = mark
 
 
-def _entries(value, seen) -> int:
-    """Number of entries in the text of a value, aliases written out."""
-    if not isinstance(value, (dict, list, set, tuple)):
-        return 1
-    if id(value) not in seen:
-        seen[id(value)] = 1
-        below = value.values() if isinstance(value, dict) else value
-        seen[id(value)] = 1 + sum(_entries(item, seen) for item in below)
-    return seen[id(value)]
+def _scalar(value):
+    """Text of a scalar; containers have none."""
+    return None if isinstance(value, (dict, list, set, tuple)) else str(value)
 
 
-def _text(value, containers: bool):
-    if isinstance(value, (dict, list, set, tuple)):
-        if not containers:
-            return None
-        if _entries(value, {}) > _MAX_ENTRIES:
-            raise TooLarge("a value has too many entries when its aliases are written out")
-    return str(value)
+def _text(value):
+    """Text of the value at a key; NULL if it has none. The key counts all the same."""
+    try:
+        return str(value)
+    except Exception:
+        return None
+
+
+def _match_rows(number, match, rows, deep, like):
+    """Append the node of a match and those of its wanted children."""
+    kind = _kind(match)
+    text = _scalar(match)
+    rows.append((number, len(rows), False, None, None, None, kind, text, _digits(text)))
+    if like is not None:
+        # Only the wanted keys, and those that are no text, which end a scan.
+        for key, child in match.items() if isinstance(match, dict) else ():
+            if not isinstance(key, str):
+                rows.append((number, len(rows), True, kind, None, False, _kind(child), None, False))
+            elif like in key.lower():
+                text = str(child)
+                rows.append((number, len(rows), True, kind, key, True, _kind(child), text, _digits(text)))
+        return
+    if isinstance(match, dict):
+        for key, child in match.items():
+            text = _scalar(child) if deep else _text(child)
+            rows.append(
+                (number, len(rows), True, kind, str(key), isinstance(key, str), _kind(child), text, _digits(text))
+            )
+    elif isinstance(match, (list, set, bytes)):
+        for child in match:
+            text = _scalar(child) if deep else str(child)
+            rows.append((number, len(rows), True, kind, None, False, _kind(child), text, _digits(text)))
 
 
 def _nodes(root, patterns):
-    """Rows in the order of NODE_TYPE, and whether a DEEP search met a cycle."""
-    rows, cyclic = [], False
+    """Rows in the order of NODE_TYPE, whether a DEEP search met a cycle, and whether the
+    search of some pattern failed. What was found before a failure stays."""
+    rows, cyclic, failed = [], False, False
     for number, pattern in enumerate(patterns):
         deep = DEEP in pattern
-        if deep:
-            start, wanted = pattern[: pattern.index(DEEP)], pattern[-1]
-            matches = []
-            for value in _along(root, start):
-                found, loops = _outermost(value, wanted)
-                matches += found
-                cyclic |= loops
-        else:
-            matches = _along(root, pattern)
-        for match in matches:
-            kind = _kind(match)
-            value = _text(match, containers=False)
-            rows.append((number, len(rows), False, None, None, None, kind, value, _digits(value)))
-            if isinstance(match, dict):
-                children = match.items()
-            elif isinstance(match, (list, set, bytes)):
-                children = ((None, item) for item in match)
+        like = None
+        if pattern and pattern[-1].startswith(LIKE):
+            like, pattern = pattern[-1][len(LIKE) :], pattern[:-1]
+        try:
+            if deep:
+                start, wanted = pattern[: pattern.index(DEEP)], pattern[-1]
+                matches = []
+                for value in _along(root, start):
+                    found, loops = _outermost(value, wanted)
+                    matches += found
+                    cyclic |= loops
             else:
-                children = ()
-            for key, child in children:
-                text = _text(child, containers=not deep)
-                rows.append(
-                    (number, len(rows), True, kind, None if key is None and kind != "map" else str(key),
-                     isinstance(key, str), _kind(child), text, _digits(text))
-                )
-    return rows, cyclic
+                matches = _along(root, pattern)
+            for match in matches:
+                _match_rows(number, match, rows, deep, like)
+        except Exception:
+            failed = True
+    return rows, cyclic, failed
 
 
 def _digits(text) -> bool:
@@ -301,18 +289,21 @@ def _digits(text) -> bool:
 
 
 def read_document(text: str, patterns=()):
-    """(ok, message, is_empty, root_kind, has_cycle), node rows."""
+    """(ok, message, is_empty, root_kind, has_cycle, extract_failed), node rows.
+
+    `ok` and the message speak of the load alone."""
     try:
         root = load(text)
-        rows, cyclic = _nodes(root, patterns)
     except Exception as failure:
-        return (False, str(failure) or type(failure).__name__, False, None, False), []
-    return (True, None, not root, _kind(root), cyclic), rows
+        return (False, str(failure) or type(failure).__name__, False, None, False, False), []
+    rows, cyclic, failed = _nodes(root, patterns)
+    return (True, None, not root, _kind(root), cyclic, failed), rows
 
 
 def _valid(text):
-    # A quoted escape may name half of a surrogate pair, which no UTF-8 column can hold.
-    return text.encode("utf-8", "replace").decode() if isinstance(text, str) else text
+    # A quoted escape may name half of a surrogate pair, which no UTF-8 column can hold; it
+    # is written as an escape again.
+    return text.encode("utf-8", "backslashreplace").decode() if isinstance(text, str) else text
 
 
 def _column(values, type_):

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from cilode.functions.documents import DEEP, EACH
+from cilode.functions.documents import DEEP, EACH, LIKE
 
 FIXED_LEVELS = ("jobs", "instrumented-test", "strategy", "matrix", "api_level")
-FIXED_STEPS = ("jobs", "instrumented-test", "steps", EACH, "with")
+OPTIONS = "emulator-options"
+FIXED_STEPS = ("jobs", "instrumented-test", "steps", EACH, "with", LIKE + OPTIONS)
 ANY_LEVEL = ("jobs", DEEP, "api-level")
 
 
@@ -74,7 +75,7 @@ def iterated_levels(nodes: Column, pattern: int) -> Column:
     return F.array_sort(F.array_distinct(F.flatten(F.transform(matched, items))))
 
 
-def step_options(nodes: Column, pattern: int, name: str = "emulator-options") -> Column:
+def step_options(nodes: Column, pattern: int, name: str = OPTIONS) -> Column:
     """Texts of the step inputs whose lower-cased key contains `name`, in file order.
 
     The scan of a file ends at the first step whose inputs are no map and at the first key

@@ -2,24 +2,21 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cilode.functions.rules import Rules, effective_keywords, label_hits
 from cilode.functions.text import OTHER_ENDS, outside_comment_lines
 
-# Rule tables up to these sizes are put into the query as a constant, others are joined.
-MAX_CONSTANT_RULES = 64
-MAX_CONSTANT_BYTES = 1 << 20
+# A rule list that becomes a constant of a query holds at most so many rules and letters.
+MAX_CONSTANT_RULES = 1000
+MAX_CONSTANT_LETTERS = 1 << 20
 
 # Length of the windows that keywords and texts are joined on.
 ANCHOR = 12
+# Kind of the windows at inner words; other kinds are window lengths.
 INNER = -1
-# Keywords up to these sizes (some 100 MB as hash tables) are sent to all executors.
-MAX_BROADCAST_WINDOWS = 1_000_000
-MAX_BROADCAST_BYTES = 16 << 20
+KINDS = [INNER, *range(ANCHOR + 1)]
 INNER_WORD = rf"(?s)(?<=[^\p{{L}}\p{{N}}])(?=([\p{{L}}\p{{N}}].{{{ANCHOR - 1}}}))"
 
 
@@ -52,104 +49,93 @@ def with_labels(
     return out.select(*keep, F.struct(*[flag.alias(label) for label, flag in flags.items()]).alias(into))
 
 
-def match_rules(docs: DataFrame, rules: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """Distinct (key, label) pairs where the text contains a keyword of the label.
+def rule_list(rules: DataFrame) -> list[tuple]:
+    """The rows (label, keyword) of a rule table that is known to be short, NULLs left out.
 
-    `rules` is any table (label, keyword); `key` identifies a document. A rule table of a
-    checked small size becomes a constant of the query, so no row moves. A larger one is
-    joined by `match_rules_joined`, with the same result.
+    A longer one is refused, not cut: it is a case for `match_rules`.
     """
-    head = rules.select("label", "keyword").where("label is not null and keyword is not null")
-    few = head.limit(MAX_CONSTANT_RULES + 1)
-    size = few.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("keyword")), F.lit(0))).first()
-    if size[0] > MAX_CONSTANT_RULES or size[1] > MAX_CONSTANT_BYTES:
-        return match_rules_joined(docs, rules, key, text)
-    return match_rules_constant(docs, few.collect(), key, text)
-
-
-def match_rules_constant(docs: DataFrame, rules: list, key: str, text: str = "text") -> DataFrame:
-    """`match_rules` for a short list of (label, keyword)."""
-    words: dict[object, list[str]] = {}
-    for label, word in sorted(set(map(tuple, rules))):
-        words.setdefault(label, []).append(word)
+    sound = rules.select("label", "keyword").where("label is not null and keyword is not null")
+    held = [tuple(row) for row in sound.limit(MAX_CONSTANT_RULES + 1).collect()]
+    if len(held) > MAX_CONSTANT_RULES or sum(len(word) for _, word in held) > MAX_CONSTANT_LETTERS:
+        raise ValueError("too many rules for a constant; use match_rules")
+    return held
+
+
+def match_rules_constant(
+    docs: DataFrame, rules: list[tuple], key: str, text: str = "text", label_type="string"
+) -> DataFrame:
+    """`match_rules` for a short list of (label, keyword): no row moves before the result."""
+    words: dict[object, set[str]] = {}
+    for label, word in rules:
+        words.setdefault(label, set()).add(word)
     if not words:
-        return docs.select(key, F.lit(None).cast("string").alias("label")).where("false")
+        return docs.select(key, F.lit(None).cast(label_type).alias("label")).where("false")
     table = F.array(
         *[
-            F.struct(F.lit(label).alias("label"), F.array(*map(F.lit, held)).alias("keywords"))
+            F.struct(F.lit(label).cast(label_type).alias("label"), F.array(*map(F.lit, sorted(held))).alias("keywords"))
             for label, held in words.items()
         ]
     )
     held = F.filter(table, lambda r: F.exists(r["keywords"], lambda w: F.contains(F.col(text), w)))
-    return docs.select(key, F.explode(F.transform(held, lambda r: r["label"])).alias("label"))
+    return docs.select(key, F.explode(F.transform(held, lambda r: r["label"])).alias("label")).distinct()
 
 
-def _windows(text: str, kinds: list[int]) -> Column:
+def _windows(text: str, kinds) -> Column:
     """Distinct substrings of ANCHOR characters that open an inner word (kind INNER), and
-    all substrings of the other kinds, which are lengths."""
-    cuts = [
-        F.regexp_extract_all(
-            F.col(text), F.lit(INNER_WORD if n == INNER else f"(?s)(?=(.{{{n}}}))"), F.lit(1)
-        )
-        for n in kinds
-        if n
-    ]
-    empty = F.array(F.lit("")) if 0 in kinds else F.array().cast("array<string>")
-    return F.array_distinct(F.concat(empty, *cuts))
+    all substrings of the other kinds, which are lengths.
+
+    `kinds` tells of each kind whether it is wanted; a text is only cut in those ways."""
+    none = F.array().cast("array<string>")
 
+    def cut(n: int) -> Column:
+        if n == 0:
+            return F.array(F.lit(""))
+        pattern = INNER_WORD if n == INNER else f"(?s)(?=(.{{{n}}}))"
+        return F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(1))
 
-def match_rules_joined(docs: DataFrame, rules: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """`match_rules` for a rule table of any size: an equi-join on keyword anchors.
+    return F.array_distinct(F.concat(*[F.when(kinds(n), cut(n)).otherwise(none) for n in KINDS]))
+
+
+def match_rules(docs: DataFrame, rules: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """Distinct (key, label) pairs where a text of the key contains a keyword of the label.
+
+    `rules` is a table (label, keyword) of any size; rows with a NULL are left out. Keys may
+    repeat and may be NULL. All of it is one plan of equi-joins; nothing runs while it is made,
+    and Spark chooses the joins from measured sizes.
 
     A text that contains a keyword also contains every window of the keyword. Windows
     start at the words inside it: they have a character before them in the keyword, so
     they start at a word in the text as well. A keyword without such a word is cut at
     every character, and one shorter than a window is its own window. Each keyword is
-    anchored at that of its windows which the fewest documents hold, so common wording
-    costs nothing; documents and anchors are joined on the window, and the pairs left are
-    checked on the whole text.
+    anchored at that of its windows which the fewest texts hold, so common wording costs
+    nothing. Windows are counted before they are shuffled, a common one is a row per task;
+    texts are joined on their key, and only those with an anchor.
     """
     rules = rules.select("label", "keyword").where("label is not null and keyword is not null").distinct()
-    inner = F.size(_windows("keyword", [INNER])) > 0
+    inner = F.size(F.regexp_extract_all("keyword", F.lit(INNER_WORD), F.lit(1))) > 0
     sized = (
         rules.select("keyword")
         .distinct()
         .withColumn("kind", F.when(inner, INNER).otherwise(F.least(F.length("keyword"), F.lit(ANCHOR))))
     )
-    kinds = sorted(row["kind"] for row in sized.select("kind").distinct().collect())  # ANCHOR + 2 at most
-    if not kinds:
-        return docs.select(key, F.lit(None).cast(rules.schema["label"].dataType).alias("label")).where("false")
-    keyword_windows = reduce(
-        DataFrame.unionByName,
-        [
-            sized.where(F.col("kind") == kind).select("keyword", F.explode(_windows("keyword", [kind])).alias("window"))
-            for kind in kinds
-        ],
+    keyword_windows = sized.select(
+        "keyword", F.explode(_windows("keyword", lambda n: F.col("kind") == n)).alias("window")
     )
-    # All windows of full length include those at inner words.
-    needed = [kind for kind in kinds if kind != INNER or ANCHOR not in kinds]
-    held = docs.select(key, text, F.explode(_windows(text, needed)).alias("window"))
-    letters = sized.agg(F.sum(F.octet_length("keyword"))).first()[0]
-    few = letters <= MAX_BROADCAST_BYTES and keyword_windows.count() <= MAX_BROADCAST_WINDOWS
-    bounded = F.broadcast if few else lambda df: df
-
+    # The kinds of windows to cut texts into: at most as many values as there are KINDS.
+    wanted = sized.agg(F.collect_set("kind")).scalar()
+    cut = docs.select(key, _windows(text, lambda n: F.array_contains(wanted, F.lit(n))).alias("windows"))
+    held = cut.select(key, F.explode("windows").alias("window"))
     spread = (
-        held.select("window")
-        .join(bounded(keyword_windows.select("window").distinct()), "window", "left_semi")
-        .groupBy("window")
-        .agg(F.count("*").alias("documents"))
+        held.groupBy("window")
+        .agg(F.count("*").alias("texts"))
+        .join(keyword_windows.select("window").distinct(), "window", "left_semi")
     )
     anchors = (
         keyword_windows.join(spread, "window")
         .groupBy("keyword")
-        .agg(F.min_by("window", F.struct("documents", "window")).alias("window"))
+        .agg(F.min_by("window", F.struct("texts", "window")).alias("window"))
     )
-    holds = F.contains(F.col(text), F.col("keyword"))
-    if few:
-        # At most one anchor per keyword window: nothing of the size of the texts moves.
-        found = held.join(F.broadcast(anchors), "window").where(holds)
-    else:
-        # Texts would move once per window; only their keys do, and the texts once.
-        pairs = held.select(key, "window").join(anchors, "window").select(key, "keyword")
-        found = docs.select(key, text).join(pairs, key).where(holds)
-    return found.select(key, "keyword").join(rules, "keyword").select(key, "label").distinct()
+    found = held.join(anchors, "window").select(F.col(key).alias("__key"), "keyword").distinct()
+    texts = docs.select(key, text).join(found, F.col(key).eqNullSafe(F.col("__key")))
+    hits = texts.where(F.contains(F.col(text), F.col("keyword"))).select(key, "keyword").distinct()
+    return hits.join(rules, "keyword").select(key, "label").distinct()

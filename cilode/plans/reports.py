@@ -41,6 +41,7 @@ class Report:
     empty_keeps_labels: bool = True  # an empty document is still classified
     empty_is_error: bool = True
     jobs_must_be_map: bool = False  # any other root, or a cycle below `jobs`, is an error
+    failed_search_is_error: bool = False  # else what a search found before it failed stays
     patterns: tuple = ()
     levels: Callable[[Column], Column] | None = None  # nodes -> array of (source, api_level)
     options: Callable[[Column], Column] | None = None  # nodes -> array of texts
@@ -73,6 +74,7 @@ FIXED_PATH = Report(
 PROVENANCE = Report(
     fold_keywords=False,
     jobs_must_be_map=True,
+    failed_search_is_error=True,
     patterns=(ANY_LEVEL,),
     levels=lambda nodes: tagged_levels(nodes, 0),
     sources=("matrix", "hardcoded"),
@@ -80,17 +82,22 @@ PROVENANCE = Report(
 )
 
 
-def config_texts(files: DataFrame, on_bad_encoding: str = "error_row") -> DataFrame:
+def config_texts(files: DataFrame, on_bad_encoding: str = "error_row", only: tuple = ()) -> DataFrame:
     """(path, text): the accepted files with their normalised text, NULL if undecodable.
 
-    `files` has `path` and either `content` (bytes) or `text`.
+    `files` has `path` and either `content` (bytes) or `text`. With `only`, files that cannot
+    have these words in their keys are left out; the words hold no white space, so the text
+    is looked at as it was read.
     """
     raw = T.decoded(F.col("content")) if "content" in files.columns else F.col("text")
     if on_bad_encoding == "fail":
         raw = F.coalesce(raw, F.raise_error(F.concat(F.lit("not UTF-8: "), F.col("path"))).cast("string"))
     elif on_bad_encoding != "error_row":
         raise ValueError(f"on_bad_encoding: {on_bad_encoding!r}")
-    return files.where(T.is_config_file(F.col("path"))).select("path", T.normalised(raw).alias("text"))
+    accepted = files.where(T.is_config_file(F.col("path")))
+    if only:
+        accepted = accepted.where(mentions(raw, only))
+    return accepted.select("path", T.normalised(raw).alias("text"))
 
 
 def mentions(text: Column, words: tuple) -> Column:
@@ -108,15 +115,13 @@ def file_facts(
 ) -> DataFrame:
     """One row per file: path, project, labels, error_kind, message and what was extracted.
 
-    error_kind is NULL, `encoding`, `yaml`, `empty`, `root` or `cycle`. A file is loaded
+    error_kind is NULL, `encoding`, `yaml`, `empty`, `root`, `cycle` or `search`. A file is loaded
     once, and its text does not leave this step. With `only`, files that cannot have these
     words in their keys are left out before they are loaded; that is enough where just
     levels or options are wanted.
     """
     text = F.col("text")
-    texts = config_texts(files, on_bad_encoding)
-    if only:
-        texts = texts.where(mentions(text, only))
+    texts = config_texts(files, on_bad_encoding, only)
     loaded = texts.withColumn("doc", documents(text, report.patterns))
     labelled = with_labels(
         loaded, report.rules, strip_comments=report.strip_comments, fold_keywords=report.fold_keywords
@@ -128,6 +133,8 @@ def file_facts(
         kind = kind.when(doc["is_empty"], "empty")
     if report.jobs_must_be_map:
         kind = kind.when(doc["root_kind"] != "map", "root").when(doc["has_cycle"], "cycle")
+    if report.failed_search_is_error:
+        kind = kind.when(doc["extract_failed"], "search")
     read = labelled.select(
         "path",
         report.project(F.col("path")).alias("project"),
@@ -192,13 +199,16 @@ def project_emulator_options(facts: DataFrame) -> DataFrame:
     return facts.select("project", F.explode("options").alias("emulator_option"))
 
 
+def options_in_order(facts: DataFrame) -> DataFrame:
+    """Every option with its file and its position there. Sorted by path and position, the
+    rows of a project are in the order of its scan; nothing is sorted here."""
+    return facts.select("project", "path", F.posexplode("options").alias("position", "emulator_option"))
+
+
 def in_file_order(facts: DataFrame) -> DataFrame:
-    """The options of each project in the order of its files and of their steps."""
-    return (
-        facts.select("project", "path", F.posexplode("options").alias("position", "emulator_option"))
-        .orderBy("project", "path", "position")
-        .select("project", "emulator_option")
-    )
+    """The options of each project in the order of its files and of their steps, for output
+    that needs the order itself: a global sort."""
+    return options_in_order(facts).orderBy("project", "path", "position").select("project", "emulator_option")
 
 
 def project_test_types(facts: DataFrame, report: Report = PROVENANCE) -> DataFrame:

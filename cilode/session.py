@@ -1,27 +1,31 @@
-"""Session settings the jobs are written for. A cluster's own values always win."""
+"""Session settings the jobs are written for. Values set elsewhere always win."""
 
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
 DEFAULTS = {
-    "spark.sql.adaptive.enabled": "true",
-    "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
-    # Parsing costs far more per byte than reading, so scan tasks are kept smaller than the
-    # default, and batches are bounded in rows and bytes whatever the size of the files.
-    "spark.sql.files.maxPartitionBytes": "64m",
     # Configuration files are small: let a scan task open some hundreds of them.
     "spark.sql.files.openCostInBytes": "128k",
+    # Parsing costs far more per byte than reading: batches are bounded in rows and bytes.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     "spark.sql.execution.arrow.maxBytesPerBatch": "64m",
-    "spark.ui.enabled": "false",
 }
 
 
 def session(app: str = "cilode", **settings: str) -> SparkSession:
-    """A session with the defaults above; `settings` use `__` for dots and override them."""
+    """A session with the defaults above where nothing else is set.
+
+    What the cluster, `spark-submit` or a session that is already there has set stays;
+    `settings` use `__` for dots and are the caller's own wish, so they are set.
+    """
     builder = SparkSession.builder.appName(app)
-    for key, value in {**DEFAULTS, **{k.replace("__", "."): v for k, v in settings.items()}}.items():
-        builder = builder.config(key, value)
-    return builder.getOrCreate()
+    for key, value in settings.items():
+        builder = builder.config(key.replace("__", "."), value)
+    spark = builder.getOrCreate()
+    held = spark.conf.getAll
+    for key, value in DEFAULTS.items():
+        if key not in held:
+            spark.conf.set(key, value)
+    return spark

@@ -33,6 +33,19 @@ def config_fields(df: DataFrame, fields: dict = SETTINGS, text: str = "text") ->
     )
 
 
+def json_fields(df: DataFrame, fields: dict, text: str = "text") -> DataFrame:
+    """`config_fields` for JSON texts, with Spark's own functions."""
+    kept = [c for c in df.columns if c != text]
+    parsed = df.select(*kept, F.try_parse_json(F.col(text)).alias("doc"))
+    return parsed.select(
+        *kept,
+        *[
+            F.try_variant_get("doc", "$" + "".join(f"['{key}']" for key in path), type_).alias("_".join(path))
+            for path, type_ in fields.items()
+        ],
+    )
+
+
 def config_entries(df: DataFrame, text: str = "text") -> DataFrame:
     """The whole document, one row per entry at its top: key, kind and Python text."""
     kept = [c for c in df.columns if c != text]

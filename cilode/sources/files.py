@@ -7,29 +7,59 @@ import os
 import sys
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-LISTING = "path string, modificationTime timestamp, length bigint"
-FILES = LISTING + ", content binary"
+FILES = "path string, modificationTime timestamp, length bigint, content binary"
+SUFFIXES = (".yml", ".yaml")
+SPLIT_BYTES = 64 << 20
+SPLIT_FILES = 5_000
 BATCH_BYTES = 16 << 20
 ROW_GROUP_BYTES = 32 << 20
 
-
-def config_files(spark: SparkSession, path: str, exact: bool = False, tasks: int | None = None) -> DataFrame:
-    """All `.yml` and `.yaml` files below a folder, at any depth.
-
-    The default reads any storage Spark reads, but Spark leaves out names that start with
-    a dot or an underscore, and empty files. `exact` keeps them; it needs a folder that
-    every executor sees under the same path. `tasks` sets how many tasks read its files.
+_SCHEMA = pa.schema(
+    [
+        ("path", pa.string()),
+        ("modificationTime", pa.timestamp("us", tz="UTC")),
+        ("length", pa.int64()),
+        ("content", pa.binary()),
+    ]
+)
+
+
+def config_files(
+    spark: SparkSession,
+    path: str,
+    exact: bool = True,
+    on_unreadable: str = "fail",
+    split_bytes: int = SPLIT_BYTES,
+    split_files: int = SPLIT_FILES,
+) -> DataFrame:
+    """All `.yml` and `.yaml` files below a folder, at any depth, hidden and empty ones included.
+
+    `path` is a folder that all executors see, or a URL that Arrow's file systems know. A root
+    that is not there raises. A folder or file that cannot be read raises too, unless
+    `on_unreadable` is `error_row`: then it is a row without content. The folders are listed
+    once, by the driver; a task reads up to `split_bytes` or `split_files` of them.
+
+    With `exact=False` Spark's own reader is used, for storage that only Spark knows; it leaves
+    out empty files and all names, and all folders, that begin with a dot or an underscore.
     """
-    if exact:
-        return _tree(spark, path, tasks)
+    if on_unreadable not in ("fail", "error_row"):
+        raise ValueError(f"on_unreadable: {on_unreadable!r}")
+    if not exact:
+        return (
+            spark.read.format("binaryFile")
+            .option("recursiveFileLookup", "true")
+            .option("pathGlobFilter", "*.{yml,yaml}")
+            .load(path)
+        )
+    spark.dataSource.register(FileTree)
     return (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.{yml,yaml}")
+        spark.read.format("file_tree")
+        .options(on_unreadable=on_unreadable, split_bytes=split_bytes, split_files=split_files)
         .load(path)
     )
 
@@ -45,100 +75,126 @@ def compact(files: DataFrame, out: str) -> DataFrame:
     return files.sparkSession.read.parquet(out)
 
 
-class _Folders(InputPartition):
-    def __init__(self, paths: list[str], recursive: bool):
-        super().__init__(paths)
-        self.paths = paths
-        self.recursive = recursive
+def _opened(path: str):
+    """The file system of a path or URL, and the path there."""
+    if "://" in path or path.startswith("file:"):
+        return fs.FileSystem.from_uri(path)
+    return fs.LocalFileSystem(), path
+
+
+def _entries(store, folder: str):
+    """(path, time, length, whether it is a folder) of what a folder holds; a link that leads
+    nowhere is a file without a length."""
+    if not isinstance(store, fs.LocalFileSystem):
+        for entry in store.get_file_info(fs.FileSelector(folder)):
+            yield entry.path, entry.mtime, entry.size, entry.type == fs.FileType.Directory
+        return
+    with os.scandir(folder) as entries:
+        for entry in entries:
+            try:
+                stat = entry.stat()
+            except OSError:
+                yield entry.path, None, None, False
+                continue
+            when = datetime.datetime.fromtimestamp(stat.st_mtime, datetime.timezone.utc)
+            if not entry.is_dir():
+                yield entry.path, when, stat.st_size, False
+            elif not entry.is_symlink():
+                yield entry.path, when, None, True
+
+
+def listed(store, root: str, lenient: bool) -> list[tuple]:
+    """(path, time, length) of the files, folder by folder; unreadable folders have no length."""
+    if store.get_file_info(root).type != fs.FileType.Directory:
+        raise FileNotFoundError(f"no such folder: {root}")
+    found, folders = [], [root]
+    while folders:
+        folder = folders.pop()
+        try:
+            entries = list(_entries(store, folder))
+        except OSError:
+            if not lenient:
+                raise
+            found.append((folder, None, None))
+            continue
+        for path, when, length, is_folder in entries:
+            if is_folder:
+                folders.append(path)
+            elif path.endswith(SUFFIXES):
+                found.append((path, when, length))
+    return sorted(found, key=lambda row: row[0])
+
+
+def splits(found: list[tuple], size: int, files: int) -> list[list[tuple]]:
+    """Neighbouring files, up to `size` bytes or `files` of them together."""
+    out, held = [[]], 0
+    for row in found:
+        if out[-1] and (held + (row[2] or 0) > size or len(out[-1]) >= files):
+            out.append([])
+            held = 0
+        out[-1].append(row)
+        held += row[2] or 0
+    return [s for s in out if s]
+
+
+class _Split(InputPartition):
+    def __init__(self, files: list[tuple]):
+        super().__init__(len(files))
+        self.files = files
 
 
 class _TreeReader(DataSourceReader):
-    def __init__(self, root: str, tasks: int):
-        self.root = root
-        self.tasks = tasks
+    def __init__(self, options: dict):
+        self.root = options["path"]
+        self.lenient = options.get("on_unreadable") == "error_row"
+        self.bytes = int(options.get("split_bytes", SPLIT_BYTES))
+        self.files = int(options.get("split_files", SPLIT_FILES))
 
     def partitions(self):
-        """Open folders level by level until there are enough of them to list in parallel."""
-        opened, frontier = [], [self.root]
-        while frontier and len(frontier) < self.tasks:
-            below = []
-            for folder in frontier:
-                opened.append(folder)
-                try:
-                    with os.scandir(folder) as entries:
-                        below += [e.path for e in entries if e.is_dir(follow_symlinks=False)]
-                except OSError:
-                    pass
-            frontier = below
-        parts = [_Folders(opened, False)]
-        return parts + [_Folders(frontier[i :: self.tasks], True) for i in range(min(self.tasks, len(frontier)))]
+        store, root = _opened(self.root)
+        return [_Split(s) for s in splits(listed(store, root, self.lenient), self.bytes, self.files)] or [_Split([])]
+
+    def _content(self, store, path, length):
+        try:
+            with store.open_input_stream(path) as file:
+                return file.read()
+        except OSError:
+            if not self.lenient:
+                raise
+            return None
 
     def read(self, partition):
-        for root in partition.paths:
-            for folder, below, names in os.walk(root):
-                if not partition.recursive:
-                    below.clear()
-                for name in names:
-                    if name.endswith((".yml", ".yaml")):
-                        yield self._entry(os.path.join(folder, name))
+        """Record batches bounded by size."""
+        store, _ = _opened(self.root)
+        rows, size = [], 0
+        for path, when, length in partition.files:
+            content = self._content(store, path, length)
+            rows.append((path, when, length, content))
+            size += len(content or b"")
+            if size >= BATCH_BYTES:
+                yield self._batch(rows)
+                rows, size = [], 0
+        if rows:
+            yield self._batch(rows)
 
     @staticmethod
-    def _entry(path):
-        try:
-            stat = os.stat(path)
-        except OSError:
-            return (path, None, None)
-        when = datetime.datetime.fromtimestamp(stat.st_mtime, datetime.timezone.utc)
-        return (path, when, stat.st_size)
+    def _batch(rows):
+        columns = zip(*rows)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SCHEMA)], schema=_SCHEMA)
 
 
 class FileTree(DataSource):
-    """Listing of a folder tree, hidden names and empty files included."""
+    """Files of a folder tree, hidden names and empty files included."""
 
     @classmethod
     def name(cls):
         return "file_tree"
 
     def schema(self):
-        return LISTING
+        return FILES
 
     def reader(self, schema):
-        return _TreeReader(self.options["path"], int(self.options.get("tasks", 64)))
-
-
-def _read_contents(batches):
-    """Files of a listing with their bytes, in batches bounded by size."""
-    fields = ["path", "modificationTime", "length"]
-    for batch in batches:
-        rows, contents, size = [], [], 0
-        for row in range(batch.num_rows):
-            try:
-                with open(batch.column(0)[row].as_py(), "rb") as file:
-                    contents.append(file.read())
-            except OSError:
-                contents.append(None)
-            rows.append(row)
-            size += len(contents[-1] or b"")
-            if size >= BATCH_BYTES or row + 1 == batch.num_rows:
-                taken = batch.take(pa.array(rows, pa.int64()))
-                yield pa.RecordBatch.from_arrays(
-                    [*taken.select(fields).columns, pa.array(contents, pa.binary())],
-                    names=[*fields, "content"],
-                )
-                rows, contents, size = [], [], 0
-
-
-def _tree(spark: SparkSession, path: str, tasks: int | None) -> DataFrame:
-    """List in parallel by folder, then spread the files so that no large folder is one task.
-
-    A file that cannot be read has NULL content and becomes an error row later on.
-    """
-    spark.dataSource.register(FileTree)
-    listing = spark.read.format("file_tree").load(os.path.abspath(path))
-    tasks = tasks or max(
-        spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))
-    )
-    return listing.repartition(tasks, "path").mapInArrow(_read_contents, FILES)
+        return _TreeReader(dict(self.options))
 
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

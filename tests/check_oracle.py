@@ -46,7 +46,7 @@ def compare(spark, db, folder: str, name: str) -> str | None:
 
 if __name__ == "__main__":
     folder = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    spark = session("check", spark__ui__showConsoleProgress="false", spark__master="local[8]", spark__sql__shuffle__partitions="8")
+    spark = session("check", spark__ui__enabled="false", spark__ui__showConsoleProgress="false", spark__master="local[8]", spark__sql__shuffle__partitions="8")
     spark.sparkContext.setLogLevel("ERROR")
     db = connect(folder)
     for name in sys.argv[2:] or entry.queries():

@@ -14,6 +14,7 @@ def spark():
         "tests",
         spark__master="local[8]",
         spark__sql__shuffle__partitions="8",
+        spark__ui__enabled="false",
         spark__ui__showConsoleProgress="false",
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -83,33 +83,66 @@ def rule_join_fixture(spark):
     return docs, spark.createDataFrame(rules + [(None, "a"), ("x", None)], "label string, keyword string"), want
 
 
+def both_ways(docs, rules):
+    listed = O.match_rules_constant(docs, O.rule_list(rules), "id", label_type=rules.schema["label"].dataType)
+    joined = O.match_rules(docs, rules, "id")
+    assert listed.schema.simpleString() == joined.schema.simpleString()
+    rows = sorted(map(tuple, joined.collect()), key=repr)
+    assert sorted(map(tuple, listed.collect()), key=repr) == rows
+    return rows
+
+
 def test_rule_join(spark):
     docs, rules, want = rule_join_fixture(spark)
-    small = O.match_rules(docs, rules, "id")
-    assert "Join" not in small._jdf.queryExecution().executedPlan().toString()
-    assert sorted(map(tuple, small.collect())) == want
-    assert sorted(map(tuple, O.match_rules_joined(docs, rules, "id").collect())) == want
+    assert both_ways(docs, rules) == sorted(want, key=repr)
 
 
-def test_rule_join_without_broadcast(spark, monkeypatch):
+def test_constant_rules_move_no_text(spark):
+    docs, rules, _ = rule_join_fixture(spark)
+    text = O.match_rules_constant(docs, O.rule_list(rules), "id")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in text
+
+
+def test_rule_join_without_broadcast(spark):
     docs, rules, want = rule_join_fixture(spark)
-    monkeypatch.setattr(O, "MAX_BROADCAST_WINDOWS", 0)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        joined = O.match_rules_joined(docs, rules, "id")
+        joined = O.match_rules(docs, rules, "id")
         assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
         assert sorted(map(tuple, joined.collect())) == want
+        null_keys_and_repeats(spark)
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-def test_large_rule_table_is_joined(spark, monkeypatch):
-    docs, rules, want = rule_join_fixture(spark)
+def null_keys_and_repeats(spark):
+    docs = spark.createDataFrame(
+        [(1, "a long phrase"), (1, "a long phrase"), (1, "b"), (None, "a long phrase"), (None, "b"), (2, None)],
+        "id int, text string",
+    )
+    rules = spark.createDataFrame([(7, "long phrase"), (8, "b"), (7, "b"), (9, "zz")], "label bigint, keyword string")
+    assert both_ways(docs, rules) == sorted([(1, 7), (1, 8), (None, 7), (None, 8)], key=repr)
+
+
+def test_rule_join_null_keys_and_repeats(spark):
+    null_keys_and_repeats(spark)
+
+
+def test_long_rule_tables_are_refused_as_constants(spark, monkeypatch):
+    _, rules, _ = rule_join_fixture(spark)
     monkeypatch.setattr(O, "MAX_CONSTANT_RULES", 5)
-    assert sorted(map(tuple, O.match_rules(docs, rules, "id").collect())) == want
+    with pytest.raises(ValueError, match="match_rules"):
+        O.rule_list(rules)
 
 
 def test_no_rules(spark):
     docs, rules, _ = rule_join_fixture(spark)
-    assert O.match_rules(docs, rules.where("false"), "id").collect() == []
-    assert O.match_rules_joined(docs, rules.where("false"), "id").collect() == []
+    empty = rules.where("false").selectExpr("cast(label AS bigint) AS label", "keyword")
+    assert both_ways(docs, empty) == [] and O.match_rules(docs, empty, "id").schema["label"].dataType.simpleString() == "bigint"
+
+
+def test_windows_travel_without_texts(spark):
+    docs, rules, _ = rule_join_fixture(spark)
+    plan = O.match_rules(docs, rules, "id")._jdf.queryExecution().optimizedPlan().toString()
+    generated = [line for line in plan.splitlines() if "Generate explode" in line]
+    assert generated and all("text#" not in line.split("Generate explode")[1].split("]")[0] for line in generated)

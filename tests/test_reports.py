@@ -177,3 +177,31 @@ def test_files_without_the_words_need_no_load(spark):
     assert sorted(map(tuple, counted.collect())) == sorted(
         map(tuple, R.project_api_levels_detailed(R.file_facts(data, R.PROVENANCE)).collect()))
     assert narrow.count() < data.count()
+
+
+LONG = b"0x1" + b"0" * 5000
+SEARCH_FILES = {
+    "levels": b"name: create avd\njobs: {instrumented-test: {strategy: {matrix: {api_level: [29, " + LONG + b"]}}}}",
+    "input": b"jobs: {instrumented-test: {steps: [{with: {emulator-options: x, other: " + LONG + b"}}]}}",
+    "depth": b"name: create avd\njobs: {t: {api-level: [30, " + LONG + b"]}}",
+}
+
+
+@pytest.mark.parametrize("number", range(4))
+def test_a_failed_search_is_no_failed_load(spark, number):
+    report = REPORTS[number]
+    rows = {r.path.split(".")[-2]: r for r in R.file_facts(files(spark, SEARCH_FILES), report).collect()}
+    kinds = {name: r.error_kind for name, r in rows.items()}
+    assert kinds == {"levels": None, "input": None, "depth": "search" if report is R.PROVENANCE else None}
+    if report is not R.FIRST:
+        assert rows["levels"].labels[MANUAL] and rows["depth"].labels[MANUAL] == (report is not R.PROVENANCE)
+    if report is R.FIXED_PATH:
+        assert [x.api_level for x in rows["levels"].levels] == ["29"] and rows["input"].options == ["x"]
+    if report is R.PROVENANCE:
+        assert rows["depth"].levels == []
+
+
+def test_options_carry_their_order(spark):
+    facts = R.file_facts(files(spark, OPTION_FILES), R.FIXED_PATH)
+    rows = sorted((r.path.split(".")[-2], r.position, r.emulator_option) for r in R.options_in_order(facts).collect())
+    assert rows == [("a", 0, "y"), ("b", 0, "x"), ("b", 1, "x")]

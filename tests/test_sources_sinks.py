@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from cilode.plans import reports as R
 from cilode.sinks.tables import TABLES, write_csv, write_report
-from cilode.sources.config import config_fields, settings
+from cilode.sources import files as S
+from cilode.sources.config import config_fields, json_fields, settings
 from cilode.sources.files import compact, config_files
 
 TREE = {
@@ -42,8 +43,8 @@ def names(df, root):
 
 def test_scan(spark, tree):
     accepted = sorted(n for n in TREE if n.endswith((".yml", ".yaml")))
-    assert names(config_files(spark, tree), tree) == accepted
-    exact = config_files(spark, tree, exact=True)
+    assert names(config_files(spark, tree, exact=False), tree) == accepted
+    exact = config_files(spark, tree, on_unreadable="error_row")
     assert names(exact, tree) == sorted(accepted + list(HIDDEN) + ["dangling.yml"])
     for row in exact.collect():
         name = row.path.removeprefix(tree + "/")
@@ -52,18 +53,54 @@ def test_scan(spark, tree):
         else:
             assert bytes(row.content).decode() == {**TREE, **HIDDEN}[name]
             assert row.length == len(row.content)
-    assert exact.columns == config_files(spark, tree).columns
+    assert exact.columns == config_files(spark, tree, exact=False).columns
+    assert names(config_files(spark, f"file://{tree}", on_unreadable="error_row"), tree) == names(exact, tree)
+
+
+def test_missing_and_unreadable_raise(spark, tree, tmp_path):
+    with pytest.raises(Exception, match="no such folder"):
+        config_files(spark, str(tmp_path / "none")).collect()
+    with pytest.raises(Exception, match="dangling"):
+        config_files(spark, tree).collect()
+    with pytest.raises(ValueError):
+        config_files(spark, tree, on_unreadable="x")
+    assert config_files(spark, str(tmp_path), on_unreadable="error_row").count() == 10
+
+
+def test_unreadable_folder(tree, monkeypatch):
+    entries = S._entries
+
+    def locked(store, folder):
+        if folder == f"{tree}/.github":
+            raise PermissionError(folder)
+        return entries(store, folder)
+
+    monkeypatch.setattr(S, "_entries", locked)
+    store = S.fs.LocalFileSystem()
+    with pytest.raises(PermissionError):
+        S.listed(store, tree, lenient=False)
+    found = {path: length for path, _, length in S.listed(store, tree, lenient=True)}
+    assert found[f"{tree}/.github"] is None and found[f"{tree}/empty.yml"] == 0
+
+
+def test_splits_follow_the_bytes(spark, tmp_path):
+    for i in range(20):
+        (tmp_path / f"{i}.yml").write_text("a" * 1000)
+    assert config_files(spark, str(tmp_path)).rdd.getNumPartitions() == 1
+    assert config_files(spark, str(tmp_path), split_bytes=4000).rdd.getNumPartitions() == 5
+    assert config_files(spark, str(tmp_path), split_files=2).rdd.getNumPartitions() == 10
+    assert config_files(spark, str(tmp_path), split_bytes=10).count() == 20
 
 
 def test_exact_scan_counts_hidden_and_empty_files(spark, tree):
-    facts = R.file_facts(config_files(spark, tree, exact=True, tasks=3), R.UNCOMMENTED)
+    facts = R.file_facts(config_files(spark, tree, on_unreadable="error_row", split_files=3), R.UNCOMMENTED)
     rows = {r.project: (r.test_types, r.yaml_errors) for r in R.instrumentation_test_summary(facts, R.UNCOMMENTED).collect()}
     assert rows["empty"] == ("none", 1) and rows["dangling"] == ("none", 1)
     assert rows["travis"] == ("none", 0) and rows["a"] == ("none", 0) and rows["_u"] == ("none", 0)
 
 
 def test_compacted_tree_gives_the_same(spark, tree, tmp_path):
-    files = config_files(spark, tree)
+    files = config_files(spark, tree, exact=False)
     table = compact(files, str(tmp_path / "table"))
     for df in (files, table):
         facts = R.file_facts(df, R.PROVENANCE)
@@ -96,7 +133,7 @@ def test_csv_keeps_values(spark, tmp_path):
 @pytest.mark.parametrize("name", TABLES)
 def test_reports_are_written(spark, tree, tmp_path, name):
     out = str(tmp_path / "out")
-    frames = write_report(spark, config_files(spark, tree, exact=True), out, name)
+    frames = write_report(spark, config_files(spark, tree, on_unreadable="error_row"), out, name)
     for table in TABLES[name][1]:
         written = read_csv(f"{out}/{table}")
         expected = frames[table].collect()
@@ -106,51 +143,53 @@ def test_reports_are_written(spark, tree, tmp_path, name):
     assert audit.columns == ["path", "project", "test_types", "error", "error_kind", "message"]
     assert audit.count() == 10
     # Running again replaces the tables.
-    write_report(spark, config_files(spark, tree), out, name, parts=1)
+    write_report(spark, config_files(spark, tree, exact=False), out, name, parts=1)
     stored = spark.read.parquet(f"{out}/file_audit_{name}")
     assert stored.count() == 5 and set(audit.columns) <= set(stored.columns)
 
 
 def test_settings(spark):
-    text = "range:\n  min: 1\n  max: 100\n\nguesses: 5\n\nmode: {}"
-    rows = [(i, text.format(m)) for i, m in enumerate(["single", "multi", "other"])] + [(3, "range: 5\nguesses: x"), (4, "[")]
+    text = "{{guesses: 12, mode: {}, range: {{max: 70, min: 40}}}}"
+    rows = [(i, text.format(m)) for i, m in enumerate(["single", "multi", "team"])]
+    rows += [(3, "range: 8\nguesses: many"), (4, "{")]
     got = settings(spark.createDataFrame(rows, "id int, text string")).orderBy("id").collect()
-    assert tuple(got[0]) == (0, 1, 100, 5, "single", "draw")
+    assert tuple(got[0]) == (0, 40, 70, 12, "single", "draw")
     assert [r.branch for r in got] == ["draw", "ask", "invalid", "invalid", "invalid"]
     assert tuple(got[3])[1:5] == (None, None, None, None) and tuple(got[4])[1:5] == (None,) * 4
 
 
 def test_typed_fields(spark):
+    """A harbour log: every kind of value, a value used twice, a map that takes over another."""
     text = """
-c:
-  name: "back end developer"
-  version: 1.5
-  price: &p 199
-  public: true
-  date: 2021-04-05 12:23:22
-  enroll: null
-  short: >
-    here is
-    one line
-  long: |
-    two
-      lines
-  payment: *p
-  adv: &adv {k: v}
-  more:
-    one: two
-    <<: *adv
+tide: {level: -0.25, rising: no}
+berths:
+- &first {length: 88, crane: yes}
+- <<: *first
+  length: 120
+notes: |
+  fog until noon
+   wind from the west
+signal: >-
+  two long
+  blasts
+arrived: 1987-11-30T04:05:06
+master:
 """
     fields = {
-        ("c", "name"): "string", ("c", "version"): "double", ("c", "price"): "int", ("c", "public"): "boolean",
-        ("c", "date"): "timestamp", ("c", "enroll"): "string", ("c", "short"): "string", ("c", "long"): "string",
-        ("c", "payment"): "int", ("c", "more", "k"): "string", ("c", "more", "one"): "string",
+        ("tide", "level"): "double", ("tide", "rising"): "boolean", ("notes",): "string", ("signal",): "string",
+        ("arrived",): "timestamp", ("master",): "string", ("tide", "none"): "int", ("berths",): "int",
     }
     row = config_fields(spark.createDataFrame([(text,)], "text string"), fields).select(
-        "*", F.date_format("c_date", "yyyy-MM-dd HH:mm:ss").alias("when")
-    ).drop("c_date").first()
+        "*", F.date_format("arrived", "yyyy-MM-dd HH:mm:ss").alias("when")
+    ).drop("arrived").first()
     assert row.asDict() == {
-        "c_name": "back end developer", "c_version": 1.5, "c_price": 199, "c_public": True, "c_enroll": None,
-        "c_short": "here is one line\n", "c_long": "two\n  lines\n", "c_payment": 199, "c_more_k": "v",
-        "c_more_one": "two", "when": "2021-04-05 12:23:22",
+        "tide_level": -0.25, "tide_rising": False, "notes": "fog until noon\n wind from the west\n",
+        "signal": "two long blasts", "master": None, "tide_none": None, "berths": None, "when": "1987-11-30 04:05:06",
     }
+
+
+def test_json_fields_need_no_python(spark):
+    rows = [(1, '{"a": {"b c": 3}, "d": "7"}'), (2, '{"a": 5, "d": "x"}'), (3, "{"), (4, None)]
+    got = json_fields(spark.createDataFrame(rows, "id int, text string"), {("a", "b c"): "int", ("d",): "int"})
+    assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == [(1, 3, 7), (2, None, None), (3, None, None), (4, None, None)]
