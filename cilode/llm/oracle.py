@@ -24,7 +24,7 @@ WITH texts AS (
 ), counted AS (
   SELECT doc_id, t, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
          CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
-         list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '{_WORD}')) AS lines,
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS lines,
          CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words
   FROM texts LEFT JOIN repeats USING (doc_id)
 ), judged AS (
@@ -77,7 +77,7 @@ _WARC = """
 WITH payloads AS (
   SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS h FROM pages
 ), digests AS (
-  SELECT page_id, n, max(page_id) OVER (PARTITION BY h) AS original, array_to_string(list_transform(range(0, 32), i ->
+  SELECT page_id, n, max(page_id) OVER (PARTITION BY h) AS original, array_to_string(list_transform(range(0, 32), lambda i:
            substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
                   1 + ((CAST('0x' || substr(h, 5 * (i // 4) + 1, 5) AS INT) >> CAST(15 - 5 * (i % 4) AS INT)) & 31), 1)), '') AS digest
   FROM payloads

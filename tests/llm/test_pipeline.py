@@ -14,7 +14,7 @@ ROOT = Path(__file__).parents[2]
 
 def words(n, seed):
     rng = random.Random(seed)
-    return " ".join(f"{rng.choice('abcdefgh')}{rng.randrange(5000)}" for _ in range(n))
+    return " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
 
 
 def test_stages(spark, tmp_path):
