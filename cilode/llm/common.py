@@ -19,9 +19,12 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def per_worker(key: tuple, make: Callable):
-    """An object that a Python worker keeps from task to task, made when first asked for."""
+    """An object that a Python worker keeps from task to task, made when first asked for.
+
+    A worker keeps one at a time: another key takes its place."""
     kept = vars(sys).setdefault("_cilode_kept", {})
     if key not in kept:
+        kept.clear()
         kept[key] = make()
     return kept[key]
 

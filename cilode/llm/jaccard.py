@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 from pyspark.sql.window import Window
 
-from cilode.llm.common import slices, stored
+from cilode.llm.common import per_worker, slices, stored
 from cilode.llm.components import components
 from cilode.llm.hashing import mix, set_hash, shingles
 
@@ -127,6 +127,7 @@ def _segments(width: int, percent: int):
     """One row per text (info is NULL), and one per segment of a set new to the task."""
 
     def run(batches):
+        per_worker(("none",), dict)  # a worker's memory is not for what other operators kept
         seen = set()
         for batch in slices(batches):
             ids = batch.column(0).to_pylist()

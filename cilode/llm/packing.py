@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cilode.llm.common import stored
+from cilode.llm.common import slices, stored
 from cilode.llm.word_ids import word_ids
 
 LENGTH = 4096
@@ -33,6 +33,8 @@ VOCABULARY = "word_bpe_49k.json"
 DIMENSIONS = 3
 BITS = 16
 _SEED = 11
+# Ids that have a direction of their own.
+TABLE = 1 << 16
 
 TOKENS = "doc_id long, curve long, n_tokens long, ids binary"
 
@@ -46,20 +48,26 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def projection(ids: np.ndarray) -> np.ndarray:
-    """A document's hashed vector in DIMENSIONS dimensions, each between 0 and 1.
-
-    Every id has a pseudo-random direction, computed from the id; their mean direction is
-    scaled by its standard deviation for independent ids and squeezed into the interval.
-    """
-    kinds, counts = np.unique(ids, return_counts=True)
-    weights = np.log1p(counts)
-    seeds = kinds.astype(np.uint64)[:, None] * np.uint64(DIMENSIONS) + np.arange(DIMENSIONS, dtype=np.uint64) + np.uint64(_SEED)
+def directions(size: int) -> np.ndarray:
+    """A pseudo-random direction for each id, computed from the id, longer for rarer tokens:
+    a vocabulary that is made by merges lists frequent ones first."""
+    seeds = np.arange(size * DIMENSIONS, dtype=np.uint64).reshape(size, DIMENSIONS) + np.uint64(_SEED)
     seeds = (seeds + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     seeds = (seeds ^ (seeds >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     seeds = (seeds ^ (seeds >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    direction = (seeds >> np.uint64(40)).astype(np.float64) / (1 << 23) - 1.0
-    point = weights @ direction / np.sqrt((weights**2).sum() / 3)
+    between = (seeds >> np.uint64(40)).astype(np.float32) / (1 << 23) - 1.0
+    return between * (np.log1p(np.arange(size, dtype=np.float32)) / np.log1p(size))[:, None]
+
+
+def projection(ids: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """A document's hashed vector in DIMENSIONS dimensions, each between 0 and 1.
+
+    The directions of its tokens are added, scaled as independent ones would spread, and
+    squeezed into the interval. Ids beyond the table take the place of another.
+    """
+    if int(ids.max()) >= len(table):
+        ids = ids % len(table)
+    point = np.ones(len(ids), np.float32) @ table[ids] / np.sqrt(len(ids) / 3)
     return 0.5 + np.arctan(point) / np.pi
 
 
@@ -95,12 +103,12 @@ def _tokens(vocabulary: str):
     """doc_id, place on the curve, number of tokens, and the ids in 16 or 32 bits."""
 
     def run(batches):
-        encoder = word_ids(vocabulary_path(vocabulary))
-        for batch in batches:
+        encoder, table = word_ids(vocabulary_path(vocabulary)), directions(TABLE)
+        for batch in slices(batches):
             points, counts, held = [], [], []
             for text in batch.column(1).to_pylist():
                 ids = np.append(encoder.ids(text or ""), np.uint32(END_ID))
-                points.append(projection(ids))
+                points.append(projection(ids, table))
                 counts.append(len(ids))
                 held.append(pack(ids))
             cells = np.array(points).reshape(-1, DIMENSIONS) * ((1 << BITS) - 1)
@@ -132,7 +140,7 @@ def _pieces(length: int):
     """Cut each document where a sequence is full."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             out = {name: [] for name in ("row", "start", "length", "crc", "sequence", "offset")}
             for row, (before, data) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
                 ids = unpack(data)

@@ -1,13 +1,14 @@
-"""Token ids of one text, with the ids of frequent words kept; used inside tasks.
+"""Token ids of texts, with the ids of words kept; used inside tasks.
 
-The vocabulary cuts a text into words before it merges anything, so ids can be kept word by
-word. Texts of common characters are cut here and their words go to the model directly; all
-others go through the whole tokenizer, in chunks that end at a space.
+The vocabulary cuts a text at white space and into words before it merges anything, so ids
+can be kept word by word. Texts of common characters are cut here and their words go to the
+model directly; all others go through the whole tokenizer, in parts that end at a space.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -18,7 +19,10 @@ from cilode.llm.common import per_worker
 _COMMON = re.compile("[\t\n\r\x20-\x7e¡«»¿À-ÖØ-öø-ÿ]*")
 # The vocabulary's own way to cut a text, for those characters in lower case.
 _PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-z0-9ß-öø-ÿ]+")
-_CHUNK = 1 << 16
+# What most often ends a word.
+_MARKS = ".,;:!?"
+# Characters that are cut into words at a time.
+_CHUNK = 1 << 17
 # Words kept at a time, some 60 MB. It bounds memory only.
 _KEPT = 300_000
 
@@ -38,28 +42,44 @@ class WordIds:
         self._letters = _byte_letters()
         self._kept: dict[str, bytes] = {}
 
-    def _piece(self, piece: str) -> bytes:
-        if len(self._kept) >= _KEPT:
-            self._kept.clear()
-        word = piece if piece.isascii() else "".join([self._letters[b] for b in piece.encode()])
-        ids = np.array([t.id for t in self._model.tokenize(word)], np.uint32).tobytes()
-        self._kept[piece] = ids
+    def _word(self, word: str) -> bytes:
+        """Ids of what stands between white space, or of a piece of it."""
+        ids = self._kept.get(word)
+        if ids is None:
+            if word.isalpha():
+                pieces = [word]
+            elif word[-1] in _MARKS and word[:-1].isalpha():
+                pieces = [word[:-1], word[-1]]
+            else:
+                pieces = _PIECE.findall(word)
+            if len(pieces) == 1:
+                letters = word if word.isascii() else "".join([self._letters[b] for b in word.encode()])
+                ids = array("I", [t.id for t in self._model.tokenize(letters)]).tobytes()
+            else:
+                ids = b"".join([self._word(piece) for piece in pieces])
+            if len(self._kept) >= _KEPT:
+                self._kept.clear()
+            self._kept[word] = ids
         return ids
 
-    def _slow(self, text: str):
-        start = 0
+    def _common(self, unit: str) -> bytes:
+        kept, make = self._kept.get, self._word
+        return b"".join([kept(word) or make(word) for word in unit.lower().split()])
+
+    def _rare(self, unit: str) -> bytes:
+        return array("I", self._whole.encode(unit, add_special_tokens=False).ids).tobytes()
+
+    def ids(self, text: str) -> np.ndarray:
+        """What the tokenizer gives for a text without special tokens, part after part; parts end
+        at a space."""
+        rare = "<|" in text or _COMMON.fullmatch(text) is None
+        made, parts, start = self._rare if rare else self._common, [], 0
         while start < len(text):
             end = text.find(" ", start + _CHUNK)
             end = len(text) if end < 0 else end
-            yield np.array(self._whole.encode(text[start:end], add_special_tokens=False).ids, np.uint32).tobytes()
+            parts.append(made(text[start:end]))
             start = end
-
-    def ids(self, text: str) -> np.ndarray:
-        """What the tokenizer gives for the text without special tokens."""
-        if "<|" in text or _COMMON.fullmatch(text) is None:
-            return np.frombuffer(b"".join(self._slow(text)), np.uint32)
-        kept, make = self._kept.get, self._piece
-        return np.frombuffer(b"".join([kept(p) or make(p) for p in _PIECE.findall(text.lower())]), np.uint32)
+        return np.frombuffer(b"".join(parts), np.uint32)
 
 
 def word_ids(path: str) -> WordIds:

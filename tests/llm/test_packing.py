@@ -9,7 +9,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from cilode.llm import packing as P
-from cilode.llm.word_ids import WordIds
+from cilode.llm import word_ids as W
 
 SCHEMA = "doc_id long, text string, row int, ids string"
 
@@ -30,10 +30,14 @@ def texts():
     return made + [None, "", " ", long, "中 " * 70_000]
 
 
-def test_ids_are_those_of_the_tokenizer(tokenizer):
-    ids = WordIds(P.vocabulary_path(P.VOCABULARY))
-    for text in texts():
-        assert ids.ids(text or "").tolist() == tokenizer.encode(text or "", add_special_tokens=False).ids, text
+def test_ids_are_those_of_the_tokenizer(tokenizer, monkeypatch):
+    held = [text or "" for text in texts()]
+    want = [tokenizer.encode(text, add_special_tokens=False).ids for text in held]
+    for kept, chunk in ((300_000, 1 << 17), (50, 40)):
+        monkeypatch.setattr(W, "_KEPT", kept)
+        monkeypatch.setattr(W, "_CHUNK", chunk)
+        encoder = W.WordIds(P.vocabulary_path(P.VOCABULARY))
+        assert [encoder.ids(text).tolist() for text in held] == want
 
 
 def check(rows, pieces, tokenizer, length):
@@ -92,5 +96,6 @@ def test_alike_documents_are_neighbours():
     a, b = (rng.integers(0, 40_000, 500) for _ in range(2))
     near = a.copy()
     near[:10] = rng.integers(0, 40_000, 10)
-    point = P.projection
+    table = P.directions(1 << 16)
+    point = lambda ids: P.projection(ids, table)
     assert np.abs(point(a) - point(near)).max() < np.abs(point(a) - point(b)).max()
