@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cilode.llm.common import shared_folder
+from cilode.llm.common import shared_folder, stored
 
 END = "\r\n"
 GAP = END + END
@@ -43,15 +43,10 @@ RECORD = (
 
 
 def base32_sha1(payload: Column) -> Column:
-    """Upper-case base32 of the SHA-1 of a text's bytes: four letters for five hex digits."""
+    """Upper-case base32 of the SHA-1 of a text's bytes: eight digits for forty bits at a time."""
     digest = F.sha1(payload.cast("binary"))
-    letters = []
-    for group in range(8):
-        bits = F.conv(F.substring(digest, 5 * group + 1, 5), 16, 10).cast("int")
-        for shift in (15, 10, 5, 0):
-            at = F.shiftright(bits, shift).bitwiseAND(31) + 1
-            letters.append(F.lit(BASE32).substr(at, F.lit(1)))
-    return F.concat(*letters)
+    digits = [F.lpad(F.conv(F.substring(digest, 10 * g + 1, 10), 16, 32), 8, "0") for g in range(4)]
+    return F.translate(F.concat(*digits), "0123456789ABCDEFGHIJKLMNOPQRSTUV", BASE32)
 
 
 def _identifier(kind: str, page: Column, digest: Column) -> Column:
@@ -244,7 +239,8 @@ def report(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     path = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
     write(pages.select("page_id", "url", "html"), path)
-    whole = captures(read(spark, path, payloads=False)).select(
+    # Parsed once, however often the joins look at the records.
+    whole = captures(stored(read(spark, path, payloads=False), "warc-records")).select(
         F.col("metadata.page_id").alias("page_id"),
         F.col("response.payload_bytes").alias("payload_bytes"),
         F.col("response.digest").alias("payload_digest"),
