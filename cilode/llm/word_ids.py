@@ -23,8 +23,8 @@ _PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-z0-9
 _MARKS = ".,;:!?"
 # Characters that are cut into words at a time.
 _CHUNK = 1 << 17
-# Words kept at a time, some 60 MB. It bounds memory only.
-_KEPT = 300_000
+# Words kept at a time, some 100 MB. It bounds memory only.
+_KEPT = 500_000
 
 
 def _byte_letters() -> list[str]:
