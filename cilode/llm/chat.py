@@ -32,6 +32,7 @@ START, MIDDLE, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 VOCABULARY = "byte_bpe_50k.json"
 LEARNED = "assistant"
 BLOCK_CHARS = 1 << 16
+BATCH_CHARS = 1 << 19
 CHUNK = 1 << 16
 
 _CONTROL = re.compile(r"<(\\*)\|")
@@ -106,15 +107,14 @@ def masked(starts: np.ndarray, ends: np.ndarray, spans: list[tuple[int, int]]) -
     return (at < len(held)) & (held[np.minimum(at, len(held) - 1), 0] < ends)
 
 
-def learned_texts(text: str, starts: list[int], ends: list[int], mask: list[bool]) -> list[str]:
+def learned_texts(text: str, starts: np.ndarray, ends: np.ndarray, mask: np.ndarray) -> list[str]:
     """The runs of text under the mask, unescaped, in order; a character that several tokens
     share counts once."""
-    runs: list[list[int]] = []
-    for start, end, kept in zip(starts, ends, mask):
-        if kept and runs and start <= runs[-1][1]:
-            runs[-1][1] = max(runs[-1][1], end)
-        elif kept:
-            runs.append([start, end])
+    first, last = starts[mask], ends[mask]
+    if not len(first):
+        return []
+    breaks = np.flatnonzero(first[1:] > last[:-1])
+    runs = zip(first[np.append(0, breaks + 1)].tolist(), last[np.append(breaks, len(last) - 1)].tolist())
     return [unescape(text[a:b]) for a, b in runs]
 
 
@@ -129,19 +129,7 @@ def _formatter(vocabulary: str, block_chars: int):
     def block(tokenizer, conversation, number, held):
         text, spans = render(held)
         ids, starts, ends = encode(tokenizer, text)
-        mask = masked(starts, ends, spans)
-        lists = [pa.array([column.tolist()], pa.list_(pa.int32())) for column in (ids, starts, ends)]
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([conversation], pa.int64()),
-                pa.array([number], pa.int32()),
-                pa.array([len(held)], pa.int32()),
-                pa.array([text], pa.string()),
-                *lists,
-                pa.array([mask.tolist()], pa.list_(pa.bool_())),
-            ],
-            names=["conv_id", "block", "n_turns", "text", "ids", "starts", "ends", "mask"],
-        )
+        return conversation, number, len(held), text, ids, starts, ends, masked(starts, ends, spans)
 
     def blocks(tokenizer, batches):
         for conversation, rows in groupby(_rows(batches), key=lambda r: r[0]):
@@ -155,17 +143,26 @@ def _formatter(vocabulary: str, block_chars: int):
             if held:
                 yield block(tokenizer, conversation, number, held)
 
+    def batch(held):
+        columns = list(zip(*held))
+        offsets = pa.array(np.cumsum([0, *map(len, columns[4])]), pa.int32())
+        plain = [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.string()))]
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(c))) for c in columns[4:]]
+        return pa.RecordBatch.from_arrays(
+            [*plain, *lists], names=["conv_id", "block", "n_turns", "text", "ids", "starts", "ends", "mask"]
+        )
+
     def run(batches):
         # Blocks of several conversations travel together.
         held, size = [], 0
         for made in blocks(chat_tokenizer(vocabulary), batches):
             held.append(made)
-            size += made.nbytes
-            if size > 1 << 22:
-                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            size += len(made[3])
+            if size >= BATCH_CHARS:
+                yield batch(held)
                 held, size = [], 0
         if held:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            yield batch(held)
 
     return run
 
@@ -187,9 +184,13 @@ def _read_back(batches):
 
     def blocks():
         for batch in batches:
-            columns = [batch.column(batch.schema.get_field_index(c)) for c in ("conv_id", "text", "starts", "ends", "mask")]
-            for row in range(batch.num_rows):
-                yield tuple(c[row].as_py() for c in columns)
+            conversations, texts = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("conv_id", "text"))
+            lists = [batch.column(batch.schema.get_field_index(c)) for c in ("starts", "ends", "mask")]
+            offsets = lists[0].offsets.to_numpy()
+            values = [c.values.to_numpy(zero_copy_only=False) for c in lists]
+            for row, text in enumerate(texts):
+                part = slice(offsets[row], offsets[row + 1])
+                yield conversations[row], text, *(v[part] for v in values)
 
     def made(rows):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
