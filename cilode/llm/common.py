@@ -12,10 +12,9 @@ from pyspark.sql import functions as F
 
 # Words end at ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-# Words of ASCII letters and digits and of everything beyond ASCII; upper case still in it.
-PLAIN_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+# Words of a text in lower case: ASCII letters and digits, and everything beyond ASCII. What
+# most characters are is tried first.
+PLAIN_WORD = r"[a-z0-9\x{80}-\x{10FFFF}]+"
 
 
 def per_worker(key: tuple, make: Callable):
@@ -81,11 +80,6 @@ def words(text: Column, pattern: str = WORD) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(0))
 
 
-def ascii_lower(text: Column) -> Column:
-    """A-Z to lower case, nothing else."""
-    return F.translate(text, UPPER, UPPER.lower())
-
-
 def fingerprint(text: Column) -> Column:
     """Tells texts apart; NULL has one of its own."""
     return F.coalesce(F.sha2(text, 256), F.lit(""))
