@@ -23,7 +23,6 @@ from __future__ import annotations
 
 import struct
 import zlib
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +36,7 @@ from cilode.llm.common import stored
 
 FOLDS, HELD_OUT = 7, 2
 CLASSES = 256
-CHUNK_BYTES = 32 << 20
+CHUNK_BYTES = 8 << 20
 ROWS_PER_BUCKET = 2000
 PASSES = 2
 SWEEPS = 2
@@ -161,36 +160,21 @@ def _chunks(bits: int, chunk_bytes: int):
     return run
 
 
-def _grouped(batches, names: list[str]):
-    """Rows of sorted batches as tuples, one group after the other by the first column."""
-
-    def rows():
-        for batch in batches:
-            columns = [batch.column(batch.schema.get_field_index(n)) for n in names]
-            for row in range(batch.num_rows):
-                yield tuple(c[row].as_py() for c in columns)
-
-    return groupby(rows(), key=lambda r: r[0])
-
-
 WORDS = (np.uint64, np.uint16, np.uint8, np.uint32)
 
 
-def _counted(batches):
-    """Training counts of each bucket's words over all chunks."""
-    for bucket, rows in _grouped(batches, ["bucket", "payload"]):
-        parts = [unpacked(payload, *WORDS) for _, payload in rows]
-        words, which = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-        at = np.repeat(which, np.concatenate([p[1] for p in parts]))
-        keys = at.astype(np.int64) * CLASSES + np.concatenate([p[2] for p in parts])
-        pairs, places = np.unique(keys, return_inverse=True)
-        counts = np.bincount(places, weights=np.concatenate([p[3] for p in parts]), minlength=len(pairs))
-        pairs, counts = pairs[counts > 0], counts[counts > 0].astype(np.uint32)
-        kept, held = np.unique(pairs // CLASSES, return_counts=True)
-        payload = packed(words[kept], held.astype(np.uint16), (pairs % CLASSES).astype(np.uint8), counts)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([bucket], pa.int32()), pa.array([payload], pa.binary())], names=["bucket", "payload"]
-        )
+def _counted(rows: pa.Table) -> pa.Table:
+    """Training counts of a bucket's words over all chunks."""
+    parts = [unpacked(payload, *WORDS) for payload in rows.column("payload").to_pylist()]
+    words, which = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    at = np.repeat(which, np.concatenate([p[1] for p in parts]))
+    keys = at.astype(np.int64) * CLASSES + np.concatenate([p[2] for p in parts])
+    pairs, places = np.unique(keys, return_inverse=True)
+    counts = np.bincount(places, weights=np.concatenate([p[3] for p in parts]), minlength=len(pairs))
+    pairs, counts = pairs[counts > 0], counts[counts > 0].astype(np.uint32)
+    kept, held = np.unique(pairs // CLASSES, return_counts=True)
+    payload = packed(words[kept], held.astype(np.uint16), (pairs % CLASSES).astype(np.uint8), counts)
+    return pa.table({"bucket": rows.column("bucket").slice(0, 1), "payload": pa.array([payload], pa.binary())})
 
 
 class Totals:
@@ -330,92 +314,83 @@ ANSWER = (np.uint32, np.float32, np.uint32, np.float32)
 
 def _answers(totals: Totals):
     """For each chunk of a bucket: counts and mean probabilities in the parent of its words,
-    counts and mean numbers of tables of its pairs. The bucket's counts come first."""
-
-    def run(batches):
-        for bucket, rows in _grouped(batches, ["bucket", "chunk", "payload"]):
-            out = []
-            words = np.zeros(0, np.uint64)
-            pairs, pair_counts, mean_tables = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-            word_counts, probability = np.zeros(0), np.zeros(0)
-            for _, chunk, payload in rows:
-                if chunk < 0:
-                    words, at, contexts, pair_counts, tables, parent_tables = _start(payload)
-                    pairs = at * CLASSES + contexts
-                    word_counts = np.bincount(at, weights=pair_counts, minlength=len(words))
-                    mean_tables, probability = np.zeros(len(at)), np.zeros(len(words))
-                    random = np.random.default_rng([PASSES, bucket])
-                    for turn in range(SWEEPS + SAMPLES):
-                        tables, customers, parent_tables = sweep(
-                            len(words), at, contexts, pair_counts, tables, parent_tables, totals, random
-                        )
-                        if turn >= SWEEPS:
-                            mean_tables += tables / SAMPLES
-                            probability += totals.parent(customers, parent_tables) / SAMPLES
-                    continue
-                asked, held, contexts, _ = unpacked(payload, *WORDS)
-                place = np.searchsorted(words, asked)
-                known = place < len(words)
-                known[known] = words[place[known]] == asked[known]
-                counts, chances = np.zeros(len(asked), np.uint32), np.full(len(asked), totals.parent(0, 0), np.float32)
-                counts[known], chances[known] = word_counts[place[known]], probability[place[known]]
-                key = np.repeat(np.where(known, place, -1), held) * CLASSES + contexts
-                where = np.searchsorted(pairs, key)
-                met = where < len(pairs)
-                met[met] = pairs[where[met]] == key[met]
-                c, t = np.zeros(len(key), np.uint32), np.zeros(len(key), np.float32)
-                c[met], t[met] = pair_counts[where[met]], mean_tables[where[met]]
-                out.append((chunk, bucket, packed(counts, chances, c, t)))
-                if len(out) >= 64:
-                    yield _answer_rows(out)
-                    out = []
-            if out:
-                yield _answer_rows(out)
+    counts and mean numbers of tables of its pairs. The row of chunk -1 has the bucket's counts."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        bucket = rows.column("bucket")[0].as_py()
+        chunks, payloads = rows.column("chunk").to_pylist(), rows.column("payload").to_pylist()
+        words, at, contexts, pair_counts, tables, parent_tables = _start(payloads[chunks.index(-1)])
+        pairs = at * CLASSES + contexts
+        word_counts = np.bincount(at, weights=pair_counts, minlength=len(words))
+        mean_tables, probability = np.zeros(len(at)), np.zeros(len(words))
+        random = np.random.default_rng([PASSES, bucket])
+        for turn in range(SWEEPS + SAMPLES):
+            tables, customers, parent_tables = sweep(
+                len(words), at, contexts, pair_counts, tables, parent_tables, totals, random
+            )
+            if turn >= SWEEPS:
+                mean_tables += tables / SAMPLES
+                probability += totals.parent(customers, parent_tables) / SAMPLES
+        asking, answers = [], []
+        for chunk, payload in zip(chunks, payloads):
+            if chunk < 0:
+                continue
+            asked, held, asked_contexts, _ = unpacked(payload, *WORDS)
+            place = np.searchsorted(words, asked)
+            known = place < len(words)
+            known[known] = words[place[known]] == asked[known]
+            counts, chances = np.zeros(len(asked), np.uint32), np.full(len(asked), totals.parent(0, 0), np.float32)
+            counts[known], chances[known] = word_counts[place[known]], probability[place[known]]
+            key = np.repeat(np.where(known, place, -1), held) * CLASSES + asked_contexts
+            where = np.searchsorted(pairs, key)
+            met = where < len(pairs)
+            met[met] = pairs[where[met]] == key[met]
+            c, t = np.zeros(len(key), np.uint32), np.zeros(len(key), np.float32)
+            c[met], t[met] = pair_counts[where[met]], mean_tables[where[met]]
+            asking.append(chunk)
+            answers.append(packed(counts, chances, c, t))
+        return pa.table(
+            {
+                "chunk": pa.array(asking, pa.int64()),
+                "bucket": pa.array([bucket] * len(asking), pa.int32()),
+                "payload": pa.array(answers, pa.binary()),
+            }
+        )
 
     return run
 
 
-def _answer_rows(out):
-    chunk, bucket, payload = zip(*out)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(chunk, pa.int64()), pa.array(bucket, pa.int32()), pa.array(payload, pa.binary())],
-        names=["chunk", "bucket", "payload"],
-    )
-
-
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
 def _scores(totals: Totals):
-    """Scores of a chunk's texts. Its tokens come first, then the answers in order of hashes."""
-
-    def run(batches):
-        for _, rows in _grouped(batches, ["chunk", "ids", "sizes", "payload"]):
-            _, ids, sizes, payload = next(rows)
-            tokens, classes = unpacked(payload, np.uint32, np.uint8)
-            answers = [unpacked(row[3], *ANSWER) for row in rows]
-            counts, chances, pair_counts, tables = (np.concatenate([a[k] for a in answers]) for k in range(4))
-            sizes_ = np.array(sizes)
-            keys = pair_keys(tokens, classes, sizes_)
-            pairs, which = np.unique(keys, return_inverse=True)
-            context, word = pairs % CLASSES, pairs // CLASSES
-            share = STRENGTH + totals.discount * totals.tables[context]
-            chance = np.maximum(pair_counts - totals.discount * tables, 0.0) + share * chances[word].astype(np.float64)
-            model = np.log10(chance / (STRENGTH + totals.customers[context]))
-            base = np.log10((counts.astype(np.float64) + 1) / (totals.tokens + totals.words + 1))
-            starts = np.concatenate(([0], np.cumsum(sizes_)[:-1]))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(ids, pa.int64()),
-                    pa.array([held_out(i) for i in ids], pa.bool_()),
-                    pa.array(sizes, pa.int64()),
-                    pa.array(np.add.reduceat((counts > 0).astype(np.int64)[tokens], starts)),
-                    pa.array(np.full(len(ids), int(totals.tokens))),
-                    pa.array(np.add.reduceat(base[tokens], starts)),
-                    pa.array(np.add.reduceat(model[which], starts)),
-                ],
-                names=[f.split()[0] for f in SCORES.split(", ")],
-            )
+    """Scores of a chunk's texts, from its tokens (bucket -1) and its answers in order of hashes."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("bucket")
+        payloads = rows.column("payload").to_pylist()
+        ids, sizes = rows.column("ids")[0].as_py(), np.array(rows.column("sizes")[0].as_py())
+        tokens, classes = unpacked(payloads[0], np.uint32, np.uint8)
+        answers = [unpacked(payload, *ANSWER) for payload in payloads[1:]]
+        counts, chances, pair_counts, tables = (np.concatenate([a[k] for a in answers]) for k in range(4))
+        pairs, which = np.unique(pair_keys(tokens, classes, sizes), return_inverse=True)
+        context, word = pairs % CLASSES, pairs // CLASSES
+        share = STRENGTH + totals.discount * totals.tables[context]
+        chance = np.maximum(pair_counts - totals.discount * tables, 0.0) + share * chances[word].astype(np.float64)
+        model = np.log10(chance / (STRENGTH + totals.customers[context]))
+        base = np.log10((counts.astype(np.float64) + 1) / (totals.tokens + totals.words + 1))
+        starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+        return pa.table(
+            {
+                "doc_id": pa.array(ids, pa.int64()),
+                "held_out": pa.array([held_out(i) for i in ids], pa.bool_()),
+                "n_tokens": pa.array(sizes, pa.int64()),
+                "n_known": pa.array(np.add.reduceat((counts > 0).astype(np.int64)[tokens], starts)),
+                "train_tokens": pa.array(np.full(len(ids), int(totals.tokens))),
+                "base_score": pa.array(np.add.reduceat(base[tokens], starts)),
+                "score": pa.array(np.add.reduceat(model[which], starts)),
+            }
+        )
 
     return run
 
@@ -429,10 +404,7 @@ def scored(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, rows_per_bucket: int
     bits = max(4, (texts.count() // rows_per_bucket).bit_length())
     chunks = stored(texts.mapInArrow(_chunks(bits, chunk_bytes), ROW), "lm-chunks")
     asked = chunks.where("bucket >= 0").select("bucket", "chunk", "payload")
-    counted = stored(
-        asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_counted, "bucket int, payload binary"),
-        "lm-counts",
-    )
+    counted = stored(asked.groupBy("bucket").applyInArrow(_counted, "bucket int, payload binary"), "lm-counts")
     totals = _update(Totals(), counted.select("payload").mapInArrow(_first_stats, STATS))
     for name in ("once", "twice", "parent_once", "parent_twice"):
         vars(totals).setdefault(name, 0.0)
@@ -441,9 +413,7 @@ def scored(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, rows_per_bucket: int
     for turn in range(PASSES):
         totals = _update(totals, counted.mapInArrow(_pass_stats(totals, turn), STATS))
     both = counted.select("bucket", F.lit(-1).cast("long").alias("chunk"), "payload").unionByName(asked)
-    answers = both.repartition("bucket").sortWithinPartitions("bucket", "chunk")
-    answers = answers.mapInArrow(_answers(totals), "chunk long, bucket int, payload binary")
+    answers = both.groupBy("bucket").applyInArrow(_answers(totals), "chunk long, bucket int, payload binary")
     empty = {"ids": F.lit(None).cast("array<long>"), "sizes": F.lit(None).cast("array<int>")}
-    tokens = chunks.where("bucket < 0")
-    rows = tokens.unionByName(answers.withColumns(empty)).repartition("chunk").sortWithinPartitions("chunk", "bucket")
-    return rows.select("chunk", "ids", "sizes", "payload").mapInArrow(_scores(totals), SCORES)
+    rows = chunks.where("bucket < 0").unionByName(answers.withColumns(empty))
+    return rows.groupBy("chunk").applyInArrow(_scores(totals), SCORES)
