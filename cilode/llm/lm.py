@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cilode.llm.common import stored
+from cilode.llm.common import slices, stored
 
 FOLDS, HELD_OUT = 7, 2
 CLASSES = 256
@@ -148,7 +148,7 @@ def _chunks(bits: int, chunk_bytes: int):
 
     def run(batches):
         number, chunk = TaskContext.get().partitionId() << 24, Chunk()
-        for texts in batches:
+        for texts in slices(batches):
             for doc_id, text in zip(texts.column(0).to_pylist(), texts.column(1).cast(pa.binary()).to_pylist()):
                 if chunk.ids and chunk.bytes + len(text or b"") > chunk_bytes:
                     yield batch(list(rows(chunk, number)))
