@@ -72,11 +72,13 @@ WORKFLOW_TEXT = (
 
 def workflows(spark: SparkSession, folder: str) -> DataFrame:
     """(path, text), one file per order."""
-    # The rows are dealt out while they are some numbers each, before they become texts.
+    # The rows are dealt out while they are some numbers each, before they become texts: a small
+    # table is one row group and would be one task, and adaptive execution would join its
+    # partitions again, as it cannot know what the texts will cost.
     orders = (
         table(spark, folder, "orders")
         .select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority")
-        .repartition("o_orderkey")
+        .repartition(2 * spark.sparkContext.defaultParallelism, "o_orderkey")
     )
     parts = orders.selectExpr(
         "*",

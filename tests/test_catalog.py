@@ -45,7 +45,9 @@ def test_plans(spark, name):
     # No state that grows with the group; the kinds of windows are fourteen at most.
     if name != "classify_rules_equi_join":
         assert "collect_" not in text and "ObjectHashAggregate" not in text
-    assert "REPARTITION_BY_NUM" not in text
+    # Rows of numbers may be dealt out before they become texts, texts are not.
+    if "REPARTITION_BY_NUM" in text:
+        assert "o_orderkey" in text and "documents.parquet" not in text
     for keys in re.findall(r"ReadSchema: struct<([^>]*)>", text):
         assert "o_totalprice" not in keys and "n_chars" not in keys
 
