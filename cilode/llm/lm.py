@@ -1,31 +1,36 @@
 """Scoring texts with a hierarchical Pitman-Yor model, trained on the texts of a fold.
 
-Tokens are seated in restaurants. There is one restaurant per class of the preceding word
-(by its last letters) and one they all share as parent, whose customers are their tables;
-its base is uniform over the vocabulary and one unknown token. Opening a table costs one
-customer in the parent. Seats are sampled by Gibbs: a sweep seats all customers of a word
-anew, given the tables of the others; restaurants' totals are brought up to date between
-passes. Scores use predictive probabilities averaged over samples of the last pass.
-
-All words of all training texts count, whatever their number: texts are turned into chunks,
-each with a sorted list of the hashes of its words. The lists are cut into buckets by hash
-and shuffled as packed arrays; a bucket's words are counted and seated in one task, and what a
-chunk asked for goes back to it the same way. So a task holds a bucket's words or one chunk,
-neither of which grows with the corpus (the number of buckets does); a frequent word is one
-entry per chunk. Only the totals of the restaurants reach the driver.
+Tokens are seated in restaurants, one for every preceding word. The restaurants of the words of
+one class (by their last letters) share a parent, whose customers are their tables, and
+the classes share another in the same way; its base is uniform over the vocabulary and one
+unknown token. Opening a table costs one customer in the parent. Seats are sampled by Gibbs:
+a turn seats all customers of a word anew, given the totals and the parents' probabilities of
+the turn before, which are carried from turn to turn. Scores use predictive probabilities
+averaged over the last turns.
+
+All words and all pairs of words of all training texts count, whatever their number. Texts are
+turned into chunks with lists of their distinct pairs, cut into cells of a grid: by the hash
+of the word and by that of the preceding one. So neither a frequent word nor a frequent
+context is in one task as a whole. A cell's pairs are counted and seated in one task. What a
+word has in all cells of its row, and a restaurant in all cells of its column, is summed by
+groups, and goes back to the cells the same way; what a chunk asked for goes back to it likewise.
+Restaurants of preceding words are rows of these groups; only the totals of the classes, which
+smooth them, reach the driver.
 
 NULL and empty texts are one end token. A NULL id counts as an empty text for the fold.
 Repeated rows are trained and scored as often as they occur. Words are told apart by 64 bits of
-their hash.
+their hash, preceding words by 56 and their class.
 """
 
 from __future__ import annotations
 
+import copy
 import struct
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -38,6 +43,7 @@ FOLDS, HELD_OUT = 7, 2
 CLASSES = 256
 CHUNK_BYTES = 8 << 20
 ROWS_PER_BUCKET = 2000
+# Turns before the first sample, and sweeps over the parents in each turn.
 PASSES = 2
 SWEEPS = 2
 SAMPLES = 4
@@ -46,7 +52,12 @@ STRENGTH = 1.0
 # The token that ends a text; no word has a blank.
 END = b" "
 
-ROW = "chunk long, bucket int, ids array<long>, sizes array<int>, payload binary"
+# A group's own row, among those of the chunks or cells it has to do with.
+OWN = -1
+# Sides of the grid.
+WORD, CONTEXT = 0, 1
+
+ROW = "chunk long, cell int, ids array<long>, sizes array<int>, payload binary"
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -105,45 +116,61 @@ class Chunk:
         return hashes[order], classes[order], place[np.concatenate(self.tokens)]
 
 
-def pair_keys(tokens: np.ndarray, classes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """place * CLASSES + context of every token."""
+def pair_numbers(tokens: np.ndarray, sizes: np.ndarray, words: int) -> np.ndarray:
+    """place * (words + 1) + context of every token: 0 at the start of a text, or 1 + place of the word before."""
     contexts = np.zeros(len(tokens), np.int64)
-    contexts[1:] = classes[tokens[:-1]]
+    contexts[1:] = tokens[:-1].astype(np.int64) + 1
     contexts[np.cumsum(sizes)[:-1]] = 0
-    return tokens.astype(np.int64) * CLASSES + contexts
+    return tokens.astype(np.int64) * (words + 1) + contexts
+
+
+def context_keys(hashes: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """Keys of words as contexts, the class in the last byte; the start of a text is 0."""
+    low = np.uint64(CLASSES - 1)
+    return np.concatenate(([np.uint64(0)], hashes & ~low | classes.astype(np.uint64)))
+
+
+def _top(keys: np.ndarray, bits: int) -> np.ndarray:
+    return (keys >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def _chunks(bits: int, chunk_bytes: int):
-    """For each chunk one row with its tokens (bucket -1) and one per bucket with its words:
-    hashes, number of contexts, contexts, and training counts."""
+    """For each chunk one row with its tokens as places of their pairs (cell OWN), and one per
+    cell with its pairs: hashes of words, number of contexts, keys of contexts, contexts, and
+    training counts."""
 
     def rows(chunk: Chunk, number: int):
         hashes, classes, tokens = chunk.finish()
-        sizes = np.array(chunk.sizes)
-        yield number, -1, chunk.ids, chunk.sizes, packed(tokens, classes)
-        keys = pair_keys(tokens, classes, sizes)
+        sizes, keys = np.array(chunk.sizes), context_keys(hashes, classes)
+        pairs, which = np.unique(pair_numbers(tokens, sizes, len(hashes)), return_inverse=True)
         trained = np.repeat([not held_out(i) for i in chunk.ids], sizes)
-        pairs, which = np.unique(keys, return_inverse=True)
         counts = np.bincount(which, weights=trained, minlength=len(pairs)).astype(np.uint32)
-        words, contexts = pairs // CLASSES, (pairs % CLASSES).astype(np.uint8)
-        buckets = (hashes >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)
-        for bucket in np.unique(buckets):
-            a, b = np.searchsorted(buckets, [bucket, bucket + 1])
-            c, d = np.searchsorted(words, [a, b])
-            held = np.bincount(words[c:d] - a, minlength=b - a).astype(np.uint16)
-            yield number, int(bucket), None, None, packed(hashes[a:b], held, contexts[c:d], counts[c:d])
+        words, contexts = pairs // len(keys), pairs % len(keys)
+        cells = _top(hashes, bits - bits // 2)[words] << bits // 2 | _top(keys, bits // 2)[contexts]
+        order = np.argsort(cells, kind="stable")
+        place = np.empty(len(order), np.uint32)
+        place[order] = np.arange(len(order), dtype=np.uint32)
+        yield number, OWN, chunk.ids, chunk.sizes, packed(place[which])
+        words, contexts, counts, cells = words[order], contexts[order], counts[order], cells[order]
+        found, starts = np.unique(cells, return_index=True)
+        for cell, a, b in zip(found.tolist(), starts, [*starts[1:], len(cells)]):
+            mine, held = np.unique(words[a:b], return_counts=True)
+            before, at = np.unique(contexts[a:b], return_inverse=True)
+            yield number, cell, None, None, packed(
+                hashes[mine], held.astype(np.uint32), keys[before], at.astype(np.uint32), counts[a:b]
+            )
 
     def batch(found):
-        chunk, bucket, ids, sizes, payload = zip(*found)
+        chunk, cell, ids, sizes, payload = zip(*found)
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(chunk, pa.int64()),
-                pa.array(bucket, pa.int32()),
+                pa.array(cell, pa.int32()),
                 pa.array(ids, pa.list_(pa.int64())),
                 pa.array(sizes, pa.list_(pa.int32())),
                 pa.array(payload, pa.binary()),
             ],
-            names=["chunk", "bucket", "ids", "sizes", "payload"],
+            names=["chunk", "cell", "ids", "sizes", "payload"],
         )
 
     def run(batches):
@@ -160,31 +187,66 @@ def _chunks(bits: int, chunk_bytes: int):
     return run
 
 
-WORDS = (np.uint64, np.uint16, np.uint8, np.uint32)
+PAIRS = (np.uint64, np.uint32, np.uint64, np.uint32, np.uint32)
 
 
-def _counted(rows: pa.Table) -> pa.Table:
-    """Training counts of a bucket's words over all chunks."""
-    parts = [unpacked(payload, *WORDS) for payload in rows.column("payload").to_pylist()]
+def _merged(parts: list[list[np.ndarray]]):
+    """Words, contexts, and for all pairs of all parts: place of the word, place of the context, count."""
     words, which = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    contexts, places = np.unique(np.concatenate([p[2] for p in parts]), return_inverse=True)
     at = np.repeat(which, np.concatenate([p[1] for p in parts]))
-    keys = at.astype(np.int64) * CLASSES + np.concatenate([p[2] for p in parts])
-    pairs, places = np.unique(keys, return_inverse=True)
-    counts = np.bincount(places, weights=np.concatenate([p[3] for p in parts]), minlength=len(pairs))
-    pairs, counts = pairs[counts > 0], counts[counts > 0].astype(np.uint32)
-    kept, held = np.unique(pairs // CLASSES, return_counts=True)
-    payload = packed(words[kept], held.astype(np.uint16), (pairs % CLASSES).astype(np.uint8), counts)
-    return pa.table({"bucket": rows.column("bucket").slice(0, 1), "payload": pa.array([payload], pa.binary())})
+    starts = np.cumsum([0] + [len(p[2]) for p in parts])
+    before = places[np.concatenate([p[3] + start for p, start in zip(parts, starts)])]
+    return words, contexts, at, before, np.concatenate([p[4] for p in parts])
+
+
+def _counted(rows: pa.Table) -> pa.Table:
+    """Training counts of a cell's pairs over all chunks; pairs of held-out texts alone have 0."""
+    words, contexts, at, before, counts = _merged([unpacked(p, *PAIRS) for p in rows.column("payload").to_pylist()])
+    pairs, places = np.unique(at * len(contexts) + before, return_inverse=True)
+    counts = np.bincount(places, weights=counts, minlength=len(pairs)).astype(np.uint32)
+    held = np.bincount(pairs // len(contexts), minlength=len(words)).astype(np.uint32)
+    payload = packed(words, held, contexts, (pairs % len(contexts)).astype(np.uint32), counts)
+    return pa.table({"cell": rows.column("cell").slice(0, 1), "payload": pa.array([payload], pa.binary())})
+
+
+class Cell:
+    """The pairs of a cell. Its dishes are its words in the classes of their contexts."""
+
+    def __init__(self, payload: bytes):
+        self.words, held, self.contexts, self.before, counts = unpacked(payload, *PAIRS)
+        self.at, self.counts = np.repeat(np.arange(len(held)), held), counts.astype(np.int64)
+        classes = (self.contexts & np.uint64(CLASSES - 1)).astype(np.int64)
+        self.dishes, self.dish = np.unique(self.at * CLASSES + classes[self.before], return_inverse=True)
+
+    def sums(self, tables: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Tables by dish and by context."""
+        return (
+            np.bincount(self.dish, weights=tables, minlength=len(self.dishes)).astype(np.int64),
+            np.bincount(self.before, weights=tables, minlength=len(self.contexts)).astype(np.int64),
+        )
+
+    def seated(self, chances: np.ndarray, tables: np.ndarray, totals: Totals, turn: int, cell: int) -> np.ndarray:
+        """Tables of the pairs, given the dishes' probabilities in the parents and the restaurants' tables."""
+        weight = (STRENGTH + totals.leaf_discount * tables)[self.before] * chances.astype(np.float64)[self.dish]
+        return seat(self.counts, weight, totals.leaf_discount, np.random.default_rng([turn, cell]))
+
+    def predicted(self, seats, chances, tables, customers, totals: Totals) -> np.ndarray:
+        """Probabilities of the pairs' words after their contexts."""
+        left = np.maximum(self.counts - totals.leaf_discount * seats, 0.0)
+        share = (STRENGTH + totals.leaf_discount * tables)[self.before]
+        return (left + share * chances.astype(np.float64)[self.dish]) / (STRENGTH + customers)[self.before]
 
 
 class Totals:
-    """Of the restaurants, over all words: customers, tables, and the discounts."""
+    """Of the classes and their parent, over all words: customers, tables, and the discounts; the
+    discount of the restaurants of preceding words (leaf)."""
 
     def __init__(self):
         self.customers = np.zeros(CLASSES)
         self.tables = np.zeros(CLASSES)
         self.parent_customers = self.parent_tables = 0.0
-        self.discount = self.parent_discount = 0.5
+        self.discount = self.parent_discount = self.leaf_discount = 0.5
         self.tokens = self.words = 0
 
     def base(self) -> float:
@@ -232,13 +294,6 @@ def sweep(words: int, at: np.ndarray, contexts: np.ndarray, counts: np.ndarray,
     return tables, customers, parent_tables
 
 
-def _start(payload: bytes):
-    """A bucket's words with every dish of a restaurant at one table."""
-    words, held, contexts, counts = unpacked(payload, *WORDS)
-    at = np.repeat(np.arange(len(words)), held)
-    return words, at, contexts, counts.astype(np.int64), np.ones(len(at)), np.ones(len(words))
-
-
 STATS = "name string, context int, value double"
 
 
@@ -255,41 +310,177 @@ def _by_context(name: str, contexts: np.ndarray, values: np.ndarray | None = Non
     return [(name, c, float(sums[c])) for c in range(CLASSES) if sums[c]]
 
 
-def _first_stats(batches):
-    """Customers, and tables with one per dish; dishes with one and two customers."""
+# Between cells, words and restaurants: rows of a side's bucket and a cell, or of one of them alone (OWN).
+MESSAGE = "side int, bucket int, cell int, payload binary"
+# Of the words of a bucket: training counts, dishes, their customers and tables, tables in the
+# parent; cells, and the places of their words and dishes.
+STATE = (np.int64, np.int64, np.int64, np.float64, np.float64, np.int32, np.int64, np.uint32, np.int64, np.uint32)
+# Of the restaurants of a bucket: customers; cells, and the places of their contexts.
+PLACES = (np.int64, np.int32, np.int64, np.uint32)
+
+
+def _messages(found) -> pa.Table:
+    side, bucket, cell, payload = zip(*found) if found else ((), (), (), ())
+    columns = [pa.array(c, pa.int32()) for c in (side, bucket, cell)]
+    return pa.table([*columns, pa.array(payload, pa.binary())], names=["side", "bucket", "cell", "payload"])
+
+
+def _leaf_stats(batches):
+    """Pairs with one and two customers."""
     for batch in batches:
-        for payload in batch.column(0).to_pylist():
-            words, at, contexts, counts, tables, _ = _start(payload)
-            dishes = np.bincount(at, minlength=len(words))
-            rows = _by_context("customers", contexts, counts) + _by_context("tables", contexts)
+        for payload in batch.column("payload").to_pylist():
+            counts = unpacked(payload, *PAIRS)[4]
+            yield _stats([("leaf_once", -1, float((counts == 1).sum())), ("leaf_twice", -1, float((counts == 2).sum()))])
+
+
+def _asked(bits: int):
+    """What a cell has of its words and restaurants, with every pair at one table."""
+
+    def run(batches):
+        for batch in batches:
+            for number, payload in zip(batch.column("cell").to_pylist(), batch.column("payload").to_pylist()):
+                cell = Cell(payload)
+                by_dish, by_context = cell.sums(np.minimum(cell.counts, 1))
+                counts = np.bincount(cell.at, weights=cell.counts, minlength=len(cell.words)).astype(np.int64)
+                held = np.bincount(cell.dishes // CLASSES, minlength=len(cell.words))
+                customers = np.bincount(cell.before, weights=cell.counts, minlength=len(cell.contexts)).astype(np.int64)
+                of_words = packed(cell.words, counts, held, (cell.dishes % CLASSES).astype(np.uint8), by_dish)
+                row, column = number >> bits // 2, number & (1 << bits // 2) - 1
+                yield from _messages(
+                    [
+                        (WORD, row, number, of_words),
+                        (CONTEXT, column, number, packed(cell.contexts, customers, by_context)),
+                    ]
+                ).to_batches()
+
+    return run
+
+
+def _first_sums(rows: pa.Table) -> pa.Table:
+    """The sums of a bucket's words, or of its restaurants, over the cells."""
+    rows = rows.sort_by("cell")
+    side, bucket = rows.column("side")[0].as_py(), rows.column("bucket")[0].as_py()
+    cells, payloads = rows.column("cell").to_pylist(), rows.column("payload").to_pylist()
+    numbers = np.array(cells, np.int32)
+    if side == WORD:
+        parts = [unpacked(p, np.uint64, np.int64, np.int64, np.uint8, np.int64) for p in payloads]
+        sizes, dish_sizes = (np.array([len(p[k]) for p in parts]) for k in (0, 3))
+        hashes, counts, held, classes, by_dish = (np.concatenate([p[k] for p in parts]) for k in range(5))
+        words, which = np.unique(hashes, return_inverse=True)
+        counts = np.bincount(which, weights=counts, minlength=len(words)).astype(np.int64)
+        dishes, places = np.unique(np.repeat(which, held) * CLASSES + classes, return_inverse=True)
+        customers = np.bincount(places, weights=by_dish, minlength=len(dishes)).astype(np.int64)
+        tables = np.minimum(customers, 1).astype(np.float64)
+        parent_tables = np.minimum(counts, 1).astype(np.float64)
+        layout = numbers, sizes, which.astype(np.uint32), dish_sizes, places.astype(np.uint32)
+        return _messages([(side, bucket, OWN, packed(counts, dishes, customers, tables, parent_tables, *layout))])
+    parts = [unpacked(p, np.uint64, np.int64, np.int64) for p in payloads]
+    sizes = np.array([len(p[0]) for p in parts])
+    keys, customers, by_context = (np.concatenate([p[k] for p in parts]) for k in range(3))
+    contexts, places = np.unique(keys, return_inverse=True)
+    customers = np.bincount(places, weights=customers, minlength=len(contexts)).astype(np.int64)
+    own = packed(customers, numbers, sizes, places.astype(np.uint32))
+    return _messages([(side, bucket, OWN, own), *_restaurants(bucket, own, by_context)])
+
+
+def _restaurants(bucket: int, own: bytes, by_context: np.ndarray):
+    """To each cell the tables and customers of its restaurants, from what all cells have of them."""
+    customers, cells, sizes, places = unpacked(own, *PLACES)
+    tables = np.bincount(places, weights=by_context, minlength=len(customers)).astype(np.int64)
+    ends = np.cumsum(sizes)
+    for cell, a, b in zip(cells.tolist(), ends - sizes, ends):
+        yield CONTEXT, bucket, cell, packed(tables[places[a:b]], customers[places[a:b]])
+
+
+def _sums(totals: Totals, turn: int):
+    """The sums of the cells' new tables; words are then seated anew in the classes and the parent."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("cell")
+        side, bucket = rows.column("side")[0].as_py(), rows.column("bucket")[0].as_py()
+        own, *payloads = rows.column("payload").to_pylist()
+        new = np.concatenate([unpacked(p, np.int64)[0] for p in payloads])
+        if side == CONTEXT:
+            return _messages([(side, bucket, OWN, own), *_restaurants(bucket, own, new)])
+        counts, dishes, _, tables, parent_tables, *layout = unpacked(own, *STATE)
+        customers = np.bincount(layout[-1], weights=new, minlength=len(dishes)).astype(np.int64)
+        random = np.random.default_rng([turn, bucket, 1])
+        for _ in range(SWEEPS):
+            tables, _, parent_tables = sweep(
+                len(counts), dishes // CLASSES, dishes % CLASSES, customers, tables, parent_tables, totals, random
+            )
+        return _messages([(side, bucket, OWN, packed(counts, dishes, customers, tables, parent_tables, *layout))])
+
+    return run
+
+
+def _word_stats(batches):
+    """Customers and tables of the classes and the parent; words, tokens, dishes with one and two customers."""
+    for batch in batches:
+        for payload in batch.column("payload").to_pylist():
+            counts, dishes, customers, tables, parent_tables, *_ = unpacked(payload, *STATE)
+            classes = np.bincount(dishes[customers > 0] // CLASSES, minlength=len(counts))
+            rows = _by_context("customers", dishes % CLASSES, customers) + _by_context("tables", dishes % CLASSES, tables)
             for name, value in (
-                ("words", len(words)),
+                ("words", (counts > 0).sum()),
                 ("tokens", counts.sum()),
-                ("once", (counts == 1).sum()),
-                ("twice", (counts == 2).sum()),
-                ("parent_once", (dishes == 1).sum()),
-                ("parent_twice", (dishes == 2).sum()),
-                ("parent_customers", len(at)),
-                ("parent_tables", len(words)),
+                ("once", (customers == 1).sum()),
+                ("twice", (customers == 2).sum()),
+                ("parent_once", (classes == 1).sum()),
+                ("parent_twice", (classes == 2).sum()),
+                ("parent_customers", tables.sum()),
+                ("parent_tables", parent_tables.sum()),
             ):
                 rows.append((name, -1, float(value)))
             yield _stats(rows)
 
 
-def _pass_stats(totals: Totals, turn: int):
+def _replies(totals: Totals):
+    """To each cell the probabilities of its dishes in their classes, and the counts of its words."""
+
     def run(batches):
         for batch in batches:
-            for bucket, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words, at, contexts, counts, tables, parent_tables = _start(payload)
-                random = np.random.default_rng([turn, bucket])
-                customers = np.bincount(at, minlength=len(words))
-                for _ in range(SWEEPS):
-                    tables, customers, parent_tables = sweep(
-                        len(words), at, contexts, counts, tables, parent_tables, totals, random
-                    )
-                rows = _by_context("tables", contexts, tables)
-                rows += [("parent_customers", -1, float(customers.sum())), ("parent_tables", -1, float(parent_tables.sum()))]
-                yield _stats(rows)
+            for bucket, payload in zip(batch.column("bucket").to_pylist(), batch.column("payload").to_pylist()):
+                counts, dishes, customers, tables, parent_tables, cells, sizes, which, dish_sizes, places = unpacked(
+                    payload, *STATE
+                )
+                at, classes = dishes // CLASSES, dishes % CLASSES
+                shared = totals.parent(np.bincount(at, weights=tables, minlength=len(counts)), parent_tables)
+                share = (STRENGTH + totals.discount * totals.tables)[classes] * shared[at]
+                chances = (customers - totals.discount * tables + share) / (STRENGTH + totals.customers[classes])
+                chances = chances.astype(np.float32)
+                ends, dish_ends = np.cumsum(sizes), np.cumsum(dish_sizes)
+                for cell, a, b, c, d in zip(cells.tolist(), ends - sizes, ends, dish_ends - dish_sizes, dish_ends):
+                    reply = packed(chances[places[c:d]], counts[which[a:b]])
+                    yield from _messages([(WORD, bucket, cell, reply)]).to_batches()
+
+    return run
+
+
+REPLY = {WORD: (np.float32, np.int64), CONTEXT: (np.int64, np.int64)}
+
+
+def _replied(rows: pa.Table) -> dict:
+    """Replies to a cell by turn and side."""
+    columns = (rows.column(name).to_pylist() for name in ("turn", "side", "payload"))
+    return {(turn, side): unpacked(payload, *REPLY[side]) for turn, side, payload in zip(*columns) if side is not None}
+
+
+def _own(rows: pa.Table) -> bytes:
+    """The pairs of a cell."""
+    own = pc.and_(pc.is_null(rows.column("side")), pc.is_null(rows.column("chunk")))
+    return rows.filter(own).column("payload")[0].as_py()
+
+
+def _seated(totals: Totals, turn: int, bits: int):
+    """A turn of a cell: new tables, summed by dish and by context."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        number, cell, replies = rows.column("cell")[0].as_py(), Cell(_own(rows)), _replied(rows)
+        tables = cell.seated(replies[turn - 1, WORD][0], replies[turn - 1, CONTEXT][0], totals, turn, number)
+        by_dish, by_context = cell.sums(tables)
+        row, column = number >> bits // 2, number & (1 << bits // 2) - 1
+        return _messages([(WORD, row, number, packed(by_dish)), (CONTEXT, column, number, packed(by_context))])
 
     return run
 
@@ -309,50 +500,31 @@ def _discount(once: float, twice: float) -> float:
     return min(max(once / (once + 2 * twice), 0.05), 0.95) if once else 0.5
 
 
-ANSWER = (np.uint32, np.float32, np.uint32, np.float32)
+ANSWER = (np.float32, np.int64)
 
 
 def _answers(totals: Totals):
-    """For each chunk of a bucket: counts and mean probabilities in the parent of its words,
-    counts and mean numbers of tables of its pairs. The row of chunk -1 has the bucket's counts."""
+    """For each chunk of a cell: logarithms of its pairs' mean probabilities, counts of their words."""
 
     def run(rows: pa.Table) -> pa.Table:
-        bucket = rows.column("bucket")[0].as_py()
-        chunks, payloads = rows.column("chunk").to_pylist(), rows.column("payload").to_pylist()
-        words, at, contexts, pair_counts, tables, parent_tables = _start(payloads[chunks.index(-1)])
-        pairs = at * CLASSES + contexts
-        word_counts = np.bincount(at, weights=pair_counts, minlength=len(words))
-        mean_tables, probability = np.zeros(len(at)), np.zeros(len(words))
-        random = np.random.default_rng([PASSES, bucket])
-        for turn in range(SWEEPS + SAMPLES):
-            tables, customers, parent_tables = sweep(
-                len(words), at, contexts, pair_counts, tables, parent_tables, totals, random
-            )
-            if turn >= SWEEPS:
-                mean_tables += tables / SAMPLES
-                probability += totals.parent(customers, parent_tables) / SAMPLES
-        asking, answers = [], []
-        for chunk, payload in zip(chunks, payloads):
-            if chunk < 0:
-                continue
-            asked, held, asked_contexts, _ = unpacked(payload, *WORDS)
-            place = np.searchsorted(words, asked)
-            known = place < len(words)
-            known[known] = words[place[known]] == asked[known]
-            counts, chances = np.zeros(len(asked), np.uint32), np.full(len(asked), totals.parent(0, 0), np.float32)
-            counts[known], chances[known] = word_counts[place[known]], probability[place[known]]
-            key = np.repeat(np.where(known, place, -1), held) * CLASSES + asked_contexts
-            where = np.searchsorted(pairs, key)
-            met = where < len(pairs)
-            met[met] = pairs[where[met]] == key[met]
-            c, t = np.zeros(len(key), np.uint32), np.zeros(len(key), np.float32)
-            c[met], t[met] = pair_counts[where[met]], mean_tables[where[met]]
-            asking.append(chunk)
-            answers.append(packed(counts, chances, c, t))
+        number, cell, replies = rows.column("cell")[0].as_py(), Cell(_own(rows)), _replied(rows)
+        chance = np.zeros(len(cell.counts))
+        for turn in range(PASSES + 1, PASSES + SAMPLES + 1):
+            seats = cell.seated(replies[turn - 1, WORD][0], replies[turn - 1, CONTEXT][0], totals, turn, number)
+            chance += cell.predicted(seats, replies[turn, WORD][0], *replies[turn, CONTEXT], totals) / SAMPLES
+        logs, counts = np.log10(chance).astype(np.float32), replies[PASSES, WORD][1]
+        pairs = cell.at * len(cell.contexts) + cell.before
+        asking = rows.filter(pc.is_valid(rows.column("chunk")))
+        answers = []
+        for payload in asking.column("payload").to_pylist():
+            asked, held, contexts, before, _ = unpacked(payload, *PAIRS)
+            at = np.repeat(np.searchsorted(cell.words, asked), held)
+            key = at * len(cell.contexts) + np.searchsorted(cell.contexts, contexts)[before]
+            answers.append(packed(logs[np.searchsorted(pairs, key)], counts[at]))
         return pa.table(
             {
-                "chunk": pa.array(asking, pa.int64()),
-                "bucket": pa.array([bucket] * len(asking), pa.int32()),
+                "chunk": asking.column("chunk"),
+                "cell": asking.column("cell"),
                 "payload": pa.array(answers, pa.binary()),
             }
         )
@@ -364,20 +536,15 @@ SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 
 
 def _scores(totals: Totals):
-    """Scores of a chunk's texts, from its tokens (bucket -1) and its answers in order of hashes."""
+    """Scores of a chunk's texts, from its tokens (cell OWN) and its answers in order of cells."""
 
     def run(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by("bucket")
+        rows = rows.sort_by("cell")
         payloads = rows.column("payload").to_pylist()
         ids, sizes = rows.column("ids")[0].as_py(), np.array(rows.column("sizes")[0].as_py())
-        tokens, classes = unpacked(payloads[0], np.uint32, np.uint8)
+        [tokens] = unpacked(payloads[0], np.uint32)
         answers = [unpacked(payload, *ANSWER) for payload in payloads[1:]]
-        counts, chances, pair_counts, tables = (np.concatenate([a[k] for a in answers]) for k in range(4))
-        pairs, which = np.unique(pair_keys(tokens, classes, sizes), return_inverse=True)
-        context, word = pairs % CLASSES, pairs // CLASSES
-        share = STRENGTH + totals.discount * totals.tables[context]
-        chance = np.maximum(pair_counts - totals.discount * tables, 0.0) + share * chances[word].astype(np.float64)
-        model = np.log10(chance / (STRENGTH + totals.customers[context]))
+        model, counts = (np.concatenate([a[k] for a in answers]) for k in range(2))
         base = np.log10((counts.astype(np.float64) + 1) / (totals.tokens + totals.words + 1))
         starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
         return pa.table(
@@ -388,7 +555,7 @@ def _scores(totals: Totals):
                 "n_known": pa.array(np.add.reduceat((counts > 0).astype(np.int64)[tokens], starts)),
                 "train_tokens": pa.array(np.full(len(ids), int(totals.tokens))),
                 "base_score": pa.array(np.add.reduceat(base[tokens], starts)),
-                "score": pa.array(np.add.reduceat(model[which], starts)),
+                "score": pa.array(np.add.reduceat(model.astype(np.float64)[tokens], starts)),
             }
         )
 
@@ -403,17 +570,34 @@ def scored(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, rows_per_bucket: int
     texts = docs.select(F.col("doc_id").cast("long"), "text")
     bits = max(4, (texts.count() // rows_per_bucket).bit_length())
     chunks = stored(texts.mapInArrow(_chunks(bits, chunk_bytes), ROW), "lm-chunks")
-    asked = chunks.where("bucket >= 0").select("bucket", "chunk", "payload")
-    counted = stored(asked.groupBy("bucket").applyInArrow(_counted, "bucket int, payload binary"), "lm-counts")
-    totals = _update(Totals(), counted.select("payload").mapInArrow(_first_stats, STATS))
-    for name in ("once", "twice", "parent_once", "parent_twice"):
-        vars(totals).setdefault(name, 0.0)
-    totals.discount = _discount(totals.once, totals.twice)
-    totals.parent_discount = _discount(totals.parent_once, totals.parent_twice)
-    for turn in range(PASSES):
-        totals = _update(totals, counted.mapInArrow(_pass_stats(totals, turn), STATS))
-    both = counted.select("bucket", F.lit(-1).cast("long").alias("chunk"), "payload").unionByName(asked)
-    answers = both.groupBy("bucket").applyInArrow(_answers(totals), "chunk long, bucket int, payload binary")
+    asked = chunks.where(F.col("cell") != OWN).select("cell", "chunk", "payload")
+    counted = stored(asked.select("cell", "payload").groupBy("cell").applyInArrow(_counted, "cell int, payload binary"), "lm-counts")
+    null = {name: F.lit(None).cast(kind) for name, kind in (("side", "int"), ("turn", "int"), ("chunk", "long"))}
+    cells = counted.withColumns(null)
+    totals = _update(Totals(), counted.mapInArrow(_leaf_stats, STATS))
+    sums = counted.mapInArrow(_asked(bits), MESSAGE).groupBy("side", "bucket").applyInArrow(_first_sums, MESSAGE)
+    replies = []
+    for turn in range(PASSES + SAMPLES + 1):
+        if turn:
+            rows = cells.unionByName(replies[-1])
+            moved = rows.groupBy("cell").applyInArrow(_seated(totals, turn, bits), MESSAGE)
+            moved = moved.unionByName(sums.where(F.col("cell") == OWN))
+            sums = moved.groupBy("side", "bucket").applyInArrow(_sums(copy.deepcopy(totals), turn), MESSAGE)
+        sums = stored(sums, "lm-sums")
+        of_words = sums.where(F.col("side") == WORD)
+        totals = _update(copy.deepcopy(totals), of_words.mapInArrow(_word_stats, STATS))
+        if not turn:
+            for name in ("leaf_", "", "parent_"):
+                once, twice = (getattr(totals, f"{name}{times}", 0.0) for times in ("once", "twice"))
+                setattr(totals, f"{name}discount", _discount(once, twice))
+        back = of_words.mapInArrow(_replies(totals), MESSAGE).unionByName(
+            sums.where((F.col("side") == CONTEXT) & (F.col("cell") != OWN))
+        )
+        replies.append(back.select("cell", "payload", "side", F.lit(turn).alias("turn"), null["chunk"].alias("chunk")))
+    rows = cells.unionByName(asked.withColumns({"side": null["side"], "turn": null["turn"]}))
+    for back in replies[PASSES:]:
+        rows = rows.unionByName(back)
+    answers = rows.groupBy("cell").applyInArrow(_answers(totals), "chunk long, cell int, payload binary")
     empty = {"ids": F.lit(None).cast("array<long>"), "sizes": F.lit(None).cast("array<int>")}
-    rows = chunks.where("bucket < 0").unionByName(answers.withColumns(empty))
+    rows = chunks.where(F.col("cell") == OWN).unionByName(answers.withColumns(empty))
     return rows.groupBy("chunk").applyInArrow(_scores(totals), SCORES)

@@ -109,3 +109,15 @@ def test_empty_and_untrained(spark):
     only = next(i for i in range(100) if M.held_out(i))
     [row] = M.scored(spark.createDataFrame([(only, "a b", "", 0)], SCHEMA)).collect()
     assert (row.n_tokens, row.n_known, row.train_tokens) == (3, 0, 0) and np.isfinite(row.score)
+
+
+def test_words_of_a_class_are_contexts_of_their_own(spark):
+    """What follows a word is not what follows another that ends alike."""
+    assert M.word_class(b"north") == M.word_class(b"south")
+    trained = [i for i in range(400) if not M.held_out(i)]
+    rows = [(i, ["north one", "south two"][n % 2], "", 0) for n, i in enumerate(trained)]
+    held = [i for i in range(400, 500) if M.held_out(i)][:4]
+    rows += [(i, text, "", 0) for i, text in zip(held, ["north one", "north two", "south one", "south two"])]
+    got = {r.doc_id: r.score for r in M.scored(spark.createDataFrame(rows, SCHEMA)).collect()}
+    right, wrong, wrong_too, right_too = (got[i] for i in held)
+    assert right > wrong + 1 and right_too > wrong_too + 1
