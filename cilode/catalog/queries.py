@@ -20,7 +20,7 @@ from cilode.functions.extract import (
     step_options,
 )
 from cilode.functions.rules import RULES_V1, RULES_V2, Rules, labels_text
-from cilode.operators.labelling import match_rules, match_rules_constant, rule_list, with_labels
+from cilode.operators.labelling import match_rules, with_labels
 from cilode.operators.rollup import project_flags, project_levels, project_rollup
 from cilode.plans import reports as R
 from cilode.sources.config import config_entries, json_fields, settings
@@ -92,12 +92,8 @@ def _benchmark_rules(spark, folder):
 
 
 def classify_rules_join(spark, folder):
-    """Rules that are few, as the driver's list of them is: a constant of the query."""
-    rules = _benchmark_rules(spark, folder)
-    docs = corpora.documents(spark, folder)
-    return match_rules_constant(docs, rule_list(rules), "doc_id", label_type=rules.schema["label"].dataType).withColumnRenamed(
-        "label", "item_id"
-    )
+    """Rules of any number, by the join that holds for all of them."""
+    return classify_rules_equi_join(spark, folder)
 
 
 def classify_rules_equi_join(spark, folder):

@@ -121,9 +121,9 @@ def match_rules(docs: DataFrame, rules: DataFrame, key: str, text: str = "text")
     keyword_windows = sized.select(
         "keyword", F.explode(_windows("keyword", lambda n: F.col("kind") == n)).alias("window")
     )
-    # The kinds of windows to cut texts into: at most as many values as there are KINDS.
-    wanted = sized.agg(F.collect_set("kind")).scalar()
-    cut = docs.select(key, _windows(text, lambda n: F.array_contains(wanted, F.lit(n))).alias("windows"))
+    # The kinds of windows to cut texts into, a bit for each of KINDS.
+    wanted = sized.agg(F.bit_or(F.expr("shiftleft(1, kind + 1)"))).scalar()
+    cut = docs.select(key, _windows(text, lambda n: wanted.bitwiseAND(F.lit(1 << n + 1)) != 0).alias("windows"))
     held = cut.select(key, F.explode("windows").alias("window"))
     spread = (
         held.groupBy("window")
@@ -135,6 +135,8 @@ def match_rules(docs: DataFrame, rules: DataFrame, key: str, text: str = "text")
         .groupBy("keyword")
         .agg(F.min_by("window", F.struct("texts", "window")).alias("window"))
     )
+    # Only windows of keywords travel to the anchors, where their table is small enough to be sent around.
+    held = held.join(keyword_windows.select("window").distinct(), "window", "left_semi")
     found = held.join(anchors, "window").select(F.col(key).alias("__key"), "keyword").distinct()
     texts = docs.select(key, text).join(found, F.col(key).eqNullSafe(F.col("__key")))
     hits = texts.where(F.contains(F.col(text), F.col("keyword"))).select(key, "keyword").distinct()

@@ -78,3 +78,11 @@ def test_word_filter_reads_the_raw_text(spark):
 
 def test_levels_need_no_labels(spark):
     assert "android-emulator-runner)" not in plan(entry.queries()["levels_tagged"](spark, FOLDER))
+
+
+def test_rule_join_takes_any_number_of_rules(spark, tmp_path):
+    """More rules than a constant may hold."""
+    spark.createDataFrame([(i, f"see item number {i} here", "en", "s") for i in range(1200)], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, f"item number {i} here") for i in range(1200)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = QUERIES["classify_rules_join"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == [(i, i) for i in range(1200)]
