@@ -18,9 +18,15 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.good(docs)
 
 
+# Two documents are near copies from this similarity of their shingles on. The query of operator 3 has
+# a contract of its own, which does not bind the stage.
+SHINGLE_WORDS = 5
+ALIKE_PERCENT = 80
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of linked ones: that with the smallest id."""
-    return jaccard.representatives(docs)
+    return jaccard.representatives(docs, SHINGLE_WORDS, ALIKE_PERCENT)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
