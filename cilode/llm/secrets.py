@@ -124,8 +124,8 @@ def _rank(column: str, *kinds: str) -> Column:
 def linked(rows: DataFrame) -> DataFrame:
     """key and the weak spans whose complementary parts co-occur, by an interval join.
 
-    Bins of SCOPE characters: parts in the same bin are near each other; of the parts in the
-    next or previous bin the nearest one decides.
+    Bins of SCOPE characters: parts in the same bin are near each other; of the parts in a later or
+    an earlier bin that the scope reaches, the nearest one decides.
     """
     every = F.flatten(F.array(*KINDS))
     part = (
@@ -147,8 +147,10 @@ def linked(rows: DataFrame) -> DataFrame:
             F.max(F.when(secret, F.col("end"))).alias("secret_to"),
         )
     )
+    first = F.floor((F.col("start") - SCOPE - 1) / SCOPE)
+    last = F.floor((F.col("end") + SCOPE) / SCOPE)
     probes = part.where(F.col("rank") >= BASE).select(
-        "*", F.explode(F.sequence(F.col("low") - 1, F.col("high") + 1)).alias("bin")
+        "*", F.explode(F.sequence(first, last)).alias("bin")
     )
 
     def near(name: str) -> Column:

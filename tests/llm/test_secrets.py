@@ -97,3 +97,17 @@ def test_native(spark):
     docs = spark.createDataFrame(fixture()[:3], SCHEMA)
     for df in (S.report(docs), S.redacted(docs)):
         assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_gaps_of_the_whole_scope_at_edges_of_bins(spark):
+    """An end at a multiple of SCOPE, and the other part SCOPE characters on, or one more."""
+    assert S.SCOPE == 200
+    ident, secret, rows = "user_name: root", "password=hunter2x", []
+    for a, b in ((ident, secret), (secret, ident)):
+        for edge in (200, 400):
+            for gap in (199, 200, 201):
+                rows.append((len(rows), a.rjust(edge) + " " * gap + b, "k", 0))
+    got = {r.doc_id: r.spans for r in S.report(spark.createDataFrame(rows, SCHEMA)).collect()}
+    for i, text, *_ in rows:
+        assert got[i] == written(base(text) + weak(text))
+    assert [("ident" in got[i]) for i in range(12)] == [True, True, False] * 4
