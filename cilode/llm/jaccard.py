@@ -300,7 +300,8 @@ def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Data
     nodes = shared.select("node").distinct()
     # Copies are counted down to one row per task before anything is dealt out by node.
     first = labels.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(nodes, "node")
-    texts = docs.join(first.select("doc_id").distinct(), "doc_id")
+    # Rows without an id are looked through as they are.
+    texts = docs.join(first.select("doc_id").distinct(), "doc_id").unionByName(docs.where("doc_id is null"))
     fragments = stored(
         texts.select("text")
         .mapInArrow(_fragments(width, percent), "node long, size long, fragment int, members binary, parity long")

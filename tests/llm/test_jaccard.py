@@ -137,6 +137,18 @@ def test_odd_rows(spark):
     assert J.classes(empty).collect() == [] and J.representatives(empty).collect() == []
 
 
+def test_rows_without_id_link_others(spark):
+    """A - N - B: only N links A with B, and N has no id."""
+    held = [f"n{i}" for i in range(100)]
+    a, b = list(held), list(held)
+    a[30] = b[70] = "edited"
+    rows = [(1, " ".join(a)), (None, " ".join(held)), (2, " ".join(b)), (None, "other words without a link at all")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert J.classes(docs.where("doc_id is not null")).select("component_id").distinct().count() == 2
+    got = sorted(map(tuple, J.classes(docs).collect()), key=repr)
+    assert got == sorted([(1, 97, 1), (2, 97, 1), (None, 97, 1), (None, 4, None)], key=repr)
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(1000, 1100)]
