@@ -113,10 +113,76 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(h.n, 0) AS BIGIN
        coalesce(h.n, 0) > 0 AS contaminated
 FROM texts LEFT JOIN hit_words h USING (doc_id) LEFT JOIN found f USING (doc_id)"""
 
+_FIM = """
+WITH drawn AS (
+  SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || doc_id) AS h FROM documents
+), numbers AS (
+  SELECT *, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (n + 1) AS h1, CAST('0x' || substr(h, 9, 8) AS BIGINT) % (n + 1) AS h2,
+         CAST('0x' || substr(h, 17, 8) AS BIGINT) % 100 AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 AS h4
+  FROM drawn
+), formed AS (
+  SELECT doc_id, t, n, least(h1, h2) AS a, greatest(h1, h2) AS b,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 >= 90 THEN 'plain'
+              WHEN h4 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM numbers
+), parts AS (
+  SELECT *, '<P>' || substr(t, 1, a) AS prefix, '<M>' || substr(t, a + 1, b - a) AS middle, '<S>' || substr(t, b + 1, n - b) AS suffix
+  FROM formed
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(a AS BIGINT) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN CAST(b - a AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN prefix || suffix || middle ELSE suffix || prefix || middle END)
+         AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM parts"""
+
+
+def _assignment(centroids: str) -> str:
+    """Every vector with its nearest centroid and the squared distance."""
+    return f"""
+  SELECT id, min(d) AS d, arg_min(c, 8 * d + c) AS c
+  FROM (SELECT id, c, sum((x.x - y.x) * (x.x - y.x)) AS d FROM flat x JOIN {centroids} y USING (i) GROUP BY id, c)
+  GROUP BY id"""
+
+
+def _clusters(rounds: int) -> str:
+    """The rounds of moving centroids, one after the other."""
+    steps = []
+    for r in range(1, rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED ({_assignment(f"c{r - 1}")}
+), c{r} AS MATERIALIZED (
+  SELECT c, i, coalesce(m, x) AS x
+  FROM c{r - 1} LEFT JOIN (
+    SELECT c, i, CAST((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT) AS m
+    FROM a{r} JOIN flat USING (id) GROUP BY c, i) USING (c, i)
+)""")
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id) AS id, vec_id,
+         list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64
+), flat AS MATERIALIZED (
+  SELECT id, i, v[i] AS x FROM (SELECT id, v, unnest(range(1, 65)) AS i FROM kept)
+), first AS (
+  SELECT id, row_number() OVER (ORDER BY sha256('3:' || vec_id), v) - 1 AS c FROM kept
+), c0 AS MATERIALIZED (
+  SELECT c, i, x FROM first JOIN flat USING (id) WHERE c < 8
+), {", ".join(steps)}, placed AS MATERIALIZED ({_assignment(f"c{rounds}")}
+), digests AS (
+  SELECT c, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY i)) AS h FROM c{rounds} GROUP BY c
+)
+SELECT vec_id, CAST(c AS INT) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(d) OVER () AS BIGINT) AS inertia, h AS centroid_sha256
+FROM placed JOIN kept USING (id) JOIN digests USING (c)"""
+
+
 ORACLE = {
     "op2_quality_rules": _QUALITY,
     "op3_ngram_jaccard_join": _JACCARD,
     "op4_chat_formatting": _CHAT,
     "op5_warc": _WARC,
     "op8_benchmark_decontamination": _DECONTAMINATION,
+    "op11_fill_in_middle": _FIM,
+    "op13_centroid_clustering": _clusters(10),
 }

@@ -3,7 +3,21 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from cilode.llm import chat, decontaminate, jaccard, licenses, lm, packing, quality, secrets, sharding, warc
+from cilode.llm import (
+    bpe,
+    centroids,
+    chat,
+    decontaminate,
+    fim,
+    jaccard,
+    licenses,
+    lm,
+    packing,
+    quality,
+    secrets,
+    sharding,
+    warc,
+)
 from cilode.llm.common import table
 from cilode.llm.oracle import ORACLE
 
@@ -48,6 +62,18 @@ def op10_sharding(spark, folder):
     return sharding.sharded(table(spark, folder, "documents"))
 
 
+def op11_fill_in_middle(spark, folder):
+    return fim.report(table(spark, folder, "documents"))
+
+
+def op12_bpe(spark, folder):
+    return bpe.report(table(spark, folder, "documents"))
+
+
+def op13_centroid_clustering(spark, folder):
+    return centroids.report(table(spark, folder, "embeddings"))
+
+
 QUERIES = {
     "op1_secret_scans": op1_secret_scans,
     "op2_quality_rules": op2_quality_rules,
@@ -59,6 +85,9 @@ QUERIES = {
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_sharding": op10_sharding,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_bpe": op12_bpe,
+    "op13_centroid_clustering": op13_centroid_clustering,
     "pipeline": corpus_pipeline.run,
 }
 
