@@ -27,6 +27,7 @@ from cilode.functions.extract import (
 )
 from cilode.functions.rules import RULES_V1, RULES_V2, Rules, labels_text
 from cilode.operators.labelling import with_labels
+from cilode.operators.order import numbered
 from cilode.operators.rollup import project_flags, project_levels, project_levels_counted, project_rollup
 
 MATRIX_REFERENCE = "matrix.api_level"
@@ -206,9 +207,17 @@ def options_in_order(facts: DataFrame) -> DataFrame:
 
 
 def in_file_order(facts: DataFrame) -> DataFrame:
-    """The options of each project in the order of its files and of their steps, for output
-    that needs the order itself: a global sort."""
-    return options_in_order(facts).orderBy("project", "path", "position").select("project", "emulator_option")
+    """number, project, emulator_option: every option with its place in the scan, files in the order of
+    their paths and options in that of their steps. Nothing is sorted in one task; rows that
+    are written or compared by number are in the order of the scan."""
+    return numbered(options_in_order(facts), ["path", "position", "project"]).select("number", "project", "emulator_option")
+
+
+def projects_first_seen(facts: DataFrame) -> DataFrame:
+    """number, project, path: the projects in the order in which the scan comes to them, with the
+    file it comes to first. A project is one row before anything is ordered."""
+    first = facts.groupBy("project").agg(F.min("path").alias("path"))
+    return numbered(first, ["path", "project"]).select("number", "project", "path")
 
 
 def project_test_types(facts: DataFrame, report: Report = PROVENANCE) -> DataFrame:

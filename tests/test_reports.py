@@ -119,7 +119,8 @@ def test_fixed_path_tables(spark):
     assert sorted(map(tuple, R.project_test_summary(facts).collect())) == [
         ("other", 1, "none", False, 0, False), ("proj", 3, MANUAL, True, 2, True)]
     assert sorted(map(tuple, R.project_api_levels(facts).collect())) == [("proj", "21"), ("proj", "29")]
-    assert list(map(tuple, R.in_file_order(facts).collect())) == [("proj", "y"), ("proj", "x"), ("proj", "x")]
+    placed = sorted(map(tuple, R.in_file_order(facts).collect()))
+    assert placed == [(0, "proj", "y"), (1, "proj", "x"), (2, "proj", "x")]
     assert sorted(map(tuple, R.project_emulator_options(facts).collect())) == [("proj", "x"), ("proj", "x"), ("proj", "y")]
 
 

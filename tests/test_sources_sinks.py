@@ -67,7 +67,7 @@ def test_missing_and_unreadable_raise(spark, tree, tmp_path):
     assert config_files(spark, str(tmp_path), on_unreadable="error_row").count() == 10
 
 
-def test_unreadable_folder(tree, monkeypatch):
+def test_unreadable_folder(spark, tree, monkeypatch):
     entries = S._entries
 
     def locked(store, folder):
@@ -76,13 +76,41 @@ def test_unreadable_folder(tree, monkeypatch):
         return entries(store, folder)
 
     monkeypatch.setattr(S, "_entries", locked)
-    store = S.fs.LocalFileSystem()
-    with pytest.raises(PermissionError):
-        S.listed(store, tree, lenient=False)
-    found = {path: length for path, _, length in S.listed(store, tree, lenient=True)}
+    with pytest.raises(Exception, match="PermissionError"):
+        S.listed(spark, tree, lenient=False)
+    found = {r.path: r.length for r in S.listed(spark, tree, lenient=True).collect()}
     assert found[f"{tree}/.github"] is None and found[f"{tree}/empty.yml"] == 0
 
 
+@pytest.mark.parametrize("entries, folders", [(1, 1), (7, 2), (1000, 1000)])
+def test_listing_in_rounds(spark, tmp_path, entries, folders):
+    """A deep chain, a wide folder and empty ones; each round goes on with the folders left."""
+    wanted, at = set(), tmp_path
+    for i in range(12):
+        at = at / f"d{i}"
+        at.mkdir()
+        for name in (f"{i}.yml", f"{i}.txt", ".hid.yaml"):
+            (at / name).write_text("x" * i)
+        wanted |= {f"{at}/{i}.yml", f"{at}/.hid.yaml"}
+        (at / "empty").mkdir()
+    for i in range(40):
+        (tmp_path / "wide" / f"w{i}").mkdir(parents=True)
+        (tmp_path / "wide" / f"w{i}" / "a.yml").write_text("y")
+        wanted.add(f"{tmp_path}/wide/w{i}/a.yml")
+    os.symlink(tmp_path, tmp_path / "wide" / "loop")
+    found = S.listed(spark, str(tmp_path), False, entries, folders)
+    rows = found.collect()
+    assert len(rows) == len(wanted) and {r.path for r in rows} == wanted
+    assert {r.path: r.length for r in rows} == {p: os.path.getsize(p) for p in wanted}
+    files = config_files(spark, str(tmp_path), split_files=5, list_entries=entries, list_folders=folders)
+    assert {r.path for r in files.collect()} == wanted
+    assert max(files.groupBy(F.spark_partition_id()).count().toDF("p", "n").agg(F.max("n")).first()) <= 5
+
+
+def test_an_empty_folder(spark, tmp_path):
+    assert config_files(spark, str(tmp_path)).collect() == []
+
+
 def test_splits_follow_the_bytes(spark, tmp_path):
     for i in range(20):
         (tmp_path / f"{i}.yml").write_text("a" * 1000)
