@@ -70,8 +70,42 @@ WORKFLOW_TEXT = (
 )
 
 
+# The same in JSON, with lists in lists and deeper maps.
+JSON_TEXT = (
+    "CASE o_orderstatus WHEN 'P' THEN CASE p "
+    "WHEN 1 THEN concat('{\"jobs\": {\"a\": {\"api-level\": ', d, '}}') "
+    "WHEN 2 THEN '' "
+    "WHEN 3 THEN concat('[{\"jobs\": {\"api-level\": ', d, '}}]') "
+    "WHEN 4 THEN concat('{\"jobs\": null, \"api-level\": ', d, '}') "
+    "ELSE concat('\"api-level ', d, '\"') END "
+    "ELSE concat('{\"name\": \"build ', k, '\", \"jobs\": {\"',"
+    " if(o_orderstatus = 'F', 'instrumented-test', 'device'), '\": {\"strategy\": {\"matrix\": {\"api_level\": ',"
+    " CASE p WHEN 3 THEN cast(y AS string)"
+    " WHEN 4 THEN concat('{\"', y, '\": \"a\", \"d', d, '\": \"b\"}')"
+    " WHEN 5 THEN concat('\"', d, '\"')"
+    " ELSE concat('[', y, ', \"', d, '\", ', y, ', null, true]') END,"
+    " if(p <= 2, concat(', \"api-level\": [', y, ', \"', m, '\", ', d, '.5, \"x\", [', d, ']]'), ''),"
+    " ', \"exclude\": [[[{\"at\": {\"API-Level\": \"', m, '\"}}]]]}}, \"steps\": ["
+    "{\"run\": \"make\"}, {\"with\": {\"API-Level\": ', d, ', \"Emulator-Options\": \"-port ', k, '\"}}, {\"with\": ',"
+    " element_at(array('{\"Emulator-options\": false, \"my-emulator-options\": 7}', 'null',"
+    " '{\"7\": \"x\", \"emulator-options\": null}', '{\"emulator-options\": [\"a\", 1]}', '\"plain\"'), p),"
+    " '}, {\"with\": {\"emulator-options\": \"tail\"}}]}}}') END"
+)
+
+
+def json_workflows(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, text), one JSON document per order."""
+    path = "concat('/json/', o_orderkey, '.json')"
+    return _orders(spark, folder).select(F.expr(path).alias("path"), F.expr(JSON_TEXT).alias("text"))
+
+
 def workflows(spark: SparkSession, folder: str) -> DataFrame:
     """(path, text), one file per order."""
+    return _orders(spark, folder).select(F.expr(WORKFLOW_PATH).alias("path"), F.expr(WORKFLOW_TEXT).alias("text"))
+
+
+def _orders(spark: SparkSession, folder: str) -> DataFrame:
+    """The orders with the numbers that the texts are made of."""
     # The rows are dealt out while they are some numbers each, before they become texts: a small
     # table is one row group and would be one task, and adaptive execution would join its
     # partitions again, as it cannot know what the texts will cost.
@@ -80,7 +114,7 @@ def workflows(spark: SparkSession, folder: str) -> DataFrame:
         .select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority")
         .repartition(2 * spark.sparkContext.defaultParallelism, "o_orderkey")
     )
-    parts = orders.selectExpr(
+    return orders.selectExpr(
         "*",
         "o_orderkey AS k",
         "cast(left(o_orderpriority, 1) AS int) AS p",
@@ -88,7 +122,6 @@ def workflows(spark: SparkSession, folder: str) -> DataFrame:
         "month(o_orderdate) + 15 AS m",
         "dayofmonth(o_orderdate) + 10 AS d",
     )
-    return parts.select(F.expr(WORKFLOW_PATH).alias("path"), F.expr(WORKFLOW_TEXT).alias("text"))
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:

@@ -34,6 +34,17 @@ WITH rows AS (
 )
 """
 
+_JSON = """
+WITH rows AS (
+  SELECT '/json/' || o_orderkey || '.json' AS path, o_orderkey AS k, o_orderstatus AS s,
+         CAST(left(o_orderpriority, 1) AS INT) AS p,
+         CAST(year(o_orderdate) - 1970 AS VARCHAR) AS y,
+         CAST(month(o_orderdate) + 15 AS VARCHAR) AS m,
+         CAST(day(o_orderdate) + 10 AS VARCHAR) AS d
+  FROM orders
+)
+"""
+
 
 def _types(*conditions: tuple[str, str]) -> str:
     """Rendered label set; the conditions are given in the order of their labels."""
@@ -219,6 +230,32 @@ ORACLE: dict[str, str] = {
         SELECT project, path, emulator_option,
                CASE WHEN emulator_option = 'tail' THEN 2 WHEN starts_with(emulator_option, '-port') THEN 0 ELSE 1 END
                  AS position FROM options""",
+    "options_numbered": f"""{_FACTS_FIXED}{_OPTIONS.format(source='facts')}
+        SELECT row_number() OVER (ORDER BY path, CASE WHEN emulator_option = 'tail' THEN 2
+                 WHEN starts_with(emulator_option, '-port') THEN 0 ELSE 1 END) - 1 AS number, project, emulator_option
+        FROM options""",
+    "projects_first_seen": f"""{_FILES}
+        SELECT row_number() OVER (ORDER BY path) - 1 AS number, project, path
+        FROM (SELECT project, min(path) AS path FROM files GROUP BY 1)""",
+    "levels_json_recursive": f"""{_JSON}, found AS (
+          SELECT path, 'matrix' AS source, y AS api_level FROM rows WHERE s <> 'P' AND p <= 2
+          UNION SELECT path, 'matrix', m FROM rows WHERE s <> 'P' AND p <= 2
+          UNION SELECT path, 'hardcoded', m FROM rows WHERE s <> 'P'
+          UNION SELECT path, 'hardcoded', d FROM rows WHERE s <> 'P')
+        SELECT path, source, api_level FROM found f WHERE source = 'matrix' OR NOT EXISTS (
+          SELECT 1 FROM found g WHERE g.path = f.path AND g.api_level = f.api_level AND g.source = 'matrix')""",
+    "levels_json_fixed_path": f"""{_JSON}
+        SELECT DISTINCT path, api_level FROM (SELECT path, unnest(CASE
+           WHEN s <> 'F' OR p = 3 THEN CAST([] AS VARCHAR[]) WHEN p = 4 THEN [y, 'd' || d]
+           WHEN p = 5 THEN string_split(d, '') ELSE [y, d, 'None', 'True'] END) AS api_level FROM rows)""",
+    "options_json": f"""{_JSON}
+        SELECT path, CAST(1 AS INT) AS step, CAST(1 AS INT) AS position, '-port ' || k AS emulator_option
+        FROM rows WHERE s = 'F'
+        UNION ALL SELECT path, 2, 0, 'False' FROM rows WHERE s = 'F' AND p = 1
+        UNION ALL SELECT path, 2, 1, '7' FROM rows WHERE s = 'F' AND p = 1
+        UNION ALL SELECT path, 2, 1, 'None' FROM rows WHERE s = 'F' AND p = 3
+        UNION ALL SELECT path, 2, 0, '["a",1]' FROM rows WHERE s = 'F' AND p = 4
+        UNION ALL SELECT path, 3, 0, 'tail' FROM rows WHERE s = 'F' AND p IN (1, 3, 4)""",
     "levels_long": f"""{_FACTS_FIXED}{_FIXED_LEVELS.format(source='facts')}
         SELECT DISTINCT project, api_level FROM fixed_levels""",
     "levels_tagged": f"{_FACTS_ROOT}{_TAGGED} SELECT project, source, api_level FROM tagged",

@@ -23,6 +23,7 @@ from cilode.functions.rules import RULES_V1, RULES_V2, Rules, labels_text
 from cilode.operators.labelling import match_rules, with_labels
 from cilode.operators.rollup import project_flags, project_levels, project_rollup
 from cilode.plans import reports as R
+from cilode.sources import json as J
 from cilode.sources.config import config_entries, json_fields, settings
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -161,6 +162,27 @@ def options_extract(spark, folder):
     )
 
 
+def levels_json_recursive(spark, folder):
+    return J.deep_levels(corpora.json_workflows(spark, folder))
+
+
+def levels_json_fixed_path(spark, folder):
+    return J.fixed_levels(corpora.json_workflows(spark, folder))
+
+
+def options_json(spark, folder):
+    return J.step_options(corpora.json_workflows(spark, folder))
+
+
+def options_numbered(spark, folder):
+    files = corpora.workflows(spark, folder)
+    return R.in_file_order(R.file_facts(files, R.FIXED_PATH, only=R.FIXED_PATH.option_words))
+
+
+def projects_first_seen(spark, folder):
+    return R.projects_first_seen(R.config_projects(corpora.workflows(spark, folder), R.PROVENANCE))
+
+
 def summary_counts(spark, folder):
     facts = _facts(R.UNCOMMENTED)(spark, folder)
     return project_flags(facts, list(RULES_V2)).select("project", "yml_count", "yaml_errors")
@@ -266,6 +288,11 @@ QUERIES: dict[str, Query] = {
     "levels_long": levels_long,
     "levels_tagged": levels_tagged,
     "levels_detailed": levels_detailed,
+    "levels_json_recursive": levels_json_recursive,
+    "levels_json_fixed_path": levels_json_fixed_path,
+    "options_json": options_json,
+    "options_numbered": options_numbered,
+    "projects_first_seen": projects_first_seen,
     "summary_counts": summary_counts,
     "summary_labels": summary_labels,
     "summary_labels_unfolded": summary_labels_unfolded,
