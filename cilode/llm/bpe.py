@@ -42,9 +42,12 @@ VOCABULARY = "word_bpe_49k.json"
 # Stands for the end of a word in vocabularies that mark it; no letter of a byte.
 _END = "\x00"
 _NEVER = 1 << 60
-# Words whose ids a worker keeps, and pairs whose test it keeps; they bound memory only.
-_KEPT_WORDS = 400_000
+# Words whose ids a worker keeps before it lets go of those not met lately, and pairs whose
+# test it keeps; they bound memory only.
+_KEPT_WORDS = 150_000
 _KEPT_PAIRS = 1_000_000
+# Pairs of tokens are kept under one number.
+_PAIR = 1 << 32
 
 # A normaliser and a cut that act between white spaces, which they drop.
 _DROPS_WHITE_SPACE = (
@@ -88,7 +91,7 @@ class Merges:
         self.left: dict[int, int] = {}
         self.right: dict[int, int] = {}
         self._join: dict[tuple[int, int], int] = {}  # rank of the merge of two tokens
-        self.kept: dict[tuple[int, int], bool] = {}  # answers of `apart`
+        self.kept: dict[int, bool] = {}  # answers of `apart`
         for rank, (a, b) in enumerate(pairs):
             left, right, made = vocab[a], vocab[b], vocab[a + b]
             self._join[left, right] = rank
@@ -139,10 +142,24 @@ class Merges:
         """Whether tokens a and b side by side stay as they are; not if there is no a."""
         if len(self.kept) >= _KEPT_PAIRS:
             self.kept.clear()
-        known = self.kept[a, b] = a >= 0 and self.first_join(a, b) == _NEVER
+        known = self.kept[a * _PAIR + b] = a >= 0 and self.first_join(a, b) == _NEVER
         return known
 
 
+class _Kept:
+    """Ids by word. When `new` is full, it takes the place of `old`, so what is met often stays."""
+
+    def __init__(self):
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def put(self, word: str, ids: bytes) -> bytes:
+        if len(self.new) >= _KEPT_WORDS:
+            self.old, self.new = self.new, {}
+        self.new[word] = ids
+        return ids
+
+
 class Bpe:
     """Ids of texts and texts of ids, for one vocabulary file."""
 
@@ -167,7 +184,7 @@ class Bpe:
         self._end = model.get("end_of_word_suffix") or ""
         self._merges = Merges(model["vocab"], model["merges"], self._end)
         self._automaton = self._make_automaton(model["vocab"])
-        self._kept: dict[str, bytes] = {}
+        self._units, self._pieces = _Kept(), _Kept()
         self._by_bytes = bool(decoder)
         self._texts = self._make_texts(model["vocab"])
 
@@ -203,7 +220,7 @@ class Bpe:
                 before = place + 1 - length
                 if before:
                     left = last[before]
-                    fits = known.get((left, token))
+                    fits = known.get(left * _PAIR + token)
                     if not (apart(left, token) if fits is None else fits):
                         continue
                 last[place + 1], start[place + 1] = token, before
@@ -215,24 +232,23 @@ class Bpe:
             end = start[end]
         return ids[::-1]
 
-    def _kept_word(self, word: str) -> bytes:
-        ids = self._kept.get(word)
+    def _piece(self, word: str) -> bytes:
+        """Ids of a word, kept."""
+        kept = self._pieces
+        ids = kept.new.get(word)
         if ids is None:
-            ids = self._keep(word, array("I", self.word(word)).tobytes())
-        return ids
-
-    def _keep(self, word: str, ids: bytes) -> bytes:
-        if len(self._kept) >= _KEPT_WORDS:
-            self._kept.clear()
-        self._kept[word] = ids
+            ids = kept.old.get(word) or array("I", self.word(word)).tobytes()
+            kept.put(word, ids)
         return ids
 
     def _unit(self, unit: str) -> bytes:
-        """Ids of what stands between white space, in a vocabulary that cuts there."""
-        common = unit.isascii() and unit.isprintable()  # such letters stand for themselves
-        words = _ASCII_CUT.findall(unit.lower()) if common else self._words(unit)
-        ids = [i for word in words for i in self.word(word)]
-        return self._keep(unit, array("I", ids).tobytes())
+        """Ids of what stands between white space, in a vocabulary that cuts there; kept."""
+        ids = self._units.old.get(unit)
+        if ids is None:
+            common = unit.isascii() and unit.isprintable()  # such letters stand for themselves
+            words = _ASCII_CUT.findall(unit.lower()) if common else self._words(unit)
+            ids = b"".join([self._piece(word) for word in words])
+        return self._units.put(unit, ids)
 
     def _words(self, text: str) -> list[str]:
         """Words of a text by the vocabulary's normaliser and cut, in letters that stand for bytes."""
@@ -241,9 +257,10 @@ class Bpe:
     def _plain(self, text: str) -> list[bytes]:
         """Ids of a text without special tokens, in parts."""
         if not self._between_spaces:
-            return [self._kept_word(word) for word in self._words(text)]
-        parts, kept, make, at = [], self._kept.get, self._unit, 0
+            return [self._piece(word) for word in self._words(text)]
+        parts, make, at = [], self._unit, 0
         while at < len(text):
+            kept = self._units.new.get
             cut = _SPACE.search(text, at + _CHUNK)
             end = cut.start() if cut else len(text)
             parts.append(b"".join([kept(unit) or make(unit) for unit in _BETWEEN_SPACES.findall(text, at, end)]))
