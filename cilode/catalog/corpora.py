@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+PHRASE_WORDS = 6
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -129,6 +132,16 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select("doc_id", "text", "lang", "source")
 
 
+def phrase_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """(label, keyword): a rule per run of PHRASE_WORDS words of every benchmark text."""
+    words = table(spark, folder, "benchmark").select("item_id", F.split("text", " ").alias("words"))
+    starts = words.select("item_id", "words", F.explode(F.sequence(F.lit(1), F.size("words") - PHRASE_WORDS + 1)).alias("i"))
+    return starts.where(F.size("words") >= PHRASE_WORDS).select(
+        F.format_string("%05d-%04d", "item_id", "i").alias("label"),
+        F.array_join(F.slice("words", F.col("i"), PHRASE_WORDS), " ").alias("keyword"),
+    )
+
+
 def notes(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, project, text): every document, lines that open with a vowel commented out."""
     return documents(spark, folder).select(

@@ -45,6 +45,18 @@ WITH rows AS (
 )
 """
 
+_PHRASES = """
+WITH words AS (
+  SELECT item_id, string_split(text, ' ') AS w FROM benchmark
+), rules AS (
+  SELECT lpad(CAST(item_id AS VARCHAR), 5, '0') || '-' || lpad(CAST(i AS VARCHAR), 4, '0') AS label,
+         array_to_string(list_slice(w, i, i + 5), ' ') AS keyword
+  FROM (SELECT item_id, w, unnest(range(1, len(w) - 4)) AS i FROM words WHERE len(w) >= 6)
+), hits AS (
+  SELECT source, label FROM documents d JOIN rules r ON contains(d.text, r.keyword)
+)
+"""
+
 
 def _types(*conditions: tuple[str, str]) -> str:
     """Rendered label set; the conditions are given in the order of their labels."""
@@ -191,6 +203,10 @@ ORACLE: dict[str, str] = {
         SELECT DISTINCT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)""",
     "classify_rules_equi_join": """
         SELECT DISTINCT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)""",
+    "summary_rule_sets": f"""{_PHRASES}
+        SELECT source, CAST(count(DISTINCT label) AS BIGINT) AS n_labels FROM hits GROUP BY 1""",
+    "summary_rule_labels": f"""{_PHRASES}
+        SELECT source, string_agg(DISTINCT label, ', ' ORDER BY label) AS labels FROM hits GROUP BY 1""",
     "flag_substring": f"{_FILES} SELECT path, workflow AND p = 1 AS uses_matrix FROM files",
     "validate_documents": f"""{_FILES}
         SELECT path, NOT invalid AS ok, empty AS is_empty,

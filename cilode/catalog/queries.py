@@ -22,6 +22,7 @@ from cilode.functions.extract import (
 from cilode.functions.rules import RULES_V1, RULES_V2, Rules, labels_text
 from cilode.operators.labelling import match_rules, with_labels
 from cilode.operators.rollup import project_flags, project_levels, project_rollup
+from cilode.operators.rule_sets import label_sets, labels_listed, matched_numbers, numbered_labels, set_labels, set_sizes
 from cilode.plans import reports as R
 from cilode.sources import json as J
 from cilode.sources.config import config_entries, json_fields, settings
@@ -93,14 +94,33 @@ def _benchmark_rules(spark, folder):
 
 
 def classify_rules_join(spark, folder):
-    """Rules of any number, by the join that holds for all of them."""
-    return classify_rules_equi_join(spark, folder)
+    """Rules of any number, those few sent to the texts."""
+    docs = corpora.documents(spark, folder)
+    return match_rules(docs, _benchmark_rules(spark, folder), "doc_id").withColumnRenamed("label", "item_id")
 
 
 def classify_rules_equi_join(spark, folder):
-    """Rules of any number."""
+    """The same as equi-joins only, as for rule tables that are not sent around."""
     docs = corpora.documents(spark, folder)
-    return match_rules(docs, _benchmark_rules(spark, folder), "doc_id").withColumnRenamed("label", "item_id")
+    found = match_rules(docs, _benchmark_rules(spark, folder), "doc_id", broadcast_windows=0)
+    return found.withColumnRenamed("label", "item_id")
+
+
+def _phrase_sets(spark, folder):
+    """Sets of the phrases of the benchmark that occur in each source, and the phrases by number."""
+    rules = corpora.phrase_rules(spark, folder)
+    labels = numbered_labels(rules)
+    hits = matched_numbers(corpora.documents(spark, folder), rules, labels, "doc_id", "source")
+    return label_sets(hits, "source"), labels
+
+
+def summary_rule_sets(spark, folder):
+    return set_sizes(_phrase_sets(spark, folder)[0], "source")
+
+
+def summary_rule_labels(spark, folder):
+    sets, labels = _phrase_sets(spark, folder)
+    return labels_listed(set_labels(sets, labels, "source"), "source")
 
 
 def flag_substring(spark, folder):
@@ -275,6 +295,8 @@ QUERIES: dict[str, Query] = {
     "classify_unfolded_keywords": _classified(RULES_V2, fold_keywords=False),
     "classify_rules_join": classify_rules_join,
     "classify_rules_equi_join": classify_rules_equi_join,
+    "summary_rule_sets": summary_rule_sets,
+    "summary_rule_labels": summary_rule_labels,
     "flag_substring": flag_substring,
     "validate_documents": validate_documents,
     "config_fields": config_fields_typed,

@@ -7,11 +7,15 @@ from pyspark.sql import functions as F
 
 from cilode.functions.rules import Rules, effective_keywords, label_hits
 from cilode.functions.text import OTHER_ENDS, outside_comment_lines
+from cilode.operators.stored import stored
 
 # A rule list that becomes a constant of a query holds at most so many rules and letters.
 MAX_CONSTANT_RULES = 1000
 MAX_CONSTANT_LETTERS = 1 << 20
 
+# Windows of keywords that are sent to all tasks, some 30 MB of them.
+BROADCAST_WINDOWS = 200_000
+
 # Length of the windows that keywords and texts are joined on.
 ANCHOR = 12
 # Kind of the windows at inner words; other kinds are window lengths.
@@ -96,20 +100,26 @@ def _windows(text: str, kinds) -> Column:
     return F.array_distinct(F.concat(*[F.when(kinds(n), cut(n)).otherwise(none) for n in KINDS]))
 
 
-def match_rules(docs: DataFrame, rules: DataFrame, key: str, text: str = "text") -> DataFrame:
+def match_rules(
+    docs: DataFrame, rules: DataFrame, key: str, text: str = "text", broadcast_windows: int = BROADCAST_WINDOWS
+) -> DataFrame:
     """Distinct (key, label) pairs where a text of the key contains a keyword of the label.
 
     `rules` is a table (label, keyword) of any size; rows with a NULL are left out. Keys may
-    repeat and may be NULL. All of it is one plan of equi-joins; nothing runs while it is made,
-    and Spark chooses the joins from measured sizes.
+    repeat and may be NULL.
 
     A text that contains a keyword also contains every window of the keyword. Windows
     start at the words inside it: they have a character before them in the keyword, so
     they start at a word in the text as well. A keyword without such a word is cut at
     every character, and one shorter than a window is its own window. Each keyword is
     anchored at that of its windows which the fewest texts hold, so common wording costs
-    nothing. Windows are counted before they are shuffled, a common one is a row per task;
-    texts are joined on their key, and only those with an anchor.
+    nothing.
+
+    The windows of the keywords are stored first, so their number is known. Up to
+    `broadcast_windows` of them are sent around: one pass over the texts counts which texts
+    hold them, another one meets the anchors and looks for the keyword in the row of the
+    text, and no text moves. Of more windows, the texts' own are filtered by a join before
+    they are counted, and texts with an anchor are fetched by their key. Both give the same rows.
     """
     rules = rules.select("label", "keyword").where("label is not null and keyword is not null").distinct()
     inner = F.size(F.regexp_extract_all("keyword", F.lit(INNER_WORD), F.lit(1))) > 0
@@ -118,25 +128,36 @@ def match_rules(docs: DataFrame, rules: DataFrame, key: str, text: str = "text")
         .distinct()
         .withColumn("kind", F.when(inner, INNER).otherwise(F.least(F.length("keyword"), F.lit(ANCHOR))))
     )
-    keyword_windows = sized.select(
-        "keyword", F.explode(_windows("keyword", lambda n: F.col("kind") == n)).alias("window")
-    )
+    cut_keywords = _windows("keyword", lambda n: F.col("kind") == n)
+    keyword_windows = stored(sized.select("keyword", "kind", F.explode(cut_keywords).alias("window")), "windows")
+    known = keyword_windows.agg(F.count("*").alias("n"), F.bit_or(F.expr("shiftleft(1, kind + 1)")).alias("kinds")).first()
+    # A session that forbids broadcasts has none.
+    allowed = not docs.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold").startswith("-")
+    small = allowed and known.n <= broadcast_windows
+
+    def sent(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if small else df
+
     # The kinds of windows to cut texts into, a bit for each of KINDS.
-    wanted = sized.agg(F.bit_or(F.expr("shiftleft(1, kind + 1)"))).scalar()
-    cut = docs.select(key, _windows(text, lambda n: wanted.bitwiseAND(F.lit(1 << n + 1)) != 0).alias("windows"))
-    held = cut.select(key, F.explode("windows").alias("window"))
-    spread = (
-        held.groupBy("window")
-        .agg(F.count("*").alias("texts"))
-        .join(keyword_windows.select("window").distinct(), "window", "left_semi")
-    )
+    cut = _windows(text, lambda n: F.lit(bool((known.kinds or 0) & 1 << n + 1)))
+    windows = sent(keyword_windows.select("window").distinct())
+    held = docs.select(key, cut.alias("cut")).select(key, F.explode("cut").alias("window"))
+    held = held.join(windows, "window", "left_semi")
+    if not small:
+        held = stored(held, "held")
+    spread = held.groupBy("window").agg(F.count("*").alias("texts"))
     anchors = (
-        keyword_windows.join(spread, "window")
+        keyword_windows.select("keyword", "window")
+        .join(spread, "window")
         .groupBy("keyword")
         .agg(F.min_by("window", F.struct("texts", "window")).alias("window"))
     )
-    # Only windows of keywords travel to the anchors, where their table is small enough to be sent around.
-    held = held.join(keyword_windows.select("window").distinct(), "window", "left_semi")
+    if small:
+        # A plan of its own for the counts, so that the second pass starts when they are known.
+        opened = docs.select(key, text, cut.alias("cut")).select(key, text, F.explode("cut").alias("window"))
+        met = opened.join(F.broadcast(stored(anchors, "anchors")), "window")
+        hits = met.where(F.contains(F.col(text), F.col("keyword"))).select(key, "keyword").distinct()
+        return hits.join(rules, "keyword").select(key, "label").distinct()
     found = held.join(anchors, "window").select(F.col(key).alias("__key"), "keyword").distinct()
     texts = docs.select(key, text).join(found, F.col(key).eqNullSafe(F.col("__key")))
     hits = texts.where(F.contains(F.col(text), F.col("keyword"))).select(key, "keyword").distinct()
