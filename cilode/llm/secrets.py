@@ -8,9 +8,15 @@ are reported when the parts that complete them lie within SCOPE characters:
     token      with an identifier (access, ident) in its scope
     endpoint   with both in its scope
 
-Parts become intervals in bins of SCOPE characters. Identifiers and secrets are reduced to
-one row per text and bin before the join, so a text full of them costs its length, not the
-square of their number; only texts with parts take part, and no text is shuffled.
+A part completes another one only if they do not overlap, so nothing completes itself: not the
+value of an identifier, nor what stands inside an address. What is inside an address is no
+token, and neither is a UUID, a path of words, or a run of few different characters.
+
+Parts become intervals, known by the bins of SCOPE characters in which they begin and end.
+A part after another one begins, and one before it ends, in one of two bins. Identifiers and
+secrets are reduced to one row per text and bin before the join, so a text full of them costs
+its length, not the square of their number; only texts with parts take part, and no text is
+shuffled.
 
 NULL counts as an empty text. Repeated rows give repeated results. All positions are code
 points, ends exclusive.
@@ -34,6 +40,10 @@ MIN_ASSIGNED, MIN_ACCESS, MIN_HEX = 6, 20, 24
 
 IDENT = r"""(?i:user_?name|user_?id|login|client_?id|account_?id|key_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@-]{3,}"""
 TOKEN = r"[A-Za-z0-9+/_-]{32,}={0,2}"
+UUID = "^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"
+# A random token goes from one kind of character to another at least so often, and has so many different ones.
+CHANGE = "(?<=[a-z])[A-Z0-9]|(?<=[A-Z])[0-9]|(?<=[0-9])[A-Za-z]"
+MIN_CHANGES, MIN_DIFFERENT = 8, 14
 ENDPOINT = r"""(?i:https?|ftp|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3)://[^\s"'<>]+"""
 
 # In the order in which kinds that start together are listed.
@@ -88,9 +98,16 @@ def found(text: Column, pattern: str, needed: str, rank: int, keep=None) -> Colu
     return F.when(F.rlike(text, F.lit(needed)), held).otherwise(F.array().cast(SPAN)).cast(SPAN)
 
 
-def _mixed(token: Column) -> Column:
-    """Whether a token has lower and upper case letters and digits."""
-    return F.rlike(token, F.lit("[a-z]")) & F.rlike(token, F.lit("[A-Z]")) & F.rlike(token, F.lit("[0-9]"))
+def _random(token: Column) -> Column:
+    """Whether a token looks drawn at random."""
+    kinds = [F.rlike(token, F.lit(f"[{kind}]")) for kind in ("a-z", "A-Z", "0-9")]
+    return (
+        kinds[0] & kinds[1] & kinds[2]
+        & ~F.contains(token, F.lit("://"))
+        & ~F.rlike(token, F.lit(UUID))
+        & (F.regexp_count(token, F.lit(CHANGE)) >= MIN_CHANGES)
+        & (F.size(F.array_distinct(F.split(token, ""))) >= MIN_DIFFERENT)
+    )
 
 
 def parts(text: Column) -> list[Column]:
@@ -102,7 +119,8 @@ def parts(text: Column) -> list[Column]:
     # A run of at least that many characters is the same run that a shorter pattern finds.
     hexes = found(text, f"[0-9a-f]{{{MIN_HEX},}}", f"[0-9a-f]{{{MIN_HEX}}}", 2)
     ident = found(text, IDENT, IDENT, 3)
-    token = found(text, TOKEN, TOKEN, 4, _mixed)
+    # An address is matched as a whole first, so that what it holds is no token.
+    token = found(text, f"{ENDPOINT}|{TOKEN}", TOKEN, 4, _random)
     endpoint = found(text, ENDPOINT, "://", 5)
     return [assign, access, hexes, ident, token, endpoint]
 
@@ -124,8 +142,9 @@ def _rank(column: str, *kinds: str) -> Column:
 def linked(rows: DataFrame) -> DataFrame:
     """key and the weak spans whose complementary parts co-occur, by an interval join.
 
-    Bins of SCOPE characters: parts in the same bin are near each other; of the parts in a later or
-    an earlier bin that the scope reaches, the nearest one decides.
+    Of the parts that begin in the bin where a span ends, the last one decides whether any is after the
+    span; of those in the next bin, the first one whether any is in its scope. Before the span
+    it is the other way round.
     """
     every = F.flatten(F.array(*KINDS))
     part = (
@@ -133,35 +152,35 @@ def linked(rows: DataFrame) -> DataFrame:
         .dropDuplicates(["key"])
         .select("key", F.explode(every).alias("part"))
         .select("key", "part.*")
-        .withColumns({"low": F.floor(F.col("start") / SCOPE), "high": F.floor((F.col("end") - 1) / SCOPE)})
     )
     identifier, secret = _rank("rank", "access", "ident"), _rank("rank", "assign", "hex", "token")
+    ends = F.explode(F.array(*[F.struct(F.lit(side).alias("side"), F.col(side).alias("at")) for side in ("start", "end")]))
     bins = (
         part.where(identifier | secret)
-        .select("key", "rank", "start", "end", F.explode(F.sequence("low", "high")).alias("bin"))
-        .groupBy("key", "bin")
+        .select("key", "rank", ends.alias("edge"))
+        .select("key", "rank", "edge.*", F.floor(F.col("edge.at") / SCOPE).alias("bin"))
+        .groupBy("key", "side", "bin")
         .agg(
-            F.min(F.when(identifier, F.col("start"))).alias("id_from"),
-            F.max(F.when(identifier, F.col("end"))).alias("id_to"),
-            F.min(F.when(secret, F.col("start"))).alias("secret_from"),
-            F.max(F.when(secret, F.col("end"))).alias("secret_to"),
+            F.min(F.when(identifier, F.col("at"))).alias("id_from"),
+            F.max(F.when(identifier, F.col("at"))).alias("id_to"),
+            F.min(F.when(secret, F.col("at"))).alias("secret_from"),
+            F.max(F.when(secret, F.col("at"))).alias("secret_to"),
         )
     )
-    first = F.floor((F.col("start") - SCOPE - 1) / SCOPE)
-    last = F.floor((F.col("end") + SCOPE) / SCOPE)
-    probes = part.where(F.col("rank") >= BASE).select(
-        "*", F.explode(F.sequence(first, last)).alias("bin")
-    )
+    # Bins in which parts after the span begin, and parts before it end.
+    after, before = F.floor(F.col("end") / SCOPE), F.floor(F.col("start") / SCOPE)
+    wanted = [("start", after), ("start", after + 1), ("end", before), ("end", before - 1)]
+    wanted = F.explode(F.array(*[F.struct(F.lit(side).alias("side"), at.alias("bin")) for side, at in wanted]))
+    probes = part.where(F.col("rank") >= BASE).select("*", wanted.alias("wanted")).select("key", "start", "rank", "end", "wanted.*")
 
     def near(name: str) -> Column:
-        return F.bool_or(
-            F.when(F.col("bin") > F.col("high"), F.col(f"{name}_from") <= F.col("end") + SCOPE)
-            .when(F.col("bin") < F.col("low"), F.col(f"{name}_to") >= F.col("start") - SCOPE)
-            .otherwise(F.col(f"{name}_from").isNotNull())
-        )
+        first, last = F.col(f"{name}_from"), F.col(f"{name}_to")
+        later = F.when(F.col("bin") == after, last >= F.col("end")).otherwise(first <= F.col("end") + SCOPE)
+        earlier = F.when(F.col("bin") == before, first <= F.col("start")).otherwise(last >= F.col("start") - SCOPE)
+        return F.bool_or(F.coalesce(F.when(F.col("side") == "start", later).otherwise(earlier), F.lit(False)))
 
     judged = (
-        probes.join(bins, ["key", "bin"])
+        probes.join(bins, ["key", "side", "bin"])
         .groupBy("key", "start", "rank", "end")
         .agg(near("id").alias("by_id"), near("secret").alias("by_secret"))
     )
