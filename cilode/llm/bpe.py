@@ -37,6 +37,7 @@ from tokenizers import Tokenizer
 
 from cilode.llm.common import per_worker, slices
 from cilode.llm.packing import vocabulary_path
+from cilode.llm.word_ids import cuts_as_known
 
 VOCABULARY = "word_bpe_49k.json"
 # Stands for the end of a word in vocabularies that mark it; no letter of a byte.
@@ -49,29 +50,6 @@ _KEPT_PAIRS = 1_000_000
 # Pairs of tokens are kept under one number.
 _PAIR = 1 << 32
 
-# A normaliser and a cut that act between white spaces, which they drop.
-_DROPS_WHITE_SPACE = (
-    {
-        "type": "Sequence",
-        "normalizers": [
-            {"type": "NFC"},
-            {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "},
-            {"type": "Lowercase"},
-        ],
-    },
-    {
-        "type": "Sequence",
-        "pretokenizers": [
-            {
-                "type": "Split",
-                "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
-                "behavior": "Removed",
-                "invert": True,
-            },
-            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
-        ],
-    },
-)
 _BETWEEN_SPACES = re.compile("[^\x20\x09-\x0d]+")
 _SPACE = re.compile("[\x20\x09-\x0d]")
 # The same cut for what is ASCII, in lower case and without white space.
@@ -177,7 +155,7 @@ class Bpe:
         whole = Tokenizer.from_file(path)
         self._normalise = whole.normalizer.normalize_str if whole.normalizer else str
         self._cut = whole.pre_tokenizer.pre_tokenize_str
-        self._between_spaces = (config["normalizer"], config["pre_tokenizer"]) == _DROPS_WHITE_SPACE
+        self._between_spaces = cuts_as_known(config)
         self._special = {t["content"]: t["id"] for t in config["added_tokens"]}
         names = sorted(self._special, key=len, reverse=True)
         self._specials = re.compile("|".join(map(re.escape, names))) if names else None

@@ -1,12 +1,15 @@
 """Token ids of texts, with the ids of words kept; used inside tasks.
 
-The vocabulary cuts a text at white space and into words before it merges anything, so ids
-can be kept word by word. Texts of common characters are cut here and their words go to the
-model directly; all others go through the whole tokenizer, in parts that end at a space.
+A vocabulary that cuts a text at white space and into words before it merges anything lets ids
+be kept word by word. If it is the one whose cut is known here, texts of common characters
+are cut here and their words go to the model directly; all others go through the whole
+tokenizer, in parts that end at a space. With any other vocabulary a text goes through the
+whole tokenizer at once.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from array import array
 
@@ -35,9 +38,41 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in printable else chr(next(others)) for b in range(256)]
 
 
+# The normaliser and the cut of the vocabulary that is known here.
+KNOWN_NORMALISER = {
+    "type": "Sequence",
+    "normalizers": [
+        {"type": "NFC"},
+        {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "},
+        {"type": "Lowercase"},
+    ],
+}
+KNOWN_CUT = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {
+            "type": "Split",
+            "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+            "behavior": "Removed",
+            "invert": True,
+        },
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
+def cuts_as_known(config: dict) -> bool:
+    """Whether a vocabulary file normalises and cuts texts as the one known here."""
+    return (config.get("normalizer"), config.get("pre_tokenizer")) == (KNOWN_NORMALISER, KNOWN_CUT)
+
+
 class WordIds:
     def __init__(self, path: str):
         self._whole = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            config = json.load(f)
+        special = [t for t in config["added_tokens"] if not t["content"].startswith("<|")]
+        self._known = cuts_as_known(config) and not special
         self._model = self._whole.model
         self._letters = _byte_letters()
         self._kept: dict[str, bytes] = {}
@@ -70,8 +105,10 @@ class WordIds:
         return array("I", self._whole.encode(unit, add_special_tokens=False).ids).tobytes()
 
     def ids(self, text: str) -> np.ndarray:
-        """What the tokenizer gives for a text without special tokens, part after part; parts end
-        at a space."""
+        """What the tokenizer gives for a text without adding special tokens, part after part; parts end
+        at a space where that is known to be the same."""
+        if not self._known:
+            return np.frombuffer(self._rare(text), np.uint32)
         rare = "<|" in text or _COMMON.fullmatch(text) is None
         made, parts, start = self._rare if rare else self._common, [], 0
         while start < len(text):

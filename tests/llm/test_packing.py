@@ -40,6 +40,14 @@ def test_ids_are_those_of_the_tokenizer(tokenizer, monkeypatch):
         assert [encoder.ids(text).tolist() for text in held] == want
 
 
+def test_ids_of_another_vocabulary():
+    """Its cut is not the known one, so texts go through it whole."""
+    path = P.vocabulary_path("byte_bpe_50k.json")
+    tokenizer, encoder = Tokenizer.from_file(path), W.WordIds(path)
+    for text in ["Hello World, this is 2024. a  b", *[t or "" for t in texts()]]:
+        assert encoder.ids(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def check(rows, pieces, tokenizer, length):
     want = sorted(tokenizer.encode(t or "", add_special_tokens=False).ids + [2] for _, t, *_ in rows)
     by_sequence = defaultdict(list)
