@@ -16,9 +16,9 @@ def shared_folder(spark: SparkSession) -> str:
     master = spark.sparkContext.master
     if not master.startswith("local") or "cluster" in master:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = f"file://{tempfile.mkdtemp(prefix='cilode-')}"
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='cilode-')}")
+    return spark.sparkContext.getCheckpointDir()
 
 
 def new_path(spark: SparkSession, name: str) -> str:
