@@ -50,9 +50,9 @@ def shared_folder(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = f"file://{tempfile.mkdtemp(prefix='cilode-')}"
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='cilode-')}")
+    return spark.sparkContext.getCheckpointDir()
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -66,6 +66,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """`stored` with the path, for a table that is removed once another one has taken its place."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def removed(spark: SparkSession, *paths: str) -> None:
+    """Remove stored tables that nothing reads any more. Shuffle files of finished steps go when the driver's
+    collector finds that nothing refers to them, so it is asked to look."""
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    jvm.System.gc()
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """`body` of a value that is computed once per row, however often the body names it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

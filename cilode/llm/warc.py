@@ -36,6 +36,8 @@ BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
+# Keys with more than this part of all rows are hot; there are fewer of them than parts.
+HOT_PARTS = 1000
 RECORD = (
     "record_id string, type string, concurrent_to string, refers_to string, uri string, date string, "
     "digest string, payload_bytes long, intact boolean, page_id long, payload binary"
@@ -66,6 +68,20 @@ def _record(headers: list[tuple[str, Column]], block: Column) -> Column:
     return F.concat(F.concat_ws(END, *lines), F.lit(GAP), block)
 
 
+def attached(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
+    """Join each row with what is known of its key; keys of many rows do not move.
+
+    `facts` has the number of rows of each key as `__n`. There are less than HOT_PARTS keys with
+    more than that part of all rows, whatever the table, so their facts are sent to the rows; others
+    meet by the key, where none has more than that part.
+    """
+    total = facts.agg(F.sum("__n")).first()[0] or 0
+    hot = F.col("__n") * HOT_PARTS > total
+    few = F.broadcast(facts.where(hot).drop("__n"))
+    others = rows.join(few.select(key), key, "left_anti").join(facts.where(~hot).drop("__n"), key)
+    return rows.join(few, key).unionByName(others)
+
+
 def records(pages: DataFrame, date: str = DATE) -> DataFrame:
     """One row per page: its three records as one text."""
     payload = F.coalesce("html", F.lit(""))
@@ -76,8 +92,8 @@ def records(pages: DataFrame, date: str = DATE) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long"), uri.alias("uri"), payload.alias("payload"))
     rows = rows.withColumn("digest", base32_sha1(F.col("payload")))
     # Digests only are aggregated, and before they are shuffled.
-    original = rows.groupBy("digest").agg(F.max("page_id").alias("original"))
-    rows = rows.join(original, "digest")
+    original = rows.groupBy("digest").agg(F.max("page_id").alias("original"), F.count("*").alias("__n"))
+    rows = attached(rows, stored(original, "warc-digests"), "digest")
 
     page, digest = F.col("page_id"), F.col("digest")
     original_ = F.col("original")
@@ -208,9 +224,23 @@ def _parser(payloads: bool, batch_rows: int = 500):
 
 
 def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """The records of archives, one row each; payloads are checked, and returned if wanted."""
-    runs = spark.read.option("lineSep", GAP).text(path)
-    return runs.mapInArrow(_parser(payloads), RECORD)
+    """The records of archives, one row each; payloads are checked, and returned if wanted.
+
+    A file that Spark reads in one block, as all gzipped ones, is parsed where it is read. The blocks
+    of a file that it splits go to one task in their order, as only the records before a place
+    tell whether one begins there.
+    """
+    meta = F.col("_metadata")
+    runs = spark.read.option("lineSep", GAP).text(path).select(
+        "value",
+        meta["file_path"].alias("file"),
+        meta["file_block_start"].alias("block"),
+        (meta["file_block_length"] < meta["file_size"]).alias("split"),
+    )
+    whole = runs.where("not split").select("value").mapInArrow(_parser(payloads), RECORD)
+    blocks = runs.where("split").withColumn("row", F.monotonically_increasing_id())
+    ordered = blocks.repartition("file").sortWithinPartitions("file", "block", "row").select("value")
+    return whole.unionByName(ordered.mapInArrow(_parser(payloads), RECORD))
 
 
 def captures(found: DataFrame) -> DataFrame:
@@ -248,7 +278,10 @@ def report(pages: DataFrame) -> DataFrame:
         F.col("response.refers_to").alias("original"),
         "capture",
     )
+    whole = stored(whole, "warc-captures")
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    responses = whole.where(F.col("original").isNull()).withColumn("refers_to", F.lit(None).cast("long"))
+    revisits = whole.where(F.col("original").isNotNull())
     originals = whole.select(F.col("capture").alias("original"), F.col("page_id").alias("refers_to")).distinct()
-    return whole.join(originals, "original", "left").select(
-        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
-    )
+    named = revisits.groupBy("original").agg(F.count("*").alias("__n")).join(originals, "original", "left")
+    return responses.select(*columns).unionByName(attached(revisits, stored(named, "warc-originals"), "original").select(*columns))

@@ -81,3 +81,32 @@ def test_batches_may_end_anywhere(size):
     assert [r["payload"] for r in found] == [b"ab\r\n\r\ncd"] * 3 and not found[0]["intact"]
     with pytest.raises(ValueError):
         list(W._parser(True)([pa.RecordBatch.from_arrays([pa.array([head, b"HTTP"])], names=["value"])]))
+
+
+def test_plain_archives_that_spark_splits(spark, tmp_path):
+    """Blocks end within records, and payloads look like records of their own."""
+    rows = fixture() + [(1000 + i, "http://x.org", f"WARC/1.1\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n{i} " * (i % 40), "t", 1) for i in range(150)]
+    pages = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    W.records(pages).write.option("lineSep", W.GAP).text(str(tmp_path / "plain"))
+    W.write(pages, str(tmp_path / "gzip"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "7000")
+    try:
+        assert spark.read.text(str(tmp_path / "plain")).rdd.getNumPartitions() > 20
+        read = [sorted(map(tuple, W.read(spark, str(tmp_path / name)).collect()), key=repr) for name in ("plain", "gzip")]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert read[0] == read[1] and len(read[0]) == 3 * len(rows)
+    assert all(r[8] for r in read[0] if r[1] == "response")
+
+
+@pytest.mark.parametrize("parts", [2, 10, 1000])
+def test_hot_keys_are_joined_where_they_are(spark, monkeypatch, parts):
+    monkeypatch.setattr(W, "HOT_PARTS", parts)
+    rows = [(i, "k" if i % 3 else f"k{i % 50}") for i in range(600)] + [(600, None)]
+    df = spark.createDataFrame(rows, "i long, key string")
+    facts = df.where("key is not null").groupBy("key").agg(F.max("i").alias("last"), F.count("*").alias("__n"))
+    got = {(r.i, r["last"]) for r in W.attached(df, facts, "key").collect()}
+    last = {key: i for i, key in rows}
+    assert got == {(i, last[key]) for i, key in rows if key is not None}
+    assert facts.where(F.col("__n") * parts > 600).count() < parts
