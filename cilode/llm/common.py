@@ -10,6 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Keys with more than this part of all rows are hot; there are fewer of them than parts.
+HOT_PARTS = 1000
 # Words end at ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 # Words of a text in lower case: ASCII letters and digits, and everything beyond ASCII. What
@@ -83,6 +85,20 @@ def removed(spark: SparkSession, *paths: str) -> None:
     jvm.System.gc()
 
 
+def attached(rows: DataFrame, facts: DataFrame, key: str, parts: int = HOT_PARTS) -> DataFrame:
+    """Join each row with what is known of its key; keys of many rows do not move.
+
+    `facts` has the number of rows of each key as `__n`. There are less than `parts` keys with
+    more than that part of all rows, whatever the table, so their facts are sent to the rows; others
+    meet by the key, where none has more than that part.
+    """
+    total = facts.agg(F.sum("__n")).first()[0] or 0
+    hot = F.col("__n") * parts > total
+    few = F.broadcast(facts.where(hot).drop("__n"))
+    others = rows.join(few.select(key), key, "left_anti").join(facts.where(~hot).drop("__n"), key)
+    return rows.join(few, key).unionByName(others)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """`body` of a value that is computed once per row, however often the body names it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

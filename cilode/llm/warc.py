@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cilode.llm.common import shared_folder, stored
+from cilode.llm.common import attached, shared_folder, stored
 
 END = "\r\n"
 GAP = END + END
@@ -36,8 +36,6 @@ BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
-# Keys with more than this part of all rows are hot; there are fewer of them than parts.
-HOT_PARTS = 1000
 RECORD = (
     "record_id string, type string, concurrent_to string, refers_to string, uri string, date string, "
     "digest string, payload_bytes long, intact boolean, page_id long, payload binary"
@@ -68,20 +66,6 @@ def _record(headers: list[tuple[str, Column]], block: Column) -> Column:
     return F.concat(F.concat_ws(END, *lines), F.lit(GAP), block)
 
 
-def attached(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
-    """Join each row with what is known of its key; keys of many rows do not move.
-
-    `facts` has the number of rows of each key as `__n`. There are less than HOT_PARTS keys with
-    more than that part of all rows, whatever the table, so their facts are sent to the rows; others
-    meet by the key, where none has more than that part.
-    """
-    total = facts.agg(F.sum("__n")).first()[0] or 0
-    hot = F.col("__n") * HOT_PARTS > total
-    few = F.broadcast(facts.where(hot).drop("__n"))
-    others = rows.join(few.select(key), key, "left_anti").join(facts.where(~hot).drop("__n"), key)
-    return rows.join(few, key).unionByName(others)
-
-
 def records(pages: DataFrame, date: str = DATE) -> DataFrame:
     """One row per page: its three records as one text."""
     payload = F.coalesce("html", F.lit(""))

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cilode.llm import warc as W
+from cilode.llm.common import attached
 
 SCHEMA = "page_id long, url string, html string, type string, digest int"
 PAYLOADS = [
@@ -101,12 +102,11 @@ def test_plain_archives_that_spark_splits(spark, tmp_path):
 
 
 @pytest.mark.parametrize("parts", [2, 10, 1000])
-def test_hot_keys_are_joined_where_they_are(spark, monkeypatch, parts):
-    monkeypatch.setattr(W, "HOT_PARTS", parts)
+def test_hot_keys_are_joined_where_they_are(spark, parts):
     rows = [(i, "k" if i % 3 else f"k{i % 50}") for i in range(600)] + [(600, None)]
     df = spark.createDataFrame(rows, "i long, key string")
     facts = df.where("key is not null").groupBy("key").agg(F.max("i").alias("last"), F.count("*").alias("__n"))
-    got = {(r.i, r["last"]) for r in W.attached(df, facts, "key").collect()}
+    got = {(r.i, r["last"]) for r in attached(df, facts, "key", parts).collect()}
     last = {key: i for i, key in rows}
     assert got == {(i, last[key]) for i, key in rows if key is not None}
     assert facts.where(F.col("__n") * parts > 600).count() < parts
