@@ -20,6 +20,9 @@ fragments, which differ in no more bits than the sets in members, spare most pai
   is one component, within which no further pair is looked at; after that all pairs of
   different components are compared that share as many segments as they must. A group of
   thousands of near copies thus costs about its size, not its square, and no link is lost.
+* Where more than CROWD sets are left on a segment, as forms that were filled in differently, they
+  are compared only if they share a member that is rare in both. Their number does not
+  change what is found, only how.
 
 NULL and empty texts have no n-grams and are linked with nothing; they are components of
 their own. Rows may repeat, with the same id or others. Nodes are told apart by a 64-bit hash
@@ -35,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 from pyspark.sql.window import Window
 
-from cilode.llm.common import per_worker, slices, stored
+from cilode.llm.common import attached, per_worker, slices, stored
 from cilode.llm.components import components
 from cilode.llm.hashing import mix, set_hash, shingles
 
@@ -45,6 +48,8 @@ PERCENT = 85
 COUNTED = 8
 # Turns in which nodes are compared with leaders only.
 ROUNDS = 2
+# Sets of different components on one segment are compared with each other if they are no more than this.
+CROWD = 200
 # The number of segments that may be left out is kept in so many bits; fewer are right too.
 _FIELD = 13
 
@@ -263,9 +268,62 @@ def _led(placed: DataFrame, turn: int, percent: int) -> DataFrame:
     return _met(placed, leaders, percent)
 
 
-def _crossing(placed: DataFrame, percent: int) -> DataFrame:
-    """All pairs of different components on the same segment of the larger one's level."""
-    return _met(placed, placed.where("own"), percent)
+def _crossing(placed: DataFrame, fragments: DataFrame, percent: int, crowd: int) -> DataFrame:
+    """All pairs of different components that may be alike: those on the same segment of the larger one's
+    level, and of sets on a segment that more than `crowd` share, those that share a rare member."""
+    crowded = stored(placed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("key"), "crowded")
+    if crowded.isEmpty():
+        return _met(placed, placed.where("own"), percent)
+    others = placed.join(crowded, "key", "left_anti")
+    sets = placed.join(crowded, "key", "left_semi").drop("key", "own").dropDuplicates(["node"])
+    rare = _rare_pairs(stored(sets, "crowd"), fragments, percent)
+    return _met(others, others.where("own"), percent).unionByName(rare).distinct()
+
+
+def _members(batches):
+    """One row per member of a fragment."""
+    for batch in batches:
+        held = [np.frombuffer(m, np.int64) for m in batch.column(1).to_pylist()]
+        rows = pa.array(np.repeat(np.arange(len(held)), [len(m) for m in held]))
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), pa.array(np.concatenate(held))], names=["node", "member"])
+
+
+def _sharing_rare(sets: DataFrame, fragments: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of sets that share a member which is rare in both.
+
+    Sets on a crowded segment share a form, and differ in what is rare. In the order of how many of
+    these sets hold a member, two alike sets share one among the first few of the smaller set
+    and the first of the larger: else more would be missing than may. So sets whose own
+    parts are too many to be alike do not meet at all, however many share the form.
+    """
+    members = fragments.join(sets.select("node"), "node", "left_semi").select("node", "members").mapInArrow(_members, "node long, member long")
+    members = stored(members, "members")
+    counts = stored(members.groupBy("member").agg(F.count("*").alias("__n")), "member-counts")
+    ranked = attached(members, counts.withColumn("held", F.col("__n")), "member").join(sets.select("node", "size"), "node")
+    order = Window.partitionBy("node").orderBy("held", "member")
+    ranked = ranked.withColumn("rank", F.row_number().over(order))
+    # The fewest members shared with a larger set, and with a smaller one.
+    with_larger = F.expr(f"({2 * percent} * size + {99 + percent}) div {100 + percent}")
+    with_smaller = F.expr(f"({percent} * size + 99) div 100")
+    kept = stored(
+        ranked.where(F.col("rank") <= F.col("size") - with_smaller + 1).select(
+            "node", "size", "member", (F.col("rank") <= F.col("size") - with_larger + 1).alias("first")
+        ),
+        "rare",
+    )
+    smaller = kept.where("first").select(F.col("node").alias("a"), F.col("size").alias("size_a"), "member")
+    larger = kept.select(F.col("node").alias("b"), F.col("size").alias("size_b"), "member")
+    in_order = (F.col("size_a") < F.col("size_b")) | ((F.col("size_a") == F.col("size_b")) & (F.col("a") < F.col("b")))
+    return smaller.join(larger, "member").where(in_order).select("a", "b").distinct()
+
+
+def _rare_pairs(sets: DataFrame, fragments: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components that share a rare member, and are perhaps alike."""
+    pairs = _sharing_rare(sets, fragments, percent)
+    ends = sets.select(*[F.col(c).alias(f"{c}_b") for c in sets.columns])
+    met = pairs.join(sets, pairs["a"] == sets["node"]).join(ends, F.col("b") == F.col("node_b"))
+    met = met.where((F.col("part") != F.col("part_b")) & _may_link(percent, "_b"))
+    return met.select(F.greatest("node", "node_b").alias("a"), F.least("node", "node_b").alias("b"))
 
 
 def _telling(shared: DataFrame) -> DataFrame:
@@ -283,10 +341,11 @@ def _telling(shared: DataFrame) -> DataFrame:
     return ranked.where(F.col("rank") > spare).select("key", "node", (F.col("info").bitwiseAND(1) == 0).alias("own"))
 
 
-def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, crowd: int = CROWD) -> DataFrame:
     """doc_id, n_shingles, component_id: one row per row of `docs` (doc_id, text).
 
-    component_id is the smallest id that is reachable by links.
+    component_id is the smallest id that is reachable by links. Rows with a NULL id take part in links,
+    and are of the component they link; where no row of it has an id, it is NULL.
     """
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     rows = docs.mapInArrow(_segments(width, percent), ROWS).repartition("key")
@@ -314,7 +373,7 @@ def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Data
     # Every component is a star of edges to its least node, which is all that is kept of its links.
     stars = None
     for turn in range(ROUNDS + 1):
-        pairs = _led(placed, turn, percent) if turn < ROUNDS else _crossing(placed, percent)
+        pairs = _led(placed, turn, percent) if turn < ROUNDS else _crossing(placed, fragments, percent, crowd)
         found = stored(_linked(pairs, fragments, percent), "links")
         if stars is None or not found.isEmpty():
             stars = components(found if stars is None else stars.unionByName(found))

@@ -70,6 +70,64 @@ def test_all_links_are_found(spark):
     assert links > 150 and len({w[2] for w in want}) > 50
 
 
+@pytest.mark.parametrize("crowd", [0, 2])
+def test_links_in_crowds_are_found(spark, crowd):
+    """Nearly every segment is crowded; those that are not are looked at as always."""
+    rows = near_copies()
+    want, _ = plain(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(map(tuple, J.classes(docs, crowd=crowd).collect())) == want
+
+
+@pytest.mark.parametrize("percent", [50, 85])
+def test_rare_members_meet(percent):
+    """Two alike sets share one of the first members of each, in any order of members."""
+    rng = random.Random(percent)
+    for _ in range(500):
+        common = rng.sample(range(200), rng.randint(1, 60))
+        a, b = (sorted({*common, *rng.sample(range(200, 300), rng.randint(0, 30))}, key=lambda m: m * 7919 % 301) for _ in range(2))
+        a, b = sorted((a, b), key=len)
+        shared = len(set(a) & set(b))
+        if 100 * shared >= percent * (len(a) + len(b) - shared):
+            first = len(a) - (2 * percent * len(a) + 99 + percent) // (100 + percent) + 1
+            assert set(a[:first]) & set(b[: len(b) - (percent * len(b) + 99) // 100 + 1])
+
+
+def forms(n, seed=3):
+    """One form of a hundred words with three fields, filled in at random: 0.79 alike; a few pairs are nearer."""
+    rng = random.Random(seed)
+    form = [f"form{i}" for i in range(100)]
+    rows = []
+    for i in range(n):
+        held = list(form)
+        for at in (20, 50, 80):
+            held[at] = f"field{rng.randrange(10**9)}"
+        rows.append((i, " ".join(held)))
+    for i in range(0, n, 100):
+        held = rows[i][1].split(" ")
+        held[20] = "nearly"
+        rows.append((n + i, " ".join(held)))
+    return rows
+
+
+def test_filled_in_forms_do_not_meet(spark, monkeypatch):
+    """The pairs that are compared grow with the texts, not with their square; the near ones are found."""
+    met, sharing = [], J._sharing_rare
+
+    def counted(sets, fragments, percent):
+        pairs = sharing(sets, fragments, percent)
+        met.append((sets.count(), pairs.count()))
+        return pairs
+
+    monkeypatch.setattr(J, "_sharing_rare", counted)
+    for n in (500, 2000):
+        met.clear()
+        got = {r.doc_id: r.component_id for r in J.classes(spark.createDataFrame(forms(n), "doc_id long, text string")).collect()}
+        assert got == {i: i - n if i >= n else i for i in got} and len(got) == n + n // 100
+        [(sets, pairs)] = met
+        assert sets > 0.9 * n and pairs < 10 * n
+
+
 def test_hot_group_costs_its_size(spark):
     """Hundreds of near copies, most of them not linked with each other."""
     rng = random.Random(2)
