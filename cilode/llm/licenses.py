@@ -3,8 +3,11 @@
 All rolling K-word hashes of every text are joined with the positions of the same hashes in
 license templates. A text that quotes a template gives matches of one offset (place in the
 text less place in the template), a diagonal; a word too many or too few moves them to a
-neighbouring one. Votes are counted per diagonal, neighbouring diagonals are merged, and
-what they cover is verified: enough of the template, and densely enough.
+neighbouring one. Votes are counted per diagonal and neighbouring diagonals are merged. What
+they cover is verified place by place: a place of the template counts once, and so does one
+of the text, however often a run of words is repeated in either; enough of the template has
+to be there, and densely enough. Of templates that share most of their words, as those of one
+family of licenses, only the best covered one of a place in the text is kept.
 
 The templates are a small table of known size and are broadcast while they stay below
 TEMPLATE_WORDS; no text moves. Only matches are shuffled, after they were counted per text,
@@ -78,6 +81,69 @@ TEMPLATES = [
         "mpl",
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     ),
+    (
+        "mit",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial "
+        "portions of the Software.",
+    ),
+    (
+        "lgpl",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser "
+        "General Public License as published by the Free Software Foundation; either version 2.1 of the License, "
+        "or (at your option) any later version.",
+    ),
+    (
+        "agpl",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero "
+        "General Public License as published by the Free Software Foundation, either version 3 of the License, "
+        "or (at your option) any later version.",
+    ),
+    (
+        "bsd",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the "
+        "following disclaimer.",
+    ),
+    (
+        "bsd",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or "
+        "promote products derived from this software without specific prior written permission.",
+    ),
+    (
+        "isc",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
+        "hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    ),
+    (
+        "unlicense",
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, "
+        "publish, use, compile, sell, or distribute this software, either in source code form or as a compiled "
+        "binary, for any purpose, commercial or non-commercial, and by any means.",
+    ),
+    (
+        "zlib",
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors "
+        "be held liable for any damages arising from the use of this software.",
+    ),
+    (
+        "boost",
+        "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at "
+        "https://www.boost.org/LICENSE_1_0.txt)",
+    ),
+    (
+        "epl",
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public "
+        "License 2.0 which is available at",
+    ),
+    ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    (
+        "cc-by-nc",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    ),
+    (
+        "cc0",
+        "To the extent possible under law, the person who associated CC0 with this work has waived all copyright "
+        "and related or neighboring rights to this work.",
+    ),
 ]
 
 
@@ -118,29 +184,29 @@ def quotations(docs: DataFrame, templates=tuple(TEMPLATES)) -> DataFrame:
     row = ["doc_id", "text_hash", "template", "label", "template_grams"]
     matches = hashed.join(template_grams(docs.sparkSession, templates), "gram")
     matches = matches.select(*row, "at", "template_at").distinct()  # a repeated row votes once
-    votes = matches.groupBy(*row, (F.col("at") - F.col("template_at")).alias("diagonal")).agg(
-        F.count("*").alias("votes"),
-        F.min("template_at").alias("low"),
-        F.max("template_at").alias("high"),
-        F.min("at").alias("first"),
-        F.max("at").alias("last"),
-    )
+    votes = matches.groupBy(*row, (F.col("at") - F.col("template_at")).alias("diagonal")).agg(F.count("*").alias("votes"))
     ordered = Window.partitionBy(*row).orderBy("diagonal")
     apart = F.col("diagonal") - F.lag("diagonal").over(ordered) > NEIGHBOURS
     runs = votes.withColumn("apart", F.coalesce(apart, F.lit(True)).cast("int")).withColumn(
         "run", F.sum("apart").over(ordered.rowsBetween(Window.unboundedPreceding, 0))
     )
-    merged = runs.groupBy(*row, "run").agg(
-        F.sum("votes").alias("votes"),
-        F.min("low").alias("low"),
-        F.max("high").alias("high"),
-        F.min("first").alias("first"),
-        F.max("last").alias("last"),
+    # Each match in its run of diagonals. Matches are few next to the texts.
+    placed = matches.withColumn("diagonal", F.col("at") - F.col("template_at")).join(
+        runs.select(*row, "diagonal", "run"), [*row, "diagonal"]
+    )
+    merged = placed.groupBy(*row, "run").agg(
+        F.count_distinct("template_at").alias("template_places"),
+        F.count_distinct("at").alias("places"),
+        F.min("at").alias("first"),
+        F.max("at").alias("last"),
     )
-    covered = F.least("votes", F.col("high") - F.col("low") + 1)
+    covered = F.least("template_places", "places")
     score = covered / F.col("template_grams")
-    return merged.where((score >= COVERED) & (covered >= DENSE * (F.col("last") - F.col("first") + 1))).select(
-        "doc_id", "text_hash", "label", score.alias("score"), "first", (F.col("last") + K - 1).alias("last")
+    verified = merged.where((score >= COVERED) & (covered >= DENSE * (F.col("last") - F.col("first") + 1)))
+    best = Window.partitionBy("doc_id", "text_hash", "first").orderBy(F.desc("score"), F.desc("template_grams"), "template")
+    found = verified.select(*row, score.alias("score"), "first", (F.col("last") + K - 1).alias("last"))
+    return found.withColumn("rank", F.row_number().over(best)).where("rank = 1").select(
+        "doc_id", "text_hash", "label", "score", "first", "last"
     )
 
 

@@ -67,6 +67,61 @@ def test_every_template_is_found(spark):
         assert L.TEMPLATES[r.doc_id][0] in r.labels.split(",") and r.score == 1.0
 
 
+def plain_quotations(text, templates):
+    """Labels and best score by lists of matching places: diagonals, their runs, and distinct places."""
+    held = words(text)
+    grams = lambda w: [tuple(w[i : i + L.K]) for i in range(len(w) - L.K + 1)]
+    found = []
+    for number, (label, template) in enumerate(templates):
+        wanted = grams(words(template))
+        matches = sorted((a - t, a, t) for a, g in enumerate(grams(held)) for t, w in enumerate(wanted) if g == w)
+        runs = []
+        for match in matches:
+            if not runs or match[0] - runs[-1][-1][0] > L.NEIGHBOURS:
+                runs.append([])
+            runs[-1].append(match)
+        for run in runs:
+            at, places = {a for _, a, _ in run}, {t for _, _, t in run}
+            covered = min(len(at), len(places))
+            if covered >= L.COVERED * len(wanted) and covered >= L.DENSE * (max(at) - min(at) + 1):
+                found.append((min(at), -covered / len(wanted), -len(wanted), number, label))
+    best = {}
+    for row in sorted(found):
+        best.setdefault(row[0], row)
+    return {row[4] for row in best.values()}, max((-row[1] for row in best.values()), default=0.0)
+
+
+def test_labels_and_scores_against_plain_lists(spark):
+    rng = random.Random(11)
+    templates = [*L.TEMPLATES, ("chant", "na na na na na na na na hey hey hey goodbye"), ("echo", "one two three four one two three four one two three four five")]
+    texts = ["na " * 50 + "hey hey hey goodbye", "one two three four " * 9 + "five", "", None]
+    for _ in range(120):
+        parts = []
+        for _ in range(rng.randrange(4)):
+            held = words(rng.choice(templates)[1])
+            for _ in range(rng.randrange(4)):
+                at = rng.randrange(len(held))
+                held[at : at + rng.randrange(3)] = rng.choice([[], ["new"], held[at : at + 5], ["two", "words"]])
+            a, b = sorted((rng.randrange(len(held) + 1), rng.randrange(len(held) + 1))) if rng.random() < 0.3 else (0, len(held))
+            parts += [" ".join(held[a:b]), filler(rng.randrange(12), rng.random())]
+        texts.append("\n".join(parts))
+    docs = spark.createDataFrame([(i, t, "", 0) for i, t in enumerate(texts)], SCHEMA)
+    got = {r.doc_id: r for r in L.report(docs, tuple(templates)).collect()}
+    several = 0
+    for i, text in enumerate(texts):
+        labels, score = plain_quotations(text, templates)
+        assert set(filter(None, got[i].labels.split(","))) == labels | set(filter(None, base(text)[4].split(",")))
+        assert abs(got[i].score - score) < 1e-9
+        several += len(labels) > 1
+    assert several > 10
+
+
+def test_the_nearest_of_a_family_is_named(spark):
+    notice = dict((text, label) for label, text in L.TEMPLATES)
+    text = next(t for t in notice if "ShareAlike" in t)
+    assert quoted(spark, f"{filler(8, 1)} {text} {filler(8, 2)}") == ("cc-by-sa", 1.0)
+
+
 def test_repeated_rows_do_not_vote_twice(spark):
     half = " ".join(words(L.TEMPLATES[1][1])[:30])
     rows = [(1, half, "", 0)] * 5
