@@ -5,18 +5,24 @@ every run of WINDOW words of an item is a pattern (the whole item, if it is shor
 text is normalised alike and scanned once; the end of a match tells its words, and the words
 their place in the original text.
 
-The benchmark goes to the executors, so its size is checked: items are taken in blocks of at
-most BLOCK_CHARS characters, one automaton and one scan for each block. Nothing else grows
-with anything but one text.
+The benchmark goes to the executors, so its size is checked. Up to BLOCK_CHARS characters it is one
+automaton. A larger one is cut into blocks of that size, which come through the driver one
+after the other: each is an automaton of its own and a pass over the stored texts that writes
+what it finds, and the passes are put together by row. So a task holds one automaton at a
+time, and the driver one block.
 
 NULL and empty texts have no words. Rows are independent: repeated rows give repeated
-results; an item that occurs twice in the benchmark counts under each of its ids once.
+results; an item that occurs twice in the benchmark counts under each of its ids once. A text
+of any length is scanned once, as a whole. An empty benchmark finds nothing; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -24,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cilode.llm.common import stored
+
 WINDOW = 10
 # A block's automaton takes some hundred bytes per character.
 BLOCK_CHARS = 1_000_000
@@ -35,6 +43,7 @@ _NORMAL = bytes(
     for b in range(256)
 )
 
+
 def normal_words(text: str | bytes | None) -> list[bytes]:
     data = text.encode() if isinstance(text, str) else text or b""
     return data.translate(_NORMAL).split()
@@ -153,10 +162,25 @@ def matched(
     chars: int = BLOCK_CHARS,
     into: str = "matches",
 ) -> DataFrame:
-    """Add an array with one struct per benchmark block: number of words, ids of the items
-    found, first and last word of each hit run, and its start and end in the text."""
-    found = [_matches(block, width)(F.col(text)) for block in blocks(benchmark, item, list(texts), chars)]
-    return docs.withColumn(into, F.array(*found))
+    """Add an array with one struct per benchmark block that found something, and the first in any case:
+    number of words, ids of the items found, first and last word of each hit run, and its start
+    and end in the text."""
+    held = blocks(benchmark, item, list(texts), chars)
+    first, second = next(held), next(held, None)
+    if second is None:
+        return docs.withColumn(into, F.array(_matches(first, width)(F.col(text))))
+    rows = stored(docs.withColumn("__llm_row", F.monotonically_increasing_id()), "texts")
+    passes = []
+    for number, block in enumerate(chain([first, second], held)):
+        match = _matches(block, width)(F.col(text))
+        hits = rows.select("__llm_row", F.struct(F.lit(number).alias("block"), match.alias("match")).alias("hit"))
+        passes.append(stored(hits.where((F.size("hit.match.items") > 0) | F.lit(number == 0)), "hits"))
+    every = reduce(DataFrame.unionByName, passes)
+    # As many as there are blocks, for a text that all of them found something in.
+    together = every.groupBy("__llm_row").agg(F.sort_array(F.collect_list("hit")).alias("__llm_hits"))
+    joined = rows.join(together, "__llm_row")
+    kept = [F.col(f"`{c}`") for c in docs.columns]
+    return joined.select(*kept, F.transform("__llm_hits", lambda h: h["match"]).alias(into))
 
 
 def _hit_words(runs: Column) -> Column:

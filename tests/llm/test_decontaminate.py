@@ -60,6 +60,28 @@ def test_blocks_give_the_same(spark):
     assert one == many
 
 
+def test_hits_of_all_blocks_are_put_together(spark):
+    rows, items = fixture()
+    docs, bench = spark.createDataFrame(rows, DOCS), spark.createDataFrame(items, "item_id long, text string")
+    found = D.matched(docs, bench, chars=60, into="found")
+    assert found.columns == [*docs.columns, "found"]
+    got = {(r.doc_id, r.text): r.found for r in found.collect()}
+    assert found.count() == len(rows) and max(len(f) for f in got.values()) > 2
+    for doc_id, text, *_ in rows:
+        hit = {w for m in got[doc_id, text] for a, b in zip(m.firsts, m.lasts) for w in range(a, b + 1)}
+        n_words, n_hit, *_ = plain(text, items)
+        assert got[doc_id, text][0].n_words == n_words and len(hit) == n_hit
+
+
+def test_a_very_long_text(spark):
+    """Millions of characters, with one passage near the end."""
+    text = "filler wörds and " * 200_000 + "The passage, that ONLY the benchmark has; ten words or more of it." + " tail" * 10
+    items = [(1, "the passage that only the benchmark has ten words or more of it")]
+    docs, bench = spark.createDataFrame([(1, text, "m", 0)], DOCS), spark.createDataFrame(items, "item_id long, text string")
+    [row] = D.report(docs, bench).collect()
+    assert (row.n_words, row.n_hit, row.n_items, row.contaminated) == (600_000 + 13 + 10, 13, 1, True)
+
+
 def test_offsets_lead_back_to_the_text(spark):
     bench = spark.createDataFrame([(1, "ÄPFEL und birnen")], "item_id long, text string")
     text = "\U0001f600 ab, Äpfel... und ÄPFEL -- UND\nBirnen! ÄPFEL und birnen"
