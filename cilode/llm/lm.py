@@ -45,12 +45,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cilode.llm.common import removed, shared_folder, slices, stored_at
+from cilode.llm.common import per_worker, removed, shared_folder, slices, stored_at
 
 FOLDS, HELD_OUT = 7, 2
 CHUNK_BYTES = 8 << 20
 # Bytes of text whose pairs are one cell, on average.
-CELL_BYTES = 12 << 20
+CELL_BYTES = 6 << 20
 # Turns before the first sample.
 PASSES = 2
 SAMPLES = 4
@@ -58,7 +58,7 @@ SAMPLES = 4
 STRENGTH = 1.0
 EXACT, WINDOW = 1024, 64
 # Pairs that are drawn at a time.
-_ROWS = 1 << 14
+_ROWS = 1 << 12
 # The token that ends a text; no word has a blank.
 END = b" "
 
@@ -283,6 +283,11 @@ class Stirling:
         return np.where((tables < 1) | (tables > large) | (at > EXACT), -np.inf, law - steps)
 
 
+def stirling_numbers(discount: float) -> Stirling:
+    """Made once per worker and discount."""
+    return per_worker(("stirling", discount), lambda: Stirling(discount))
+
+
 def draw(
     counts: np.ndarray,
     tables: np.ndarray,
@@ -422,7 +427,7 @@ def _sums(totals: Totals, turn: int):
             base = np.full(len(counts), totals.base())
             now = np.clip(parent_tables, np.minimum(customers, 1), customers)
             others = np.maximum(totals.tables - now, 0)
-            random, stirling = np.random.default_rng([turn, bucket, 1]), Stirling(totals.discount)
+            random, stirling = np.random.default_rng([turn, bucket, 1]), stirling_numbers(totals.discount)
             parent_tables = draw(customers, now, others, base, base, 0.0, STRENGTH, stirling, random)
             own = packed(counts, customers, parent_tables, *layout)
         return pa.Table.from_batches([_messages([(side, bucket, OWN, own), *_replies(side, bucket, own, new)])])
@@ -497,7 +502,7 @@ def _seated(totals: Totals, turn: int, bits: int):
         customers, parent_tables, _ = held[turn - 1, WORD]
         of_context = held[turn - 1, CONTEXT][0]
         tables = seat_pairs(
-            cell, tables, (customers, parent_tables), of_context, totals, Stirling(totals.leaf_discount), random
+            cell, tables, (customers, parent_tables), of_context, totals, stirling_numbers(totals.leaf_discount), random
         )
         by_word, by_context = cell.sums(tables)
         out = [*cell.messages(number, (by_word,), (by_context,)), (TABLES, OWN, number, packed(tables.astype(np.uint32)))]
