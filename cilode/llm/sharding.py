@@ -10,7 +10,10 @@ Equal values of a coordinate are told apart by a hash of the text, so a node can
 anywhere but inside a group of equal texts, which stays whole. The tree has a handful of
 nodes and is applied to the rows as one CASE expression: no row moves to find its shard.
 
-NULL counts as an empty text. Repeated rows are equal texts and share a shard.
+NULL counts as an empty text. Repeated rows are equal texts and share a shard. A text of any length
+is three numbers and a checksum; one that is larger than a shard is a leaf of its own. An
+empty table gives no rows. Rows with a NULL id are placed like others. Only the id and the text are
+read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -184,6 +187,13 @@ def numbered(rows: DataFrame, group: str, spread: Column, into: str, run_rows: i
     )
 
 
+def sharded_to(docs: DataFrame, target_bytes: int) -> DataFrame:
+    """`sharded` into as many shards as bring the leaves down to the target, as near as whole groups of
+    equal texts allow."""
+    total = docs.select((text_bytes(F.col("text")) + 1).alias("n")).agg(F.sum("n")).first()[0] or 0
+    return sharded(docs, max(1, -(-total // target_bytes)))
+
+
 def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard: one row per row of `docs`."""
     axes = coordinates(F.col("text"))

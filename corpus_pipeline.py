@@ -1,8 +1,13 @@
 """From raw documents to packed training sequences, stage by stage.
 
 Each stage is a function (spark, docs, sf_dir) -> DataFrame. Its result is written as
-Parquet and read again as the next one's `docs`; all but the last return the columns of
-`documents`.
+Parquet and read again as the next one's `docs`; all but the last return the columns they were
+given, those of `documents`.
+
+A NULL text has no words and goes with the first stage; an empty one likewise. Rows that share an
+id are one document: they stay or go together, and repeated rows stay repeated. Rows with
+a NULL id are kept by the stages that drop documents by id. Empty tables go through all
+stages, and an empty benchmark finds nothing. Texts of any length are looked at whole.
 """
 
 from __future__ import annotations

@@ -59,6 +59,41 @@ def test_stages(spark, tmp_path):
     assert {w[0] for w in want} == good | {105}
 
 
+DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_empty_tables_go_through_all_stages(spark, tmp_path):
+    spark.createDataFrame([], DOCUMENTS).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_nulls_repeats_and_other_columns(spark, tmp_path):
+    """Rows with NULLs, rows that repeat, an empty benchmark, and columns with the operators' own names."""
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(1, words(80, 1), None, None, None), (1, words(80, 1), None, None, None), (None, words(80, 2), "en", "s", 1), (3, None, "en", "s", 2)]
+    rows += [(4, words(25_000, 4), "en", "s", 3)]
+    docs = spark.createDataFrame(rows, DOCUMENTS).selectExpr("*", "1 AS key", "'x' AS node", "2 AS spans", "3 AS matches", "4 AS row", "5 AS part")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, docs, str(tmp_path))
+        assert after.columns == docs.columns
+        after.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        # Both rows of a document that stays are kept; a text of no words is no good.
+        assert sorted((r.doc_id or 0) for r in docs.collect()) == [0, 1, 1, 4]
+    packed = corpus_pipeline.packed_sequences(spark, docs, str(tmp_path))
+    assert {r.doc_id for r in packed.collect()} == {None, 1, 4}
+
+
+def test_entry_without_a_library(tmp_path):
+    """The other queries stay where a library of the operators is not installed."""
+    code = (
+        "import sys; sys.modules['ahocorasick'] = None; import __spark_entry__ as e; q = e.queries(); "
+        "assert q and 'pipeline' not in q and set(e.oracle_sql()) == set(q)"
+    )
+    subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True, env={"PATH": "/usr/bin:/bin"})
+
+
 def test_entry_without_the_subpackage(tmp_path):
     shutil.copytree(ROOT, tmp_path / "repo", ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__", ".pytest_cache"))
     code = "import __spark_entry__ as e; q = e.queries(); assert q and not any(n.startswith('op') and n[2].isdigit() for n in q); assert set(e.oracle_sql()) == set(q)"
@@ -69,5 +104,5 @@ def test_all_operators_are_registered():
     import __spark_entry__ as entry
 
     names = {n.split("_")[0] for n in entry.queries() if n[:2] == "op" and n[2].isdigit()}
-    assert names == {f"op{n}" for n in range(1, 11)} and "pipeline" in entry.queries()
+    assert names == {f"op{n}" for n in range(1, 14)} and "pipeline" in entry.queries()
     assert [name for name, _ in corpus_pipeline.STAGES][0] == "quality_rules" and quality.good
