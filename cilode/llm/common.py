@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import sys
 import tempfile
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +33,13 @@ def per_worker(key: tuple, make: Callable):
     return kept[key]
 
 
+def given_back() -> None:
+    """Give memory that is free again back to the machine, where the C library can; workers live long."""
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+    pa.default_memory_pool().release_unused()
+
+
 def slices(batches, rows: int = 512):
     """Arrow batches in smaller ones, so that little of a batch is turned into objects at a time."""
     for batch in batches:

@@ -45,12 +45,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cilode.llm.common import per_worker, removed, shared_folder, slices, stored_at
+from cilode.llm.common import given_back, per_worker, removed, shared_folder, slices, stored_at
 
 FOLDS, HELD_OUT = 7, 2
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 # Bytes of text whose pairs are one cell, on average.
-CELL_BYTES = 6 << 20
+CELL_BYTES = 3 << 20
 # Turns before the first sample.
 PASSES = 2
 SAMPLES = 4
@@ -77,9 +77,11 @@ def held_out(doc_id: int | None) -> bool:
 
 
 def packed(*arrays: np.ndarray) -> bytes:
-    """Arrays as compressed bytes; `unpacked` needs their types."""
+    """Arrays as compressed bytes; `unpacked` needs their types. First bytes of all numbers stand together, then
+    all second ones, and so on: most of the later ones are alike."""
     head = struct.pack(f"<{len(arrays)}q", *map(len, arrays))
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(a.tobytes() for a in arrays))
+    planes = [np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.tobytes() for a in arrays]
+    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(planes))
 
 
 def unpacked(data: bytes, *types) -> list[np.ndarray]:
@@ -87,8 +89,10 @@ def unpacked(data: bytes, *types) -> list[np.ndarray]:
     sizes = struct.unpack_from(f"<{len(types)}q", raw)
     out, at = [], 8 * len(types)
     for size, kind in zip(sizes, types):
-        out.append(np.frombuffer(raw, kind, size, at))
-        at += size * np.dtype(kind).itemsize
+        width = np.dtype(kind).itemsize
+        planes = np.frombuffer(raw, np.uint8, size * width, at).reshape(width, size)
+        out.append(np.ascontiguousarray(planes.T).reshape(-1).view(kind))
+        at += size * width
     return out
 
 
@@ -172,9 +176,11 @@ def _chunks(bits: int, chunk_bytes: int):
                 if chunk.ids and chunk.bytes + len(text or b"") > chunk_bytes:
                     yield _batch(list(rows(chunk, number)), _TYPES, _NAMES)
                     number, chunk = number + 1, Chunk()
+                    given_back()
                 chunk.add(doc_id, text or b"")
         if chunk.ids:
             yield _batch(list(rows(chunk, number)), _TYPES, _NAMES)
+        given_back()
 
     return run
 
@@ -203,6 +209,8 @@ def _merged(rows: pa.Table) -> pa.Table:
     for chunk, part, end in zip(rows.column("chunk").to_pylist(), parts, ends):
         asked = places[end - len(part[3]) : end]
         out.append((cell, chunk, None, None, packed(np.diff(asked, prepend=0).astype(np.uint32))))
+    del parts, at, before, places, pairs
+    given_back()
     return pa.Table.from_batches([_batch(out, _TYPES, _NAMES)])
 
 
@@ -369,6 +377,8 @@ def _asked(bits: int):
                 by_word, by_context = cell.sums(tables)
                 rows = cell.messages(number, (cell.words, tokens, by_word), (cell.contexts, customers, by_context))
                 yield _messages([*rows, (TABLES, OWN, number, packed(tables.astype(np.uint32)))])
+                del cell, tables, tokens, customers, by_word, by_context, rows
+        given_back()
 
     return run
 
@@ -506,6 +516,8 @@ def _seated(totals: Totals, turn: int, bits: int):
         )
         by_word, by_context = cell.sums(tables)
         out = [*cell.messages(number, (by_word,), (by_context,)), (TABLES, OWN, number, packed(tables.astype(np.uint32)))]
+        del cell, held, tables, customers, parent_tables, of_context
+        given_back()
         return pa.Table.from_batches([_messages(out)])
 
     return run
@@ -541,6 +553,8 @@ def _answers(samples: dict[int, Totals], bits: int):
             if chunk is not None:
                 places = np.cumsum(unpacked(payload, np.uint32)[0], dtype=np.int64)
                 out.append((number, chunk, None, None, packed(logs[places], counts[places])))
+        del cell, held, chance, logs, counts
+        given_back()
         return pa.Table.from_batches([_batch(out, _TYPES, _NAMES)])
 
     return run
@@ -561,6 +575,8 @@ def _scores(totals: Totals):
         model, counts = (np.concatenate([a[k] for a in answers]) for k in range(2))
         base = np.log10((counts.astype(np.float64) + 1) / (totals.tokens + totals.words + 1))
         starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+        del payloads, answers
+        given_back()
         return pa.table(
             {
                 "doc_id": pa.array(ids, pa.int64()),
@@ -598,6 +614,7 @@ def scored(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, cell_bytes: int = CE
     grouped = texts.mapInArrow(_chunks(bits, chunk_bytes), ROW).groupBy("cell").applyInArrow(_merged, ROW)
     table, table_path = _bucketed(grouped, "lm_cells")
     del grouped
+    removed(spark)  # what was shuffled for it
     cells = spark.table(table).where("cell >= 0")
     pairs = cells.where("chunk is null").select("cell", "payload")
 
@@ -622,14 +639,14 @@ def scored(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, cell_bytes: int = CE
         moved = new_up.where(F.col("side") != TABLES).unionByName(sums.where(F.col("cell") == OWN))
         new_sums, new_sums_path = stored_at(moved.groupBy("side", "bucket").applyInArrow(_sums(totals, turn), MESSAGE), "lm-sums")
         del seats, moved
-        if turn - 1 <= PASSES:
-            removed(spark, up_path, sums_path)
+        removed(spark, up_path, sums_path)
         up, up_path, sums, sums_path = new_up, new_up_path, new_sums, new_sums_path
         totals = _update(totals, stats())
         if turn > PASSES:
             samples[turn] = totals
-            kept.append(replies(turn))
-            paths += [up_path, sums_path]
+            sample, path = stored_at(replies(turn), "lm-sample")
+            kept.append(sample)
+            paths.append(path)
     known = kept[0]
     for more in kept[1:]:
         known = known.unionByName(more)
@@ -637,7 +654,7 @@ def scored(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, cell_bytes: int = CE
     rows = spark.table(table).where("cell < 0").unionByName(answers)
     scores, _ = stored_at(rows.groupBy("chunk").applyInArrow(_scores(totals), SCORES), "lm-scores")
     spark.sql(f"DROP TABLE {table}")
-    removed(spark, table_path, *paths)
+    removed(spark, table_path, up_path, sums_path, *paths)
     return scores
 
 
