@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cilode.llm.common import PLAIN_WORD, let, words
+from cilode.llm.common import PLAIN_WORD, let, stored, words
 
 K = 4
 # Diagonals this close are one quotation.
@@ -183,7 +183,8 @@ def quotations(docs: DataFrame, templates=tuple(TEMPLATES)) -> DataFrame:
     )
     row = ["doc_id", "text_hash", "template", "label", "template_grams"]
     matches = hashed.join(template_grams(docs.sparkSession, templates), "gram")
-    matches = matches.select(*row, "at", "template_at").distinct()  # a repeated row votes once
+    # A repeated row votes once. Matches are few, and stored, so that texts are cut into words once for them.
+    matches = stored(matches.select(*row, "at", "template_at").distinct(), "matches")
     votes = matches.groupBy(*row, (F.col("at") - F.col("template_at")).alias("diagonal")).agg(F.count("*").alias("votes"))
     ordered = Window.partitionBy(*row).orderBy("diagonal")
     apart = F.col("diagonal") - F.lag("diagonal").over(ordered) > NEIGHBOURS
