@@ -58,7 +58,7 @@ SAMPLES = 4
 STRENGTH = 1.0
 EXACT, WINDOW = 1024, 64
 # Pairs that are drawn at a time.
-_ROWS = 1 << 12
+_ROWS = 1 << 10
 # The token that ends a text; no word has a blank.
 END = b" "
 
