@@ -80,7 +80,7 @@ def packed(*arrays: np.ndarray) -> bytes:
     """Arrays as compressed bytes; `unpacked` needs their types. First bytes of all numbers stand together, then
     all second ones, and so on: most of the later ones are alike."""
     head = struct.pack(f"<{len(arrays)}q", *map(len, arrays))
-    planes = [np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.tobytes() for a in arrays]
+    planes = [np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() for a in arrays]
     return zstandard.ZstdCompressor(level=1).compress(head + b"".join(planes))
 
 
