@@ -7,6 +7,7 @@ import time
 
 import pytest
 import yaml
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from cilode.functions import documents as D
@@ -73,6 +74,44 @@ def test_loader_agrees_on_odd_texts(text):
     assert verdict(D.load, text) == verdict(yaml.safe_load, text)
 
 
+def said(load, text):
+    try:
+        return repr(load(text))
+    except Exception as failure:
+        return type(failure), str(failure)
+
+
+@pytest.mark.parametrize("tail", ["", "\n---\nb: 2", "\n--- {b: 2}\n...\n", "\n...\n---\n# c\n---\nx"])
+def test_usual_texts_take_no_second_load(tail, monkeypatch):
+    """Nodes are turned into values without the loaders; what comes after a first document is told as by the pure one."""
+    text = "a: {x: [1, 2.5, null, yes], y: 1999-08-17}\nb: &b ['5', 0x1F, 021, 1:30, +7]\nc: *b\n5: \"e\"" + tail
+    expected = said(yaml.safe_load, text)
+    monkeypatch.setattr(yaml, "load", None)
+    assert said(D.load, text) == expected
+
+
+def test_aliases_are_one_object():
+    root = D.load("a: &a {x: [*a]}\nb: *a")
+    assert root["a"] is root["b"] and root["a"]["x"][0] is root["a"]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_failures_are_told_as_by_the_pure_loader(seed):
+    rng = random.Random(100 + seed)
+    for _ in range(300):
+        text = "a: 1\nb: [x, 2]\n" if rng.random() < 0.5 else ""
+        for _ in range(rng.randint(1, 8)):
+            at, piece = rng.randint(0, len(text)), rng.choice([*PIECES, *["\n---\n", "\n--- ", "\n...\n"] * 8])
+            text = text[:at] + piece + text[at:]
+        assert said(D.load, text) == said(yaml.safe_load, text), text
+
+
+def test_reader_travels_without_its_package():
+    code = "import sys, pickle; print(pickle.load(sys.stdin.buffer)('a: [1, x]', [('a',)])[0][:4], 'cilode' in sys.modules)"
+    run = subprocess.run([sys.executable, "-c", code], input=cloudpickle.dumps(D.read_document), capture_output=True, cwd="/", env={})
+    assert run.stdout.decode().strip() == "(True, None, False, 'map') False", run.stderr.decode()[-500:]
+
+
 @pytest.mark.parametrize("text", ["[" * 100_000, "- " * 100_000 + "x", "{a: " * 50_000, "? " * 100_000 + "x"])
 def test_deep_nesting_is_an_error_not_a_crash(text):
     code = "import sys; sys.path.insert(0, '.'); from cilode.functions.documents import read_document\n"
