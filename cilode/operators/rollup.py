@@ -27,8 +27,10 @@ def project_flags(facts: DataFrame, labels: list[str]) -> DataFrame:
 
 def project_levels(facts: DataFrame) -> DataFrame:
     """Distinct (project, source, api_level) of the `levels` arrays."""
+    # Of a plain `explode` Spark infers a filter on the size of the array, which works the array out twice.
     return (
-        facts.select("project", F.explode("levels").alias("item"))
+        facts.select("project", F.explode_outer("levels").alias("item"))
+        .where("item is not null")
         .select("project", "item.source", "item.api_level")
         .distinct()
     )

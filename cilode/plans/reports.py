@@ -203,7 +203,9 @@ def project_emulator_options(facts: DataFrame) -> DataFrame:
 def options_in_order(facts: DataFrame) -> DataFrame:
     """Every option with its file and its position there. Sorted by path and position, the
     rows of a project are in the order of its scan; nothing is sorted here."""
-    return facts.select("project", "path", F.posexplode("options").alias("position", "emulator_option"))
+    # A plain `posexplode` would work the options out twice, as in `project_levels`.
+    placed = facts.select("project", "path", F.posexplode_outer("options").alias("position", "emulator_option"))
+    return placed.where("position is not null")
 
 
 def in_file_order(facts: DataFrame) -> DataFrame:

@@ -90,6 +90,37 @@ def test_usual_texts_take_no_second_load(tail, monkeypatch):
     assert said(D.load, text) == expected
 
 
+LINES = ["a:", "b: 1", "- x", "- c: d", "- a:", "k: [1, {x: y}]", "# c", "", "on: yes", "z: 'q' # c", "- {a: b, c}", "e: -no x",
+         "t: 1:30", "f: x: y", "g: a #b", 'h: "x": 1', "- [a]: b", "i: [a", "- - x", "- ", "-", "k:  two ", "m: - x", "null: 1",
+         "y: http://a.b:80/c?d", "p: 2020-01-01", "- 08:", "q: |", "s : 1", 'u: "', "w: 'a' b", "- x:y", "b: .5", "--- x", "...",
+         "-  a: b", "k: {a: [b, c], d: }", "k: [a: b]", "r: # c"]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_plain_lines_agree_with_safe_load(seed):
+    rng, read = random.Random(seed), 0
+    for _ in range(1500):
+        column, lines = 0, []
+        for _ in range(rng.randint(1, 7)):
+            lines.append(" " * column + rng.choice(LINES))
+            column = max(0, column + rng.choice([0, 0, 0, 2, 2, -2, -2, 1, -4]))
+        text = "\n".join(lines)
+        try:
+            value = repr(D._plainly(text))
+        except Exception:
+            continue
+        read += 1
+        assert value == verdict(yaml.safe_load, text), text
+    assert read > 50
+
+
+def test_workflows_of_plain_lines_take_no_parser(monkeypatch):
+    text = "name: x # c\non: push \njobs:\n  b:\n    steps:\n    - uses: a@v2\n      with:\n        n: 7\n\n    - run: make # it\nz: 1.5"
+    expected = yaml.safe_load(text)
+    monkeypatch.setattr(D, "_Composer", None)
+    assert D.load(text) == expected
+
+
 def test_aliases_are_one_object():
     root = D.load("a: &a {x: [*a]}\nb: *a")
     assert root["a"] is root["b"] and root["a"]["x"][0] is root["a"]
