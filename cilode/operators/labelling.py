@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,9 +20,10 @@ BROADCAST_WINDOWS = 200_000
 
 # Length of the windows that keywords and texts are joined on.
 ANCHOR = 12
-# Kind of the windows at inner words; other kinds are window lengths.
-INNER = -1
-KINDS = [INNER, *range(ANCHOR + 1)]
+# Kinds of windows: the pieces between spaces, which are found by a plain split, and windows at inner words; other
+# kinds are window lengths.
+PIECE, INNER = -2, -1
+KINDS = [PIECE, INNER, *range(ANCHOR + 1)]
 INNER_WORD = rf"(?s)(?<=[^\p{{L}}\p{{N}}])(?=([\p{{L}}\p{{N}}].{{{ANCHOR - 1}}}))"
 
 
@@ -84,22 +87,63 @@ def match_rules_constant(
     return docs.select(key, F.explode(F.transform(held, lambda r: r["label"])).alias("label")).distinct()
 
 
-def _windows(text: str, kinds) -> Column:
-    """Distinct substrings of ANCHOR characters that open an inner word (kind INNER), and
-    all substrings of the other kinds, which are lengths.
+def _kind_bit(kind: int) -> int:
+    return 1 << kind - PIECE
+
+
+def _windows(text: str, kinds, within: bool = False) -> Column:
+    """Distinct pieces between spaces (kind PIECE), substrings of ANCHOR characters that open an inner word (kind INNER),
+    and all substrings of the other kinds, which are lengths.
 
-    `kinds` tells of each kind whether it is wanted; a text is only cut in those ways."""
+    `kinds` tells of each kind whether it is wanted; a text is only cut in those ways. `within` a text
+    are the pieces with a space on both sides, which are whole wherever the text stands."""
     none = F.array().cast("array<string>")
 
     def cut(n: int) -> Column:
         if n == 0:
             return F.array(F.lit(""))
+        if n == PIECE:
+            pieces = F.split(F.col(text), " ")
+            return F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 2, F.lit(0))) if within else pieces
         pattern = INNER_WORD if n == INNER else f"(?s)(?=(.{{{n}}}))"
         return F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(1))
 
     return F.array_distinct(F.concat(*[F.when(kinds(n), cut(n)).otherwise(none) for n in KINDS]))
 
 
+def _around_anchors(docs: DataFrame, anchors: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, keyword) of the keywords that stand around their anchor in a text, all of them kept that do so twice.
+
+    Anchors are pieces between spaces. The pieces beside one are compared first, then all of the keyword's
+    inner ones, of its first piece the end and of its last one the start."""
+    pieces, place, pos = F.split("keyword", " "), F.col("place"), F.col("pos")
+    inner = F.slice(pieces, F.lit(2), F.size(pieces) - 2)
+    known = anchors.select("keyword", "window", pieces.alias("of_keyword"), inner.alias("inner")).select(
+        "*", F.array_position("inner", F.col("window")).cast("int").alias("place")
+    )
+    known = known.select(
+        "*",
+        F.get("inner", place - 2).alias("before"),
+        F.get("inner", place).alias("after"),
+        F.get("of_keyword", F.lit(0)).alias("opening"),
+        F.get("of_keyword", F.size("of_keyword") - 1).alias("closing"),
+        F.size("inner").alias("n"),
+    ).drop("of_keyword")
+    cut = docs.select(key, F.split(F.col(text), " ").alias("pieces"))
+    met = cut.select(key, "pieces", F.posexplode("pieces").alias("pos", "window")).join(F.broadcast(known), "window")
+    first = pos - place
+    beside = (F.col("before").isNull() | (F.get("pieces", pos - 1) == F.col("before"))) & (
+        F.col("after").isNull() | (F.get("pieces", pos + 1) == F.col("after"))
+    )
+    stands = F.when(
+        (first >= 0) & beside,
+        (F.slice("pieces", F.greatest(first + 2, F.lit(1)), F.col("n")) == F.col("inner"))
+        & F.endswith(F.get("pieces", first), F.col("opening"))
+        & F.startswith(F.get("pieces", first + F.col("n") + 1), F.col("closing")),
+    )
+    return met.where(stands).select(key, "keyword")
+
+
 def match_rules(
     docs: DataFrame, rules: DataFrame, key: str, text: str = "text", broadcast_windows: int = BROADCAST_WINDOWS
 ) -> DataFrame:
@@ -109,28 +153,27 @@ def match_rules(
     repeat and may be NULL.
 
     A text that contains a keyword also contains every window of the keyword. Windows
-    start at the words inside it: they have a character before them in the keyword, so
-    they start at a word in the text as well. A keyword without such a word is cut at
-    every character, and one shorter than a window is its own window. Each keyword is
+    are the pieces that stand between two spaces in the keyword, so they do in the text as well.
+    Those of a keyword with less than two such pieces start at the words inside it: they have a character before
+    them in the keyword, so they start at a word in the text as well. A keyword without such a word
+    is cut at every character, and one shorter than a window is its own window. Each keyword is
     anchored at that of its windows which the fewest texts hold, so common wording costs
     nothing.
 
     The windows of the keywords are stored first, so their number is known. Up to
     `broadcast_windows` of them are sent around: one pass over the texts counts which texts
     hold them, another one meets the anchors and looks for the keyword in the row of the
-    text, and no text moves. Of more windows, the texts' own are filtered by a join before
+    text, for pieces just around the anchor, and no text moves. Of more windows, the texts' own are filtered by a join before
     they are counted, and texts with an anchor are fetched by their key. Both give the same rows.
     """
     rules = rules.select("label", "keyword").where("label is not null and keyword is not null").distinct()
     inner = F.size(F.regexp_extract_all("keyword", F.lit(INNER_WORD), F.lit(1))) > 0
-    sized = (
-        rules.select("keyword")
-        .distinct()
-        .withColumn("kind", F.when(inner, INNER).otherwise(F.least(F.length("keyword"), F.lit(ANCHOR))))
-    )
-    cut_keywords = _windows("keyword", lambda n: F.col("kind") == n)
+    length = F.least(F.length("keyword"), F.lit(ANCHOR))
+    kind = F.when(F.size(F.split("keyword", " ")) > 3, PIECE).when(inner, INNER).otherwise(length)
+    sized = rules.select("keyword").distinct().withColumn("kind", kind)
+    cut_keywords = _windows("keyword", lambda n: F.col("kind") == n, within=True)
     keyword_windows = stored(sized.select("keyword", "kind", F.explode(cut_keywords).alias("window")), "windows")
-    known = keyword_windows.agg(F.count("*").alias("n"), F.bit_or(F.expr("shiftleft(1, kind + 1)")).alias("kinds")).first()
+    known = keyword_windows.agg(F.count("*").alias("n"), F.bit_or(F.expr(f"shiftleft(1, kind - ({PIECE}))")).alias("kinds")).first()
     # A session that forbids broadcasts has none.
     allowed = not docs.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold").startswith("-")
     small = allowed and known.n <= broadcast_windows
@@ -139,7 +182,7 @@ def match_rules(
         return F.broadcast(df) if small else df
 
     # The kinds of windows to cut texts into, a bit for each of KINDS.
-    cut = _windows(text, lambda n: F.lit(bool((known.kinds or 0) & 1 << n + 1)))
+    cut = _windows(text, lambda n: F.lit(bool((known.kinds or 0) & _kind_bit(n))))
     windows = sent(keyword_windows.select("window").distinct())
     held = docs.select(key, cut.alias("cut")).select(key, F.explode("cut").alias("window"))
     held = held.join(windows, "window", "left_semi")
@@ -154,9 +197,16 @@ def match_rules(
     )
     if small:
         # A plan of its own for the counts, so that the second pass starts when they are known.
-        opened = docs.select(key, text, cut.alias("cut")).select(key, text, F.explode("cut").alias("window"))
-        met = opened.join(F.broadcast(stored(anchors, "anchors")), "window")
-        hits = met.where(F.contains(F.col(text), F.col("keyword"))).select(key, "keyword").distinct()
+        anchors = stored(anchors.join(sized, "keyword"), "anchors")
+        ways = []
+        if (known.kinds or 0) & _kind_bit(PIECE):
+            ways.append(_around_anchors(docs, anchors.where(F.col("kind") == PIECE), key, text))
+        if not ways or known.kinds != _kind_bit(PIECE):
+            others = _windows(text, lambda n: F.lit(n != PIECE and bool((known.kinds or 0) & _kind_bit(n))))
+            opened = docs.select(key, text, others.alias("cut")).select(key, text, F.explode("cut").alias("window"))
+            met = opened.join(F.broadcast(anchors.where(F.col("kind") != PIECE).select("keyword", "window")), "window")
+            ways.append(met.where(F.contains(F.col(text), F.col("keyword"))).select(key, "keyword"))
+        hits = reduce(DataFrame.unionAll, ways).distinct()
         return hits.join(rules, "keyword").select(key, "label").distinct()
     found = held.join(anchors, "window").select(F.col(key).alias("__key"), "keyword").distinct()
     texts = docs.select(key, text).join(found, F.col(key).eqNullSafe(F.col("__key")))
