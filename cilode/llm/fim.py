@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cilode.llm.common import slices
+from cilode.llm.common import given_back, slices
 
 PREFIX, SUFFIX, MIDDLE = b"<P>", b"<S>", b"<M>"
 SENTINELS = [s.decode() for s in (PREFIX, SUFFIX, MIDDLE)]
@@ -110,19 +110,19 @@ def _column(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 
 
-def _with(name: str, change, inputs: list[str]):
-    """Replace the bytes of column `name` by what `change` makes of the `inputs`."""
+def _mapped(df: DataFrame, *changes: tuple) -> DataFrame:
+    """Replace the bytes of columns, one change (name, function, inputs) after the other, by what the function makes
+    of the inputs. All changes are one step, so the bytes between them stay in the worker."""
 
     def run(batches):
         for batch in slices(batches):
-            made = [change(*row) for row in zip(*[_column(batch, i) for i in inputs])]
-            yield batch.set_column(batch.schema.get_field_index(name), name, pa.array(made, pa.binary()))
+            for name, change, inputs in changes:
+                made = [change(*row) for row in zip(*[_column(batch, i) for i in inputs])]
+                batch = batch.set_column(batch.schema.get_field_index(name), name, pa.array(made, pa.binary()))
+            yield batch
+        given_back()
 
-    return run
-
-
-def _mapped(df: DataFrame, name: str, change, inputs: list[str]) -> DataFrame:
-    return df.mapInArrow(_with(name, change, inputs), df.schema)
+    return df.mapInArrow(run, df.schema)
 
 
 def _draw(doc_id: Column, seed: int) -> list[Column]:
@@ -155,9 +155,11 @@ def planned(
     )
 
 
-def transformed(docs: DataFrame, **parameters: int) -> DataFrame:
-    """doc_id, n, form, prefix_chars, middle_chars, output (UTF-8): one row per row of `docs`."""
-    made = _mapped(planned(docs, **parameters), "output", transform, ["output", "form", "first", "second"])
+TRANSFORM = ("output", transform, ["output", "form", "first", "second"])
+RESTORE = ("restored", restore, ["output", "form"])
+
+
+def _told(made: DataFrame, *columns: str) -> DataFrame:
     cut = F.col("form") != "plain"
     return made.select(
         "doc_id",
@@ -165,18 +167,32 @@ def transformed(docs: DataFrame, **parameters: int) -> DataFrame:
         "form",
         F.when(cut, F.col("first")).alias("prefix_chars"),
         F.when(cut, F.col("second") - F.col("first")).alias("middle_chars"),
-        "output",
+        *columns,
     )
 
 
+def transformed(docs: DataFrame, **parameters: int) -> DataFrame:
+    """doc_id, n, form, prefix_chars, middle_chars, output (UTF-8): one row per row of `docs`."""
+    return _told(_mapped(planned(docs, **parameters), TRANSFORM), "output")
+
+
+def _to_restore(made: DataFrame) -> DataFrame:
+    return made.withColumn("restored", F.lit(None).cast("binary"))
+
+
 def restored(made: DataFrame) -> DataFrame:
     """The rows with the texts rebuilt from output and form, as `restored` (UTF-8)."""
-    return _mapped(made.withColumn("restored", F.col("output")), "restored", restore, ["restored", "form"])
+    return _mapped(_to_restore(made), RESTORE)
+
+
+def there_and_back(docs: DataFrame, **parameters: int) -> DataFrame:
+    """`restored(transformed(docs))` as one step: each text is sent to one worker, once."""
+    return _told(_mapped(_to_restore(planned(docs, **parameters)), TRANSFORM, RESTORE), "output", "restored")
 
 
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, n, form, prefix_chars, middle_chars, output_sha256, restored_sha256."""
-    return restored(transformed(docs)).select(
+    return there_and_back(docs).select(
         "doc_id",
         "n",
         "form",

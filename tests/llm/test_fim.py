@@ -90,3 +90,12 @@ def test_every_cut_comes_back():
             for b in range(a, len(text) + 1):
                 for form in ("plain", "psm", "spm"):
                     assert M.restore(M.transform(text.encode(), form, a, b), form) == text.encode()
+
+
+def test_texts_go_to_python_once(spark):
+    docs = spark.createDataFrame([(i, "some text " * 9, "x", 1, "y") for i in range(40)], SCHEMA)
+    plan = M.report(docs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    made = ["doc_id", "form", "prefix_chars", "middle_chars", "output", "restored"]
+    one, two = M.there_and_back(docs).select(made), M.restored(M.transformed(docs)).select(made)
+    assert sorted(map(repr, one.collect())) == sorted(map(repr, two.collect()))
