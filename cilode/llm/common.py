@@ -78,10 +78,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def stored_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+# For tables whose rows hold large arrays. A page ends only where its size is looked at, which is after 100 rows if nothing
+# else is said; the codecs hold whole pages outside the heap, and keep that memory.
+LARGE_ROWS = {"parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1"}
+
+
+def stored_at(df: DataFrame, name: str, **options: str) -> tuple[DataFrame, str]:
     """`stored` with the path, for a table that is removed once another one has taken its place."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
@@ -95,6 +100,24 @@ def removed(spark: SparkSession, *paths: str) -> None:
     jvm.System.gc()
 
 
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, size: int = 2 << 20):
+    """Within it, rows go to Python in Arrow batches of some `size` bytes; only for what is run within it. An executor
+    holds a batch outside its heap, in buffers that double as they grow."""
+    before = spark.conf.get(_BATCH_SETTING, None)
+    spark.conf.set(_BATCH_SETTING, str(size))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_BATCH_SETTING)
+        else:
+            spark.conf.set(_BATCH_SETTING, before)
+
+
 def attached(rows: DataFrame, facts: DataFrame, key: str, parts: int = HOT_PARTS) -> DataFrame:
     """Join each row with what is known of its key; keys of many rows do not move.
 

@@ -45,10 +45,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cilode.llm.common import given_back, per_worker, removed, shared_folder, slices, stored_at
+from cilode.llm.common import LARGE_ROWS, given_back, per_worker, removed, shared_folder, slices, small_batches, stored_at
 
 FOLDS, HELD_OUT = 7, 2
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 6 << 20
 # Bytes of text whose pairs are one cell, on average.
 CELL_BYTES = 3 << 20
 # Turns before the first sample.
@@ -59,6 +59,8 @@ STRENGTH = 1.0
 EXACT, WINDOW = 1024, 64
 # Pairs that are drawn at a time.
 _ROWS = 1 << 10
+# Bytes of payload that are one Arrow batch, from a row on: a buffer is held whole outside the heap.
+_BATCH_BYTES = 1 << 20
 # The token that ends a text; no word has a blank.
 END = b" "
 
@@ -143,6 +145,22 @@ def _batch(rows: list[tuple], types, names) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], names=names)
 
 
+def _batches(rows, types, names):
+    """Rows, whose last value is their payload, as batches of bounded bytes; at least one."""
+    some, held = [], 0
+    for row in rows:
+        if some and held + len(row[-1]) > _BATCH_BYTES:
+            yield _batch(some, types, names)
+            some, held = [], 0
+        some.append(row)
+        held += len(row[-1])
+    yield _batch(some, types, names)
+
+
+def _table(rows: list[tuple], types, names) -> pa.Table:
+    return pa.Table.from_batches(list(_batches(rows, types, names)))
+
+
 def _chunks(bits: int, chunk_bytes: int):
     """For each chunk one row with its tokens as places of their pairs (a negative cell), and one per
     cell with its pairs: hashes of words, number of contexts, keys of contexts, contexts, and
@@ -174,12 +192,12 @@ def _chunks(bits: int, chunk_bytes: int):
         for texts in slices(batches):
             for doc_id, text in zip(texts.column(0).to_pylist(), texts.column(1).cast(pa.binary()).to_pylist()):
                 if chunk.ids and chunk.bytes + len(text or b"") > chunk_bytes:
-                    yield _batch(list(rows(chunk, number)), _TYPES, _NAMES)
+                    yield from _batches(rows(chunk, number), _TYPES, _NAMES)
                     number, chunk = number + 1, Chunk()
                     given_back()
                 chunk.add(doc_id, text or b"")
         if chunk.ids:
-            yield _batch(list(rows(chunk, number)), _TYPES, _NAMES)
+            yield from _batches(rows(chunk, number), _TYPES, _NAMES)
         given_back()
 
     return run
@@ -211,7 +229,7 @@ def _merged(rows: pa.Table) -> pa.Table:
         out.append((cell, chunk, None, None, packed(np.diff(asked, prepend=0).astype(np.uint32))))
     del parts, at, before, places, pairs
     given_back()
-    return pa.Table.from_batches([_batch(out, _TYPES, _NAMES)])
+    return _table(out, _TYPES, _NAMES)
 
 
 class Cell:
@@ -361,8 +379,8 @@ PLACES = (np.int64, np.int32, np.int64, np.uint32)
 REPLY = {WORD: (np.int64, np.int64, np.int64), CONTEXT: (np.int64, np.int64), TABLES: (np.uint32,)}
 
 
-def _messages(rows: list[tuple]) -> pa.RecordBatch:
-    return _batch(rows, _MESSAGE_TYPES, _MESSAGE_NAMES)
+def _messages(rows: list[tuple]) -> pa.Table:
+    return _table(rows, _MESSAGE_TYPES, _MESSAGE_NAMES)
 
 
 def _asked(bits: int):
@@ -376,7 +394,7 @@ def _asked(bits: int):
                 tokens, customers = cell.sums(cell.counts)
                 by_word, by_context = cell.sums(tables)
                 rows = cell.messages(number, (cell.words, tokens, by_word), (cell.contexts, customers, by_context))
-                yield _messages([*rows, (TABLES, OWN, number, packed(tables.astype(np.uint32)))])
+                yield from _messages([*rows, (TABLES, OWN, number, packed(tables.astype(np.uint32)))]).to_batches()
                 del cell, tables, tokens, customers, by_word, by_context, rows
         given_back()
 
@@ -403,7 +421,8 @@ def _first_sums(rows: pa.Table) -> pa.Table:
     if side == WORD:
         customers = np.bincount(layout[-1], weights=tables, minlength=len(values)).astype(np.int64)
         own = packed(values, customers, np.minimum(customers, 1), *layout)
-    return pa.Table.from_batches([_messages([(side, bucket, OWN, own), *_replies(side, bucket, own, tables)])])
+    given_back()
+    return _messages([(side, bucket, OWN, own), *_replies(side, bucket, own, tables)])
 
 
 def _replies(side: int, bucket: int, own: bytes, tables: np.ndarray) -> list[tuple]:
@@ -440,7 +459,8 @@ def _sums(totals: Totals, turn: int):
             random, stirling = np.random.default_rng([turn, bucket, 1]), stirling_numbers(totals.discount)
             parent_tables = draw(customers, now, others, base, base, 0.0, STRENGTH, stirling, random)
             own = packed(counts, customers, parent_tables, *layout)
-        return pa.Table.from_batches([_messages([(side, bucket, OWN, own), *_replies(side, bucket, own, new)])])
+        given_back()
+        return _messages([(side, bucket, OWN, own), *_replies(side, bucket, own, new)])
 
     return run
 
@@ -518,7 +538,7 @@ def _seated(totals: Totals, turn: int, bits: int):
         out = [*cell.messages(number, (by_word,), (by_context,)), (TABLES, OWN, number, packed(tables.astype(np.uint32)))]
         del cell, held, tables, customers, parent_tables, of_context
         given_back()
-        return pa.Table.from_batches([_messages(out)])
+        return _messages(out)
 
     return run
 
@@ -555,7 +575,7 @@ def _answers(samples: dict[int, Totals], bits: int):
                 out.append((number, chunk, None, None, packed(logs[places], counts[places])))
         del cell, held, chance, logs, counts
         given_back()
-        return pa.Table.from_batches([_batch(out, _TYPES, _NAMES)])
+        return _table(out, _TYPES, _NAMES)
 
     return run
 
@@ -598,7 +618,7 @@ def _bucketed(df: DataFrame, name: str) -> tuple[str, str]:
     table = f"{name}_{uuid.uuid4().hex}"
     path = f"{shared_folder(spark)}/{table}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.bucketBy(buckets, "cell").option("path", path).saveAsTable(table)
+    df.write.options(**LARGE_ROWS).bucketBy(buckets, "cell").option("path", path).saveAsTable(table)
     return table, path
 
 
@@ -607,6 +627,11 @@ def scored(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, cell_bytes: int = CE
 
     Texts whose fold is not the held-out one train the model.
     """
+    with small_batches(docs.sparkSession):
+        return _scored(docs, chunk_bytes, cell_bytes)
+
+
+def _scored(docs: DataFrame, chunk_bytes: int, cell_bytes: int) -> DataFrame:
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long"), "text")
     size = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
@@ -618,8 +643,10 @@ def scored(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, cell_bytes: int = CE
     cells = spark.table(table).where("cell >= 0")
     pairs = cells.where("chunk is null").select("cell", "payload")
 
-    up, up_path = stored_at(pairs.mapInArrow(_asked(bits), MESSAGE), "lm-up")
-    sums, sums_path = stored_at(up.where(F.col("side") != TABLES).groupBy("side", "bucket").applyInArrow(_first_sums, MESSAGE), "lm-sums")
+    up, up_path = stored_at(pairs.mapInArrow(_asked(bits), MESSAGE), "lm-up", **LARGE_ROWS)
+    summed = up.where(F.col("side") != TABLES).groupBy("side", "bucket").applyInArrow(_first_sums, MESSAGE)
+    sums, sums_path = stored_at(summed, "lm-sums", **LARGE_ROWS)
+    del summed
 
     def stats() -> DataFrame:
         return sums.where((F.col("side") == WORD) & (F.col("cell") == OWN)).mapInArrow(_word_stats, STATS)
@@ -635,18 +662,22 @@ def scored(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, cell_bytes: int = CE
     samples, kept, paths = {}, [], []
     for turn in range(1, PASSES + SAMPLES + 1):
         seats = pairs.groupBy("cell").cogroup(replies(turn - 1).groupBy("cell")).applyInArrow(_seated(totals, turn, bits), MESSAGE)
-        new_up, new_up_path = stored_at(seats, "lm-up")
+        new_up, new_up_path = stored_at(seats, "lm-up", **LARGE_ROWS)
         moved = new_up.where(F.col("side") != TABLES).unionByName(sums.where(F.col("cell") == OWN))
-        new_sums, new_sums_path = stored_at(moved.groupBy("side", "bucket").applyInArrow(_sums(totals, turn), MESSAGE), "lm-sums")
-        del seats, moved
+        summed = moved.groupBy("side", "bucket").applyInArrow(_sums(totals, turn), MESSAGE)
+        new_sums, new_sums_path = stored_at(summed, "lm-sums", **LARGE_ROWS)
+        del seats, moved, summed
         removed(spark, up_path, sums_path)
         up, up_path, sums, sums_path = new_up, new_up_path, new_sums, new_sums_path
         totals = _update(totals, stats())
         if turn > PASSES:
             samples[turn] = totals
-            sample, path = stored_at(replies(turn), "lm-sample")
+            sample, path = stored_at(replies(turn), "lm-sample", **LARGE_ROWS)
             kept.append(sample)
             paths.append(path)
+    # The samples are all that is asked of the turns from here on.
+    del up, sums
+    removed(spark, up_path, sums_path)
     known = kept[0]
     for more in kept[1:]:
         known = known.unionByName(more)
@@ -654,7 +685,7 @@ def scored(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, cell_bytes: int = CE
     rows = spark.table(table).where("cell < 0").unionByName(answers)
     scores, _ = stored_at(rows.groupBy("chunk").applyInArrow(_scores(totals), SCORES), "lm-scores")
     spark.sql(f"DROP TABLE {table}")
-    removed(spark, table_path, up_path, sums_path, *paths)
+    removed(spark, table_path, *paths)
     return scores
 
 

@@ -9,6 +9,8 @@ from collections import Counter
 from math import log10
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -211,6 +213,37 @@ def test_words_and_chunks():
         assert a.tolist() == b.tolist()
 
 
+def test_large_rows_go_in_small_pages_and_batches(spark, tmp_path, monkeypatch):
+    """Pages and batches are held whole outside the heap; one of 100 rows was a hundred MB."""
+    monkeypatch.setattr(common, "shared_folder", lambda spark: f"file://{tmp_path}")
+    rows = [(i, random.Random(i).randbytes(1 << 18)) for i in range(40)]
+    df = spark.createDataFrame(rows, "cell int, payload binary").coalesce(1)
+    _, path = common.stored_at(df, "large", compression="none", **common.LARGE_ROWS)
+    [name] = [n for n in os.listdir(path.removeprefix("file://")) if n.endswith(".parquet")]
+    file = open(os.path.join(path.removeprefix("file://"), name), "rb").read()
+    column = pq.ParquetFile(pa.BufferReader(file)).metadata.row_group(0).column(1)
+    # Rows of a page stand side by side, and its head before the first of them.
+    ends = [file.index(data) + len(data) for _, data in rows]
+    together = [ends[i + 1] - ends[i] == len(rows[i][1]) + 4 for i in range(39)]
+    assert column.num_values == 40 and sum(not t for t in together) >= 5
+    batches = list(M._batches([(1, data) for _, data in rows], [pa.int32(), pa.binary()], ["cell", "payload"]))
+    assert len(batches) == 10 and sum(b.num_rows for b in batches) == 40
+    assert [b.num_rows for b in M._batches([], [pa.int32()], ["cell"])] == [0]
+
+
+def test_batches_to_python_are_small_while_it_runs(spark):
+    df = spark.range(64).select(F.repeat(F.lit("x"), 1 << 16).alias("t")).coalesce(1)
+
+    def largest():
+        rows = lambda batches: (pa.record_batch({"n": pa.array([b.num_rows], pa.int32())}) for b in batches)
+        return max(r.n for r in df.mapInArrow(rows, "n int").collect())
+
+    before = largest()
+    with common.small_batches(spark, 1 << 19):
+        assert largest() < 16 < before
+    assert largest() == before
+
+
 def test_a_very_long_text_and_clashing_columns(spark):
     text = "one two three " * 200_000
     docs = spark.createDataFrame([(1, text, "s", 0), (2, "two three", "s", 0)], SCHEMA)
