@@ -107,3 +107,36 @@ def test_messages_of_open_brackets():
     for _ in range(4000):
         text = rng.choice(["", "k: [", "k: {", "a: 1\nb: ["]) + "".join(rng.choice(pieces) for _ in range(rng.randint(1, 12)))
         assert said(D.load, text) == said(yaml.safe_load, text), text
+
+
+def test_empty_documents_and_texts_given_up_are_not_read_twice(monkeypatch):
+    given = ["# a", "", "\n  # a\n\n#b", "# a\na: 1", "---\na: 1", "a: [1"] * 2
+    want = [row(text, (("a",),)) for text in given]
+
+    def tried(text):
+        raise AssertionError(f"read by lines again: {text}")
+
+    def read_other(text, patterns):
+        others.append(text)
+        return D.read_document(text, patterns, False)
+
+    others = []
+    monkeypatch.setattr(D, "_plainly", tried)
+    assert rows(D._read_block(pa.array(given), (("a",),), None, read_other)) == want
+    assert others == ["---\na: 1", "a: [1"] * 2
+
+
+def test_values_of_equal_lines_are_searched_once(monkeypatch):
+    texts_, searched = [f"n: {i}\njobs: {{api-level: [{i % 3}, x]}}" for i in range(300)], []
+    search = D._searched
+    monkeypatch.setattr(D, "_searched", lambda *args: searched.append(args) or search(*args))
+    assert rows(D._read_block(pa.array(texts_), (E.ANY_LEVEL,), None)) == [row(text, (E.ANY_LEVEL,)) for text in texts_]
+    assert len(searched) == 3
+
+
+def test_kept_lines_tell_what_they_told_before():
+    D._FLOWS.clear()
+    given = ["a: [x?, y]", "a: 1\nb: {c: 2}", "k:\n  a: [x?, y]", "b: {c: 2}"]
+    for _ in range(2):
+        assert rows(D._read_block(pa.array(given), (("a",),), D.read_document)) == [row(text, (("a",),)) for text in given]
+    assert "b: {c: 2}" in D._FLOWS
